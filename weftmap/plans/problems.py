@@ -73,6 +73,12 @@ def _metrics():
     return {"pos1": F.col("pos1"), "pos2": F.col("pos2"), "separation": F.when(F.col("chrom1") == F.col("chrom2"), F.col("pos2") - F.col("pos1"))}
 
 
+def p4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partial sketches of single runs and days, as they would be kept to be combined later."""
+    days = table(spark, sf_dir, "pairs").withColumn("day", F.to_date("loaded_at"))
+    return sketch(days, ["run", "day", "chrom1", "strand1"], _metrics(), ALPHA)
+
+
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per (chrom1, strand1), merged from one partial sketch per run."""
     partial = sketch(table(spark, sf_dir, "pairs"), ["run", "chrom1", "strand1"], _metrics(), ALPHA)
@@ -100,7 +106,7 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_coverage, p2_found, p2_filled, p3_found, p3_loci, p4_percentiles, p4_run_percentiles, p5_found, p5_loaded,
+    p1_found, p1_coverage, p2_found, p2_filled, p3_found, p3_loci, p4_sketches, p4_percentiles, p4_run_percentiles, p5_found, p5_loaded,
 )}
 
 _P1 = """
@@ -148,6 +154,21 @@ FROM q WHERE floor(q * (total - 1)) < upto AND floor(q * (total - 1)) >= upto -
 """
 
 
+def _sketches() -> str:
+    from ..operators.quantiles import _offset
+
+    keys, lg = "run, day, chrom1, strand1", f"ln({gamma(ALPHA)!r})"
+    return f"""
+WITH p AS (SELECT *, CAST(loaded_at AS DATE) AS day FROM pairs),
+v AS (
+  SELECT {keys}, 'pos1' AS metric, CAST(pos1 AS DOUBLE) AS v FROM p
+  UNION ALL SELECT {keys}, 'pos2', pos2 FROM p
+  UNION ALL SELECT {keys}, 'separation', CASE WHEN chrom1 = chrom2 THEN pos2 - pos1 END FROM p)
+SELECT {keys}, metric,
+       CASE WHEN v = 0 THEN 0 ELSE CAST(sign(v) AS BIGINT) * (CAST(ceil(ln(abs(v)) / {lg}) AS BIGINT) + {_offset(ALPHA)}) END AS bucket, count(*) AS n
+FROM v WHERE v IS NOT NULL GROUP BY ALL"""
+
+
 ORACLE = {
     "p1_found": _P1 + "SELECT * FROM found",
     "p1_coverage": _P1 + """
@@ -163,6 +184,7 @@ SELECT a.row_id FROM contact_map a WHERE NOT {_USABLE.format('a.weight')} AND EX
     "p3_found": "SELECT chrom1, pos1 FROM pairs WHERE chrom1 IS NOT NULL AND pos1 IS NOT NULL GROUP BY chrom1, pos1 "
     "HAVING count(*) * 100 >= (SELECT count(*) FROM pairs)",
     "p3_loci": _P3,
+    "p4_sketches": _sketches(),
     "p4_percentiles": _p4("chrom1, strand1"),
     "p4_run_percentiles": _p4("run"),
 }
