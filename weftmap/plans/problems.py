@@ -75,7 +75,7 @@ def _metrics():
 
 def p4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The partial sketches of single runs and days, as they would be kept to be combined later."""
-    days = table(spark, sf_dir, "pairs").withColumn("day", F.to_date("loaded_at"))
+    days = table(spark, sf_dir, "pairs").withColumn("day", F.date_format("loaded_at", "yyyy-MM-dd"))
     return sketch(days, ["run", "day", "chrom1", "strand1"], _metrics(), ALPHA)
 
 
@@ -159,7 +159,7 @@ def _sketches() -> str:
 
     keys, lg = "run, day, chrom1, strand1", f"ln({gamma(ALPHA)!r})"
     return f"""
-WITH p AS (SELECT *, CAST(loaded_at AS DATE) AS day FROM pairs),
+WITH p AS (SELECT *, strftime(loaded_at, '%Y-%m-%d') AS day FROM pairs),
 v AS (
   SELECT {keys}, 'pos1' AS metric, CAST(pos1 AS DOUBLE) AS v FROM p
   UNION ALL SELECT {keys}, 'pos2', pos2 FROM p
