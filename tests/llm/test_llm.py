@@ -34,6 +34,22 @@ def test_reader_words(page, words):
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti", "vu", "ze") for b in ("n", "r", "st", "lm", "x", "é")]
 
 
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_edit_distances():
+    rnd = np.random.default_rng(1)
+    x, y = rnd.integers(0, 4, (300, 9)), rnd.integers(0, 4, (300, 9))
+    assert leaks.edit_distances(x, y).tolist() == [word_distance(a, b) for a, b in zip(x.tolist(), y.tolist())]
+
+
 def brute_leaks(docs, items, window, edits):
     best = {}
     for d, page in docs:
@@ -42,8 +58,8 @@ def brute_leaks(docs, items, window, edits):
             iw = reader_words(text)
             for a in range(len(dw) - window + 1):
                 for b in range(len(iw) - window + 1):
-                    n = leaks.word_distance(dw[a : a + window], iw[b : b + window], edits)
-                    if n is not None and n < best.get((d, i), edits + 1):
+                    x, y = dw[a : a + window], iw[b : b + window]
+                    if sum((Counter(x) - Counter(y)).values()) <= edits and (n := word_distance(x, y)) <= edits and n < best.get((d, i), edits + 1):
                         best[d, i] = n
     return best
 
@@ -88,6 +104,7 @@ def test_leaks_exact_is_complete(spark):
     want = set(brute_leaks(docs[:-1], items, 12, 0)) | {(104, 4)}
     got = leaks.find_leaks(d, i, max_edits=0).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and len(want) > 10
+    assert {tuple(r) for r in leaks.find_leaks(d, i, max_edits=0, send_rows=0).select("doc_id", "item_id").collect()} == want
     near = leaks.find_leaks(d, i, max_edits=1, walks=2, samples=2, bits=10)
     assert {(r.doc_id, r.item_id) for r in near.where("edits = 0").collect()} == want
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
@@ -97,6 +114,9 @@ def test_leaks_edited_recall(spark):
     docs, items = leak_tables(spark, 2)
     d, i = frames(spark, docs, items)
     want = brute_leaks(docs[:-1], items, 12, 1)
+    for edits in (1, 2):
+        both = [leaks.find_leaks(d, i, max_edits=edits, walks=4, samples=4, bits=8, send_rows=n).select("doc_id", "item_id", "edits") for n in (0, 10**6)]
+        assert sorted(both[0].collect()) == sorted(both[1].collect())
     got = {(r.doc_id, r.item_id): r.edits for r in leaks.find_leaks(d, i, max_edits=1, walks=4, samples=4, bits=8).collect() if r.doc_id != 104}
     assert all(k in want and want[k] <= e for k, e in got.items())
     assert len(got) >= 0.9 * len(want)
@@ -105,9 +125,7 @@ def test_leaks_edited_recall(spark):
 def test_walk_keeps_small_edits_near():
     """The embedding maps few edits to few differing places, on average far fewer than for unrelated windows."""
     rnd = np.random.default_rng(4)
-    every = [[np.array([j])] for j in range(24)]
     plan = [[np.array([j]) for j in range(24)]]
-    del every
 
     def places(x):
         return np.array([s[0] for _, s in leaks.signatures(leaks._mix(np.array(x, np.uint64)), np.array([0]), 12, plan)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,16 @@ def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)), begin, end
 
 
+@dataclass(frozen=True)
+class Known:
+    """The items' windows, small enough to be sent to all tasks."""
+
+    sigs: np.ndarray  # sorted
+    window: np.ndarray  # of each signature
+    words: np.ndarray  # [window, word]
+    items: np.ndarray  # of each window
+
+
 def _plan(window: int, walks: int, samples: int, bits: int, seed: int) -> list[list[np.ndarray]]:
     """For every walk, the sorted positions that each of its bit samplings reads."""
     rnd = np.random.default_rng(seed)
@@ -104,29 +115,65 @@ def _windows(texts: list[bytes], window: int, plan) -> Iterator[tuple[np.ndarray
     if not len(starts):
         return
     for _, sig in signatures(hashes, starts, window, plan):
-        yield sig, owner[starts], starts, (data, begin, end)
+        yield sig, owner[starts], starts, (data, hashes, begin, end)
+
+
+def _passages(data: bytes, begin: np.ndarray, end: np.ndarray, first: np.ndarray, window: int) -> list[str]:
+    return [" ".join(data[a:b].decode().split()) for a, b in zip(begin[first].tolist(), end[first + window - 1].tolist())]
 
 
 def _emit(ids, texts, window, plan, keep) -> Iterator[pd.DataFrame]:
-    for sig, owner, start, (data, begin, end) in _windows(texts, window, plan):
+    """The kept signatures with their window's text."""
+    for sig, owner, start, (data, _, begin, end) in _windows(texts, window, plan):
         at = np.flatnonzero(keep(sig)) if keep else np.arange(len(sig))
         if len(at):
             first = start[at]
-            yield pd.DataFrame({
-                "id": ids[owner[at]], "sig": sig[at].view(np.int64),
-                "passage": [" ".join(data[a:b].decode().split()) for a, b in zip(begin[first].tolist(), end[first + window - 1].tolist())],
-            })
-
-
-def _batches(pdfs: Iterator[pd.DataFrame], window: int, plan, keep=None, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Bounded pieces of the texts through the walk; one text is never split."""
+            yield pd.DataFrame({"id": ids[owner[at]], "sig": sig[at].view(np.int64), "passage": _passages(data, begin, end, first, window)})
+
+
+def _match(ids, texts, window, plan, keep, known: Known, max_edits: int) -> Iterator[pd.DataFrame]:
+    """The verified matches with known windows: for each document and item its nearest pair of windows."""
+    found = []
+    for sig, owner, start, held in _windows(texts, window, plan):
+        at = np.flatnonzero(keep(sig))
+        low, high = (np.searchsorted(known.sigs, sig[at], side) for side in ("left", "right"))
+        n = high - low
+        place = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(at) else low
+        found.append((np.repeat(at, n) << 32) | known.window[place])
+    if not found or not sum(map(len, found)):
+        return
+    pairs = np.unique(np.concatenate(found))  # a pair found by several repetitions is verified once
+    data, words, begin, end = held
+    best: list[pd.DataFrame] = []
+    for k in range(0, len(pairs), 1 << 16):
+        mine, theirs = pairs[k : k + (1 << 16)] >> 32, pairs[k : k + (1 << 16)] & 0xFFFFFFFF
+        x, y = words[start[mine][:, None] + np.arange(window)], known.words[theirs]
+        edits = (x != y).sum(axis=1)  # windows are equally long: one edit is one changed word
+        if max_edits > 1:
+            more = np.flatnonzero(edits > 1)
+            edits[more] = edit_distances(x[more], y[more])
+        near = np.flatnonzero(edits <= max_edits)
+        best.append(pd.DataFrame({"doc": owner[mine[near]], "known": theirs[near], "edits": edits[near], "start": start[mine[near]]}))
+    rows = pd.concat(best)
+    rows["item"] = known.items[rows["known"].to_numpy()]
+    rows = rows.sort_values(["doc", "item", "edits", "start", "known"]).drop_duplicates(["doc", "item"])
+    if len(rows):
+        first = rows["start"].to_numpy()
+        yield pd.DataFrame({
+            "id": ids[rows["doc"].to_numpy()], "item": rows["item"].to_numpy(), "edits": rows["edits"].to_numpy(),
+            "passage": _passages(data, begin, end, first, window), "known": rows["known"].to_numpy(),
+        })
+
+
+def _batches(pdfs: Iterator[pd.DataFrame], work, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """``work(ids, texts)`` over bounded pieces of the texts; one text is never split."""
     for pdf in pdfs:
         ids, texts, size, held = pdf["id"].to_numpy(), [], 0, 0
         for i, s in enumerate(pdf["text"]):
             texts.append(reader_bytes(s))
             size += len(texts[-1])
             if size > chars or i + 1 == len(pdf):
-                yield from _emit(ids[held : i + 1], texts, window, plan, keep)
+                yield from work(ids[held : i + 1], texts)
                 held, texts, size = i + 1, [], 0
 
 
@@ -136,7 +183,7 @@ def _slot_bits(sig: np.ndarray, log_slots: int) -> np.ndarray:
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-    window: int = 12, max_edits: int = 0, walks: int = 1, samples: int = 1, bits: int = 16, log_slots: int = 24, seed: int = 5,
+    window: int = 12, max_edits: int = 0, walks: int = 1, samples: int = 1, bits: int = 16, log_slots: int = 26, send_rows: int = 2_000_000, seed: int = 5,
 ) -> DataFrame:
     """Documents that hold a passage of an item: ``doc_id, item_id, edits, passage``.
 
@@ -144,24 +191,24 @@ def find_leaks(
     window of every item and every document gets ``walks * samples`` signatures: a CGK random walk embeds it so
     that few word edits change few places, and each signature samples ``bits`` places (:func:`signatures`). Equal
     windows have equal signatures, so unedited passages are found with certainty by any one repetition; more
-    repetitions raise the recall of edited ones. Candidates with an equal signature are then verified exactly:
-    the windows' word edit distance (character edit distance first, as an upper bound of what could match)
-    must be at most ``max_edits``. One row per document and item, with its least number of edits.
+    repetitions raise the recall of edited ones (:func:`repetitions_for`). Candidates with an equal signature are then
+    verified exactly: the windows' word edit distance must be at most ``max_edits``. One row per document and item, with its least number of edits.
 
-    What is sent to all tasks is a bitmap of the items' signatures, 2 ** ``log_slots`` bits (2 MB) whatever the
-    number of items; it has no false negatives, and only windows that hit it leave the scan. They meet the
-    items' windows in a join on the signature that Spark may broadcast or shuffle.
+    Sent to all tasks is a bitmap of the items' signatures, 2 ** ``log_slots`` bits (8 MB) whatever the number of
+    items; it has no false negatives. Up to ``send_rows`` signatures of items (counted first; 2,000,000 are some
+    250 MB at most) the items' windows are sent as well, candidates are verified in the task that read the document, and only
+    matches leave it. Beyond that, windows that hit the bitmap leave the scan and meet the items' windows in
+    a join on the signature. Both ways find the same pairs. Words are compared by their 64-bit hashes.
 
     Defined cases: NULL, empty or short texts (fewer than ``window`` words) have no window and match nothing; texts
     of any length are read whole; repeated documents and items, and items that share a passage, each
-    have their own rows; a NULL id gives rows with that NULL id; empty tables give no rows; other columns are ignored.
+    have their own rows; rows with a NULL id are left out; empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     plan = _plan(window, walks, samples, bits, seed)
     schema = "id long, sig long, passage string"
-    item_rows = items.select(col(item_id).cast("long").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull())
-    # One row per (signature, window text): the items that hold it stay apart, so shared passages are walked once.
-    item_windows = staged(item_rows.mapInPandas(lambda it: _batches(it, window, plan), schema).distinct())
+    item_rows = items.select(col(item_id).cast("long").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
+    item_windows = staged(item_rows.mapInPandas(lambda it: _batches(it, lambda i, t: _emit(i, t, window, plan, None)), schema).distinct())
 
     slot = F.shiftrightunsigned("sig", 64 - log_slots)
     filled = item_windows.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
@@ -178,15 +225,29 @@ def find_leaks(
         hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
         return (hit == 1) | (n == 0)
 
-    doc_rows = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull())
-    hits = doc_rows.mapInPandas(lambda it: _batches(it, window, plan, keep), schema)
+    doc_rows = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
+    if item_windows.count() <= send_rows:
+        rows = item_windows.toPandas()
+        windows = rows[["id", "passage"]].drop_duplicates().reset_index(drop=True)
+        number = rows.merge(windows.reset_index(names="n"), on=["id", "passage"])
+        sigs = number["sig"].to_numpy().view(np.uint64)
+        order = np.argsort(sigs, kind="stable")
+        words = _word_matrix(windows["passage"], window)
+        known = spark.sparkContext.broadcast(Known(sigs[order], number["n"].to_numpy(np.int64)[order], words, windows["id"].to_numpy(np.int64)))
+        found = doc_rows.mapInPandas(
+            lambda it: _batches(it, lambda i, t: _match(i, t, window, plan, keep, known.value, max_edits)),
+            "id long, item long, edits int, passage string, known long",
+        )
+        return _best(found.select(F.col("id").alias("doc"), "item", "edits", "passage"), doc_id, item_id)
+
+    hits = doc_rows.mapInPandas(lambda it: _batches(it, lambda i, t: _emit(i, t, window, plan, keep)), schema)
     pairs = hits.alias("d").join(item_windows.alias("i"), F.col("d.sig") == F.col("i.sig"))
+    same = F.col("d.passage") == F.col("i.passage")
     if max_edits == 0:
-        pairs = pairs.where(F.col("d.passage") == F.col("i.passage")).withColumn("edits", F.lit(0))
+        pairs = pairs.where(same).withColumn("edits", F.lit(0))
     else:
-        pairs = pairs.select(F.col("d.id").alias("a"), F.col("i.id").alias("b"), F.col("d.passage").alias("x"), F.col("i.passage").alias("y")).distinct()
-        pairs = pairs.withColumn("edits", _word_edits(max_edits)("x", "y")).where(F.col("edits").isNotNull())
-        return _best(pairs.select(F.col("a").alias("doc"), F.col("b").alias("item"), "edits", F.col("x").alias("passage")), doc_id, item_id)
+        pairs = pairs.withColumn("edits", F.when(same, F.lit(0)).otherwise(_word_edits(window)(F.col("d.passage"), F.col("i.passage"))))
+        pairs = pairs.where(F.col("edits") <= max_edits)
     return _best(pairs.select(F.col("d.id").alias("doc"), F.col("i.id").alias("item"), "edits", F.col("d.passage").alias("passage")), doc_id, item_id)
 
 
@@ -195,24 +256,29 @@ def _best(pairs: DataFrame, doc_id: str, item_id: str) -> DataFrame:
     return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("best.edits").alias("edits"), F.col("best.passage").alias("passage"))
 
 
-def word_distance(a: list[str], b: list[str], most: int) -> int | None:
-    """Edit distance of two word lists, None beyond ``most``; only the band of that width is computed."""
-    if abs(len(a) - len(b)) > most:
-        return None
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        low, high = max(1, i - most), min(len(b), i + most)
-        new = [most + 1] * (len(b) + 1)
-        new[0] = i
-        for j in range(low, high + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
-        row = new
-    return row[-1] if row[-1] <= most else None
+def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Edit distances of the rows of two matrices of words, all rows at once: one row of the usual table a step."""
+    n, width = x.shape
+    ramp = np.arange(width + 1, dtype=np.int16)
+    row = np.repeat(ramp[None, :], n, axis=0)
+    for i in range(width):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (x[:, i : i + 1] != y), row[:, 1:] + 1, out=new[:, 1:])
+        # Insertions: the running minimum of what lies to the left, one more for every place.
+        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+    return row[:, -1]
+
+
+def _word_matrix(passages: pd.Series, window: int) -> np.ndarray:
+    return word_hashes(np.frombuffer(" ".join(passages).encode(), np.uint8))[0].reshape(-1, window)
 
 
-def _word_edits(most: int):
+def _word_edits(window: int):
     def distances(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([word_distance(a.split(" "), b.split(" "), most) for a, b in zip(x, y)], dtype="Int32")
+        if not len(x):
+            return pd.Series([], dtype="int32")
+        return pd.Series(edit_distances(_word_matrix(x, window), _word_matrix(y, window)).astype("int32"))
 
     return F.pandas_udf(distances, "int")
 
