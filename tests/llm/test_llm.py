@@ -147,9 +147,11 @@ def test_shortest_pack_first(histogram, capacity):
     packs = packing.shortest_pack_first(histogram, capacity)
     held = Counter()
     for pattern, n in packs:
-        assert sum(pattern) <= capacity and n > 0 and pattern
-        for x in pattern:
-            held[x] += n
+        assert sum(x * c for x, c in pattern) <= capacity and n > 0 and pattern
+        assert len({x for x, _ in pattern}) == len(pattern) <= (2 * capacity) ** 0.5
+        for x, c in pattern:
+            held[x] += n * c
+    assert len(packs) <= 3 * len(histogram)
     assert held == Counter(histogram)
     total = sum(k * v for k, v in histogram.items())
     used = sum(n for _, n in packs)

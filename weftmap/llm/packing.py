@@ -15,19 +15,23 @@ from .tokens import Vocabulary, count_tokens
 RANK_PARTS = 256
 
 
-def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
+
+
+def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Patterns of lengths and how many containers have each, for ``histogram`` (length -> number of items).
 
     Lengths go in from the longest to the shortest. Each goes to the emptiest patterns that have room, as many
     of their containers as there are items; a pattern of which only some containers take the length is split in two.
-    What finds no room opens new containers. Works on the histogram alone: its size depends on ``capacity``.
+    What finds no room opens new containers. Works on the histogram alone. A length adds at most three patterns, and a
+    pattern has at most sqrt(2 * capacity) different lengths, so the result is bounded by ``capacity``, whatever the counts.
     """
     # What is still free -> patterns with so much room, as [pattern, containers]; rooms: a heap of the negated keys.
     open_by_room: dict[int, list[list]] = defaultdict(list)
     rooms: list[int] = []
-    done: list[tuple[tuple[int, ...], int]] = []
+    done: list[tuple[Pattern, int]] = []
 
-    def put(pattern: tuple[int, ...], containers: int, room: int) -> None:
+    def put(pattern: Pattern, containers: int, room: int) -> None:
         if room:
             if not open_by_room[room]:
                 heapq.heappush(rooms, -room)
@@ -46,13 +50,14 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
                 most = capacity // length
                 for copies, n in ((most, left // most), (left % most, 1)):
                     if copies and n:
-                        put((length,) * copies, n, capacity - copies * length)
+                        put(((length, copies),), n, capacity - copies * length)
                 break
             pattern, containers = open_by_room[room].pop()
             taken = min(left, containers)
             if containers > taken:
                 open_by_room[room].append([pattern, containers - taken])
-            put((*pattern, length), taken, room - length)
+            more = (*pattern[:-1], (length, pattern[-1][1] + 1)) if pattern[-1][0] == length else (*pattern, (length, 1))
+            put(more, taken, room - length)
             left -= taken
     done.extend((pattern, n) for held in open_by_room.values() for pattern, n in held)
     return done
@@ -98,17 +103,20 @@ def pack_documents(
     slots, first = defaultdict(list), 0
     upto: dict[int, int] = defaultdict(int)
     for pattern, n in shortest_pack_first(histogram, capacity):
-        for length in pattern:
-            # (rank from which the length's items come here, difference from rank to container)
-            slots[length].append((upto[length], first - upto[length]))
-            upto[length] += n
+        for length, copies in pattern:
+            # From this rank on, the length's items go round these containers: copies times.
+            slots[length].append((upto[length], first, n))
+            upto[length] += copies * n
         first += n
-    table = [(length, [a for a, _ in s], [b for _, b in s]) for length, s in slots.items()]
-    patterns = spark.createDataFrame(table, "len long, starts array<long>, shift array<long>")
-    placed = ranked.join(F.broadcast(patterns), "len")  # sized by the capacity, not by the documents
+    patterns = spark.createDataFrame(
+        [(length, *map(list, zip(*s))) for length, s in slots.items()],
+        "len long, starts array<long>, firsts array<long>, sizes array<long>",
+    )
+    placed = ranked.join(F.broadcast(patterns), "len")  # bounded by the capacity: 10 MB for 2,048 tokens
     # Starts are sorted: the slot of a rank is the last one that starts at or before it.
-    slot = F.size(F.filter("starts", lambda s: s <= F.col("rank")))
-    placed = placed.withColumn("container_id", F.col("rank") + F.element_at("shift", slot))
+    placed = placed.withColumn("slot", F.size(F.filter("starts", lambda s: s <= F.col("rank"))))
+    start, at, size_of = (F.element_at(c, F.col("slot")) for c in ("starts", "firsts", "sizes"))
+    placed = placed.withColumn("container_id", at + F.pmod(F.col("rank") - start, size_of))
 
     name = fresh(doc_id, ["piece_no", "token_from", "token_to", "n_tokens", "container_id"])
     whole = F.col("n") - F.col("len")
