@@ -133,12 +133,11 @@ def marginal(m: DataFrame, k: int = 1, flanks: bool = False, documented: bool =
     tail = Window.partitionBy("region").orderBy(F.desc("d"))
     tails = decay.select("region", F.col("d"), F.sum("v").over(tail).alias("t"))  # of this distance and all beyond
     size = m.groupBy("region").agg((F.max("j") + 1).alias("n"))
-    rows = rows.join(size, "region")
-    right = F.col("n") - F.col("i") + (0 if documented else 1)
+    rows = rows.join(size, "region").withColumn("__d", F.col("n") - F.col("i") + (0 if documented else 1))
     rows = rows.join(tails.select("region", (F.col("d") - 1).alias("i"), F.col("t").alias("__left")), ["region", "i"], "left")
-    rows = rows.join(tails.select("region", F.col("d").alias("__d"), F.col("t").alias("__right")).alias("r"), (rows["region"] == F.col("r.region")) & (right == F.col("__d")), "left")
+    rows = rows.join(tails.select("region", F.col("d").alias("__d"), F.col("t").alias("__right")), ["region", "__d"], "left")
     added = F.col("s") + F.coalesce("__left", F.lit(0.0)) + F.coalesce("__right", F.lit(0.0))
-    return rows.select(rows["region"], "i", F.when(F.col("s") != 0, added).otherwise(F.col("s")).alias("s"))
+    return rows.select("region", "i", F.when(F.col("s") != 0, added).otherwise(F.col("s")).alias("s"))
 
 
 def distance_average(m: DataFrame, show_self: bool = False) -> DataFrame:
@@ -169,8 +168,9 @@ def mad_mask(m: DataFrame, mad_max: float = 5) -> DataFrame:
     An empty row's log is minus infinity: it is masked, unless half or more of the rows are empty, when nothing is.
     """
     rows = marginal(m).withColumn("l", F.when(F.col("s") > 0, F.ln("s")).otherwise(F.lit(float("-inf"))))
-    mid = rows.groupBy("region").agg(F.median("l").alias("mid"))
-    rows = rows.join(mid, "region").where(F.col("mid") > F.lit(float("-inf"))).withColumn("dev", F.abs(F.col("l") - F.col("mid")))
+    filled = F.count(F.when(F.col("s") > 0, 1)) * 2 > F.count("*")
+    mid = rows.groupBy("region").agg(F.median("l").alias("mid"), filled.alias("filled")).where("filled")
+    rows = rows.join(mid, "region").withColumn("dev", F.when(F.col("s") > 0, F.abs(F.col("l") - F.col("mid"))).otherwise(F.lit(float("inf"))))
     mad = rows.groupBy("region").agg(F.median("dev").alias("mad"))
     return rows.join(mad, "region").where(F.col("l") < F.col("mid") - mad_max * F.col("mad")).select("region", "i")
 
@@ -272,7 +272,7 @@ def gaussian(df: DataFrame, keys: Sequence[str], pos: str, v: str, sigma: float,
     radius = len(w) // 2
     n = df.groupBy(*keys).agg((F.max(pos) + 1).alias("__n"))
     taps = F.explode(F.array(*[F.struct(F.lit(k - radius).alias("off"), F.lit(x).alias("w")) for k, x in enumerate(w)])).alias("tap")
-    taken = F.pmod(F.col(pos) + F.col("tap.off"), 2 * F.col("__n"))
+    taken = F.pmod(F.col("__to") + F.col("tap.off"), 2 * F.col("__n"))
     source = F.when(taken < F.col("__n"), taken).otherwise(2 * F.col("__n") - 1 - taken)
     rows = df.join(n, [*keys]).select(*keys, F.col(pos).alias("__to"), F.col(v).alias("__own"), "__n", taps).select(
         *keys, "__to", "__own", source.alias("__p"), F.col("tap.w").alias("__w")
@@ -353,10 +353,10 @@ def neighbor_weights(factors: DataFrame, bins: DataFrame, fine: int, coarse: int
 
 
 def normalize_average(m: DataFrame, max_prob: float = 10.0, neighbor_prob: float = 1.0) -> DataFrame:
-    """The map scaled so that its first diagonal has the mean ``neighbor_prob``, capped at ``max_prob``."""
+    """The map scaled so that its first diagonal has the mean ``neighbor_prob``, capped at ``max_prob``; NULL without a first diagonal."""
     mean = m.where("j = i + 1").groupBy("region").agg(F.avg("v").alias("__mean"))
     scaled = F.col("v") * neighbor_prob / F.nullif("__mean", F.lit(0.0))
-    return m.join(mean, "region").select("region", "i", "j", F.when(scaled > max_prob, max_prob).otherwise(scaled).alias("v"))
+    return m.join(mean, "region", "left").select("region", "i", "j", F.when(scaled > max_prob, max_prob).otherwise(scaled).alias("v"))
 
 
 def normalize_neighbor(
@@ -468,8 +468,8 @@ def apply_batch_factors(m: DataFrame, factors: DataFrame) -> DataFrame:
     """The map times its region's global factor, and near the diagonal times the factor of the separation."""
     g = factors.groupBy("region").agg(F.max("global_factor").alias("__g"))
     near = factors.select("region", F.col("d").alias("__d"), F.col("factor").alias("__f"))
-    rows = m.join(g, "region").withColumn("__d", F.col("j") - F.col("i")).join(near, ["region", "__d"], "left")
-    return rows.select("region", "i", "j", (F.col("v") * F.col("__g") * F.when(F.col("__d") < F.lit(0), 1.0).otherwise(F.coalesce("__f", F.lit(1.0)))).alias("v"))
+    rows = m.join(g, "region", "left").withColumn("__d", F.col("j") - F.col("i")).join(near, ["region", "__d"], "left")
+    return rows.select("region", "i", "j", (F.col("v") * F.col("__g") * F.coalesce("__f", F.lit(1.0))).alias("v"))
 
 
 def merged_map(upper: DataFrame, lower: DataFrame, main_diagonal: bool = True) -> DataFrame:
