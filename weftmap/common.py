@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _staging_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "weftmap", spark.sparkContext.applicationId)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application staged, once no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_staging_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -44,23 +54,23 @@ def staged(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     sums in another order, and a lost executor costs only the tasks it was running.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "weftmap", uuid.uuid4().hex)
+    path = os.path.join(_staging_folder(spark), uuid.uuid4().hex)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running_total(df: DataFrame, keys: Sequence[str], value: str, weight: str, cell: Column, out: str) -> DataFrame:
-    """Add ``out``: the total of ``weight`` over the rows of the same ``keys`` up to ``value``.
+def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: Mapping[str, str], cell: Column) -> DataFrame:
+    """Add a column for each of ``totals`` (result -> weight): the sum of the weight over the rows of the same ``keys`` up to ``value``.
 
     ``df`` has one row per (keys, value) and ``cell`` never decreases with ``value``. Two levels:
-    a window inside each (keys, cell) and one over the cells' totals, so that no task has to hold
+    a window inside each (keys, cell) and one over the cells' sums, so that no task has to hold
     all the rows of a key. Rows with a NULL key are the caller's to remove.
     """
     k = [col(c) for c in keys]
     inside = Window.partitionBy(*k, "__cell").orderBy(col(value))
-    rows = df.withColumn("__cell", cell).withColumn(out, F.sum(weight).over(inside))
-    cells = rows.groupBy(*k, "__cell").agg(F.sum(weight).alias("__n"))
+    rows = df.withColumn("__cell", cell).withColumns({out: F.sum(w).over(inside) for out, w in totals.items()})
+    cells = df.groupBy(*k, cell.alias("__cell")).agg(*[F.sum(w).alias(f"__{out}") for out, w in totals.items()])
     before = Window.partitionBy(*k).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*k, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    cells = cells.select(*k, "__cell", *[F.coalesce(F.sum(f"__{out}").over(before), F.lit(0)).alias(f"__{out}") for out in totals])
     joined = rows.join(cells, [*keys, "__cell"])
-    return joined.withColumn(out, col(out) + F.col("__before")).drop("__before", "__cell")
+    return joined.withColumns({out: col(out) + F.col(f"__{out}") for out in totals}).drop("__cell", *[f"__{out}" for out in totals])

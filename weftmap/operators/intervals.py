@@ -7,12 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import col, running_total
+from ..common import col, running_totals, staged
 
 
-def _ranked(df: DataFrame, keys: list[str], cell_width: int) -> DataFrame:
-    """Rows (keys, v, n) -> with ``upto``, the number of values <= v in the entity."""
-    return running_total(df, keys, "v", "n", F.floor(F.col("v") / F.lit(cell_width)), "upto")
+def _ranked(events: DataFrame, keys: list[str], cell_width: int) -> DataFrame:
+    """Events (keys, v, opens, closes) -> one row per value with the ranks ``opened`` and ``closed``: how many opens and closes lie at or before it."""
+    counted = staged(events.groupBy(*keys, "v").agg(F.sum("opens").alias("opens"), F.sum("closes").alias("closes")))
+    return running_totals(counted, keys, "v", {"opened": "opens", "closed": "closes"}, F.floor(F.col("v") / F.lit(cell_width)))
+
+
+def _events(df: DataFrame, keys: list[str], opens: str, closes: str) -> DataFrame:
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = [F.struct(F.col(v).alias("v"), a.alias("opens"), b.alias("closes")) for v, a, b in ((opens, one, none), (closes, none, one))]
+    return df.select(*keys, F.inline(F.array(*ends)))
 
 
 def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, cell_width: int = 1 << 16) -> DataFrame:
@@ -21,8 +28,9 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, c
     Starts and ends are ranked independently per entity. Behind rank k lies a gap exactly where
     the start of rank k+1 exceeds the end of rank k; the boundaries left over, paired by their
     own ranks, are the periods. Equal values are counted before they are shuffled, ranks come
-    from :func:`weftmap.common.running_total`, and every join is on (entity, rank), so an entity
-    with a third of all rows is spread over all tasks like any other.
+    from :func:`weftmap.common.running_totals`, and every join is on (entity, rank), so an entity
+    with a third of all rows is spread over all tasks like any other. The ranked boundaries and the
+    gaps are written to the shared folder, so that ``df`` is read once.
 
     Returns ``keys..., kind, from_pos, to_pos``; kind is ``period`` or ``gap``.
 
@@ -39,28 +47,19 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, c
     for k in names:
         clean = clean.where(F.col(k).isNotNull())
 
-    starts = _ranked(clean.groupBy(*names, F.col("s").alias("v")).agg(F.count("*").alias("n")), names, cell_width)
-    ends = _ranked(clean.groupBy(*names, F.col("e").alias("v")).agg(F.count("*").alias("n")), names, cell_width)
-    # Of equal starts only the first rank can follow a gap, of equal ends only the last can precede one.
-    gaps = (
-        ends.select(*names, F.col("upto").alias("rank"), F.col("v").alias("from_pos"))
-        .join(starts.select(*names, (F.col("upto") - F.col("n")).alias("rank"), F.col("v").alias("to_pos")), [*names, "rank"])
-        .where(F.col("to_pos") > F.col("from_pos"))
-        .select(*names, "from_pos", "to_pos")
-    )
-    outer = clean.groupBy(*names).agg(F.min("s").alias("first"), F.max("e").alias("last"))
-    one = F.lit(1).cast("long").alias("n")
-    opens = _ranked(
-        gaps.select(*names, F.col("to_pos").alias("v"), one).unionByName(outer.select(*names, F.col("first").alias("v"), one)),
-        names, cell_width,
-    )
-    closes = _ranked(
-        gaps.select(*names, F.col("from_pos").alias("v"), one).unionByName(outer.select(*names, F.col("last").alias("v"), one)),
-        names, cell_width,
-    )
-    periods = opens.select(*names, F.col("upto").alias("rank"), F.col("v").alias("from_pos")).join(
-        closes.select(*names, F.col("upto").alias("rank"), F.col("v").alias("to_pos")), [*names, "rank"]
-    )
+    ranked = staged(_ranked(_events(clean, names, "s", "e"), names, cell_width))
+    # Of equal starts only the first rank can follow a gap, of equal ends only the last can precede one. Where the next start
+    # exceeds this end, as many starts as ends lie up to the end, and as many starts as ends before the start: the others need no join.
+    last_ranks = ranked.where("closes > 0 AND opened = closed").select(*names, F.col("closed").alias("rank"), F.col("v").alias("from_pos"))
+    next_ranks = ranked.where("opens > 0 AND opened - opens = closed - closes").select(*names, (F.col("opened") - F.col("opens")).alias("rank"), F.col("v").alias("to_pos"))
+    gaps = last_ranks.join(next_ranks, [*names, "rank"]).where(F.col("to_pos") > F.col("from_pos"))
+    gaps = staged(gaps.select(*names, "from_pos", "to_pos"))
+
+    outer = ranked.groupBy(*names).agg(F.min(F.when(F.col("opens") > 0, F.col("v"))).alias("first"), F.max(F.when(F.col("closes") > 0, F.col("v"))).alias("last"))
+    borders = _ranked(_events(gaps, names, "to_pos", "from_pos").unionByName(_events(outer, names, "first", "last")), names, cell_width)
+    opens = borders.where("opens > 0").select(*names, F.col("opened").alias("rank"), F.col("v").alias("from_pos"))
+    closes = borders.where("closes > 0").select(*names, F.col("closed").alias("rank"), F.col("v").alias("to_pos"))
+    periods = opens.join(closes, [*names, "rank"])
     both = periods.select(*names, F.lit("period").alias("kind"), "from_pos", "to_pos").unionByName(
         gaps.select(*names, F.lit("gap").alias("kind"), "from_pos", "to_pos")
     )

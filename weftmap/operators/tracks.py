@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import running_total
+from ..common import running_totals
 from .intervals import periods_and_gaps
 
 
@@ -37,7 +37,7 @@ def track_limits(binned: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFra
 def drop_overlaps(df: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str]) -> DataFrame:
     """Sorted by start (and ``order``), a row is kept if it begins at or behind the end of the last row kept of its key.
 
-    What is kept in one covered period does not depend on the period before, so periods, not keys, are the groups. Rows whose bounds
+    What is kept in one covered period does not depend on the period before, so runs of periods, not keys, are the groups. Rows whose bounds
     make no interval are dropped.
     """
     k = list(keys)
@@ -49,8 +49,9 @@ def drop_overlaps(df: DataFrame, keys: Sequence[str], start: str, end: str, orde
         gaps.select(*k, F.col("to_pos").alias("v"), F.lit(1).cast("long").alias("n"))
     )
     events = events.groupBy(*k, "v").agg(F.sum("n").alias("n"))
-    period = running_total(events, k, "v", "n", F.floor(F.col("v") / (1 << 16)), "__period").select(*k, F.col("v").alias(start), "__period")
-    rows = rows.join(period, [*k, start])
+    period = running_totals(events, k, "v", {"__period": "n"}, F.floor(F.col("v") / (1 << 16))).select(*k, F.col("v").alias(start), "__period")
+    # A group takes 256 periods on end: behind a period the next row is kept anyway, and groups have their price.
+    rows = rows.join(period.withColumn("__period", F.floor(F.col("__period") / 256)), [*k, start])
 
     columns = df.columns
 
