@@ -464,6 +464,13 @@ def batch_factors(query: DataFrame, reference: DataFrame, separation: int = 5) -
     )
 
 
+def factor_report(factors: DataFrame) -> DataFrame:
+    """``region, global_factor, factors`` as text with three decimals, the factors in order of their separation."""
+    text = lambda c: F.format_string("%.3f", c)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("d", "factor"))), lambda x: text(x["factor"]))
+    return factors.groupBy("region").agg(text(F.max("global_factor")).alias("global_factor"), F.array_join(listed, ",").alias("factors"))
+
+
 def apply_batch_factors(m: DataFrame, factors: DataFrame) -> DataFrame:
     """The map times its region's global factor, and near the diagonal times the factor of the separation."""
     g = factors.groupBy("region").agg(F.max("global_factor").alias("__g"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import glob
 import gzip
 import json
+import os
 import re
 from collections.abc import Sequence
 
@@ -123,6 +125,12 @@ def declared_columns(lines: DataFrame) -> DataFrame:
     return heads.select("run", F.posexplode(names).alias("position", "column"))
 
 
+def find_tracks(folder: str, patterns: Sequence[str] = ("*.bedgraph", "*.bg")) -> dict[str, str]:
+    """The track files of a local or mounted folder by name, in order of their paths."""
+    paths = sorted(p for pattern in patterns for p in glob.glob(os.path.join(folder, pattern)))
+    return {os.path.basename(p): p for p in paths}
+
+
 # ---------------------------------------------------------------- sinks
 
 
