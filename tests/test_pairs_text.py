@@ -246,6 +246,17 @@ def test_commands(spark, folder):
     assert os.path.exists(f"{folder}/bed")
 
 
+def test_stream_windows(spark, folder):
+    import datetime as dt
+
+    day = dt.datetime(2031, 3, 1, 5)
+    frame(spark, row(loaded_at=day), row(loaded_at=day), row(loaded_at=day + dt.timedelta(days=1), run="b"), row(loaded_at=None)).write.parquet(f"{folder}/in")
+    counts = ST.loads_per_window(ST.stream_pairs(spark, f"{folder}/in", frame(spark).schema))
+    query = counts.writeStream.format("memory").queryName("loads").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r.run, r.n) for r in spark.table("loads").collect() if r.window) == [("a", 2), ("b", 1)]
+
+
 def test_stream(spark, sizes, folder):
     df = frame(spark, row(strand2="-"), row(), row(pair_type="DD"))
     df.write.parquet(f"{folder}/in")

@@ -34,7 +34,7 @@ def count_pixels(pairs: DataFrame, bins: DataFrame, resolution: int, keys: Seque
     """Pairs (1-based positions on known chromosomes) counted into pixels, per ``keys`` if given."""
     offsets = _offsets(bins)
     for k in (1, 2):
-        pairs = pairs.join(F.broadcast(offsets.select(F.col("chrom").alias(f"chrom{k}"), F.col("offset").alias(f"__o{k}"))), f"chrom{k}")
+        pairs = pairs.join(offsets.select(F.col("chrom").alias(f"chrom{k}"), F.col("offset").alias(f"__o{k}")), f"chrom{k}")
     a, b = (F.col(f"__o{k}") + F.floor((F.col(f"pos{k}") - 1) / resolution) for k in (1, 2))
     pixels = pairs.select(*keys, F.least(a, b).alias("bin1_id"), F.greatest(a, b).alias("bin2_id")).where("bin1_id IS NOT NULL AND bin2_id IS NOT NULL")
     return pixels.groupBy(*keys, "bin1_id", "bin2_id").agg(F.count("*").alias("count"))
@@ -50,7 +50,7 @@ def merge_pixels(*maps: DataFrame) -> DataFrame:
 
 def zoom_pixels(pixels: DataFrame, bins: DataFrame, coarse: DataFrame, factor: int) -> DataFrame:
     """Pixels of ``factor`` times coarser bins; bins are joined within their chromosome and never across."""
-    parent = bins.join(F.broadcast(_offsets(coarse)), "chrom").select("bin_id", (F.col("offset") + F.floor(F.col("i") / factor)).alias("parent"))
+    parent = bins.join(_offsets(coarse), "chrom").select("bin_id", (F.col("offset") + F.floor(F.col("i") / factor)).alias("parent"))
     up = pixels
     for k in (1, 2):
         up = up.join(parent.withColumnsRenamed({"bin_id": f"bin{k}_id", "parent": f"__p{k}"}), f"bin{k}_id")
@@ -186,7 +186,7 @@ def capture_rates(probes: DataFrame, regions: DataFrame, bin_size: int, document
     touches = ((s >= F.col("__s")) & (s < F.col("__e"))) | ((e >= F.col("__s")) & (e < F.col("__e")))
     if documented:
         touches = (s < F.col("__e")) & (e > F.col("__s"))
-    hit = probes.join(F.broadcast(r), (F.col("chrom") == F.col("__c")) & touches & (s < e))
+    hit = probes.join(r, (F.col("chrom") == F.col("__c")) & touches & (s < e))
     low, high = F.greatest(s, F.col("__s")) - F.col("__s"), F.least(e, F.col("__e")) - F.col("__s")
     hit = hit.select("region", low.alias("low"), high.alias("high")).where("high > low")
     hit = hit.select("region", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / bin_size), F.floor((F.col("high") - 1) / bin_size))).alias("i"))

@@ -191,7 +191,9 @@ def mark_duplicates(df: DataFrame, order: list[str], mismatch: int = 1, rounds:
     complete = F.lit(True)
     for c in key:
         complete = complete & F.col(c).isNotNull()
-    points = staged(df.where(complete).select(*key).distinct().withColumn("id", F.xxhash64(*key)))
+    # 128 bits name a position: at 10^12 positions two of them share a name with a chance of 10^-15.
+    name = F.struct(F.xxhash64(*key).alias("a"), F.xxhash64(F.lit(1), *key).alias("b"))
+    points = staged(df.where(complete).select(*key).distinct().withColumn("id", name))
     steps = [(a, b) for a in range(-mismatch, mismatch + 1) for b in range(-mismatch, mismatch + 1) if (a, b) > (0, 0)]
     steps = steps or [(0, 0)]  # with no mismatch a position's only neighbour is itself
     moved = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])).alias("step")
@@ -214,7 +216,7 @@ def mark_duplicates(df: DataFrame, order: list[str], mismatch: int = 1, rounds:
         raise RuntimeError(f"clusters did not settle in {rounds} rounds")
     # The row number makes rows that are equal in every column differ; staged, as it must not be drawn twice.
     order = [*order, "__row"]
-    tagged = staged(df.withColumns({"__id": F.when(complete, F.xxhash64(*key)), "__row": F.monotonically_increasing_id()}))
+    tagged = staged(df.withColumns({"__id": F.when(complete, name), "__row": F.monotonically_increasing_id()}))
     tagged = tagged.join(labels.select(F.col("id").alias("__id"), F.col("label").alias("__label")), "__id", "left")
     cluster = F.coalesce("__label", "__id")
     # The first row of a cluster: a minimum that is combined before the shuffle, not a sort of the cluster.

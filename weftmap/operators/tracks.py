@@ -18,7 +18,7 @@ def bin_track(track: DataFrame, sizes: DataFrame, step: int, keys: Sequence[str]
     Weighted by overlap length: bases are never expanded. The last step of a chromosome may be shorter.
     """
     s, e = F.col("start"), F.col("end")
-    rows = track.join(F.broadcast(sizes), "chrom").withColumn("end", F.least(e, F.col("size"))).where("end > start AND start >= 0")
+    rows = track.join(sizes, "chrom").withColumn("end", F.least(e, F.col("size"))).where("end > start AND start >= 0")
     bins = F.explode(F.sequence(F.floor(s / step), F.floor((e - 1) / step))).alias("i")
     rows = rows.select(*keys, s, e, "value", bins)
     over = F.least(e, (F.col("i") + 1) * step) - F.greatest(s, F.col("i") * step)
@@ -86,4 +86,4 @@ def renamed_chromosomes(df: DataFrame, prefix: str = "chr", column: str = "chrom
 
 def clipped(track: DataFrame, sizes: DataFrame) -> DataFrame:
     """Intervals cut at their chromosome's end; those beyond it, or on unknown chromosomes, are left out."""
-    return track.join(F.broadcast(sizes), "chrom").where("start < size").withColumn("end", F.least("end", "size")).select(*track.columns)
+    return track.join(sizes, "chrom").where("start < size").withColumn("end", F.least("end", "size")).select(*track.columns)

@@ -9,7 +9,7 @@ from ..common import table
 from ..operators.impute import impute_pmm
 from ..operators.intervals import periods_and_gaps
 from ..operators.quantiles import gamma, merge, percentiles, sketch
-from ..operators.rawlines import parse_pairs_lines, rejects, valid_records
+from ..operators.rawlines import FIELDS, MAX_MAPQ, PAIR_TYPES, parse_pairs_lines, rejects, valid_records
 from ..operators.salted import salted_aggregate
 
 ALPHA = 0.01
@@ -169,6 +169,26 @@ SELECT {keys}, metric,
 FROM v WHERE v IS NOT NULL GROUP BY ALL"""
 
 
+_FIELD = r'''(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'''
+_TYPES = ", ".join(f"'{t}'" for t in PAIR_TYPES)
+
+
+def _pos_ok(chrom: str, pos: str, size: str) -> str:
+    return f"""(({size} IS NOT NULL OR {chrom} = '!') AND ({pos} = '.' OR coalesce(regexp_full_match({pos}, '[0-9]+') AND TRY_CAST({pos} AS HUGEINT) BETWEEN 1 AND {size}, FALSE)))"""
+
+
+_P5 = f"""
+WITH r AS (SELECT line_id, regexp_full_match(line, '{_FIELD}(?:\\t{_FIELD})*') AS closed,
+            regexp_extract_all(line, '(?:^|\\t)("(?:[^"]|"")*"|[^\\t]*)', 1) AS raw FROM pairs_raw WHERE NOT starts_with(line, '#')),
+v AS (SELECT line_id, closed, len(raw) AS n, {', '.join(f"CASE WHEN starts_with(raw[{k + 1}], chr(34)) THEN replace(substr(raw[{k + 1}], 2, length(raw[{k + 1}]) - 2), chr(34) || chr(34), chr(34)) ELSE raw[{k + 1}] END AS {c}" for k, c in enumerate(FIELDS))} FROM r),
+z AS (SELECT v.*, a.size AS size1, b.size AS size2 FROM v LEFT JOIN chrom_sizes a ON a.chrom = v.chrom1 LEFT JOIN chrom_sizes b ON b.chrom = v.chrom2),
+p AS (SELECT *, CASE WHEN NOT closed THEN 'quoting' WHEN n <> 12 THEN 'column_count'
+  WHEN NOT ({_pos_ok('chrom1', 'pos1', 'size1')} AND {_pos_ok('chrom2', 'pos2', 'size2')} AND strand1 IN ('+', '-') AND strand2 IN ('+', '-') AND pair_type IN ({_TYPES})
+    AND regexp_full_match(mapq1, '[0-9]+') AND regexp_full_match(mapq2, '[0-9]+')
+    AND coalesce(TRY_CAST(mapq1 AS HUGEINT) <= {MAX_MAPQ} AND TRY_CAST(mapq2 AS HUGEINT) <= {MAX_MAPQ}, FALSE)) THEN 'bad_value' END AS reason FROM z)
+"""
+
+
 ORACLE = {
     "p1_found": _P1 + "SELECT * FROM found",
     "p1_coverage": _P1 + """
@@ -184,6 +204,9 @@ SELECT a.row_id FROM contact_map a WHERE NOT {_USABLE.format('a.weight')} AND EX
     "p3_found": "SELECT chrom1, pos1 FROM pairs WHERE chrom1 IS NOT NULL AND pos1 IS NOT NULL GROUP BY chrom1, pos1 "
     "HAVING count(*) * 100 >= (SELECT count(*) FROM pairs)",
     "p3_loci": _P3,
+    "p5_found": _P5 + "SELECT line_id, reason FROM p WHERE reason IS NOT NULL",
+    "p5_loaded": _P5 + """SELECT line_id, read_id, chrom1, CAST(nullif(pos1, '.') AS BIGINT) AS pos1, chrom2, CAST(nullif(pos2, '.') AS BIGINT) AS pos2,
+ strand1, strand2, pair_type, CAST(mapq1 AS INT) AS mapq1, CAST(mapq2 AS INT) AS mapq2 FROM p WHERE reason IS NULL""",
     "p4_sketches": _sketches(),
     "p4_percentiles": _p4("chrom1, strand1"),
     "p4_run_percentiles": _p4("run"),
