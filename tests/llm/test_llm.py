@@ -24,6 +24,8 @@ V = Vocabulary()
         ("'''bold'''s and ''it''", "bolds and it"), ("Straße STRASSE Été été", "strasse strasse ete ete"),
         ("or­chard ​takes﻿ now", "orchard takes now"), ("йод ЙОД", "иод иод"),
         ("{| class=\"wikitable\"\n! Year !! Name\n|-\n| 1965 || [[Z]] || style=\"color:red\" | n/a\n|}", "year name 1965 z n a"),
+        ("[[a|b [[c|d]] e]] [[f ]] g]] [[h", "b d e f g h"), ("a <!-- b <!-- c --> d <!-- e", "a d e"), ("[http://x.y/z see it] [//q]", "see it"),
+        ("{|\n| a=b c=\"d\" | e || f=g\n|}", "e f g"),
         ("* one\n# two\n== three ==", "one two three"), ("ＡＢ ﬁn", "ab fin"),
     ],
 )
@@ -31,6 +33,22 @@ def test_reader_words(page, words):
     assert reader_words(page) == words.split()
 
 
+@pytest.mark.parametrize("page", ["{{", "[[", "]]", "<b ", "'", "<!--", "[//", "&", "}}", '| a="b" ', "a=b", "__", "{|\n|-", "\u200b"])
+def test_reader_words_of_pathological_pages_are_linear(page):
+    import time
+
+    began = time.process_time()
+    reader_words("{|\n|" + page * 200_000)
+    assert time.process_time() - began < 20
+
+
+def test_long_blank_runs():
+    s = "a" + " " * 3_000_000 + "b"
+    assert sum(len(x) for x in (encode(s, V),)) > 0 and leaks.word_hashes(np.frombuffer(s.encode(), np.uint8))[0].size == 2
+    cuts = pieces.cut("a" + " " * 250_000 + "b", 512, 0, V)
+    assert cuts[-1][1] == 250_002 and max(n for *_, n, _ in cuts) <= 512
+
+
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti", "vu", "ze") for b in ("n", "r", "st", "lm", "x", "é")]
 
 
@@ -245,5 +263,9 @@ def test_split_documents(spark):
     for r in pieces.split_documents(df, 128, 16).collect():
         assert texts[r.doc_id][r.start_char : r.end_char] == r.piece and r.n_tokens == len(encode(r.piece, V)) <= 128
     assert pieces.split_documents(df.limit(0), 128).count() == 0
+    big = 2**62 + 1
+    ids = spark.createDataFrame([(None, "no id"), (big, "an id")], "doc_id long, text string")
+    assert {(r.doc_id, r.piece) for r in pieces.split_documents(ids, 16).collect()} == {(None, "no id"), (big, "an id")}
+    assert packing.pack_documents(ids, 16).where("doc_id IS NULL AND n_tokens > 0").count() == 1
     with pytest.raises(ValueError):
         pieces.split_documents(df, 10, 5)

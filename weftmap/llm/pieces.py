@@ -140,7 +140,7 @@ def split_documents(
     piece. ``cut`` tells the boundary at the piece's end. Works document by document in one stage, without a shuffle.
 
     Defined cases: NULL and empty texts have no pieces; a single character of more tokens than ``limit`` is a piece of
-    its own beyond the limit (a character has 4 tokens at most); repeated rows give repeated pieces; a lone surrogate counts and
+    its own beyond the limit (a character has 4 tokens at most); repeated rows give repeated pieces; a NULL id stays NULL; a lone surrogate counts and
     comes out as ``?``; an empty table gives no rows; other columns are ignored. ``overlap`` must be less than half of ``limit``.
     """
     if limit < 1 or overlap < 0 or 2 * overlap >= max(limit, 1):
@@ -167,8 +167,10 @@ def split_documents(
                 yield pd.DataFrame(rows, columns=names)
 
     names = ["id", "piece_no", "n_pieces", "start_char", "end_char", "n_tokens", "cut", "piece"]
-    rows = df.select(col(doc_id).cast("long").alias("id"), col(text).alias("text")).where(F.length("text") > 0)
+    # Ids travel as text: pandas would make floats of longs beside a NULL.
+    rows = df.select(col(doc_id).cast("string").alias("id"), col(text).alias("text")).where(F.length("text") > 0)
     out = rows.mapInPandas(
-        pieces, "id long, piece_no int, n_pieces int, start_char long, end_char long, n_tokens long, cut string, piece string"
+        pieces, "id string, piece_no int, n_pieces int, start_char long, end_char long, n_tokens long, cut string, piece string"
     )
-    return out.withColumnRenamed("id", fresh(doc_id, names[1:]))
+    kind = df.select(col(doc_id)).dtypes[0][1]
+    return out.select(F.col("id").cast(kind).alias(fresh(doc_id, names[1:])), *names[1:])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+MAX_BLANK = 100_000
+_BLANK = re.compile(rf"\s{{{MAX_BLANK}}}")
+
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -43,9 +47,20 @@ def _well_formed(s: str) -> str:
     return s if s.isascii() else s.encode("utf-8", "replace").decode()
 
 
+def _tokens(encoding, s: str) -> list[int]:
+    """The text's tokens. The pattern matcher overflows on white space of about a million characters: longer runs than MAX_BLANK go in parts."""
+    s = _well_formed(s)
+    if len(s) <= MAX_BLANK:
+        return encoding.encode_ordinary(s)
+    out, at = [], 0
+    for m in _BLANK.finditer(s):
+        out += encoding.encode_ordinary(s[at : m.end()])
+        at = m.end()
+    return out + encoding.encode_ordinary(s[at:])
+
+
 def encode(s: str, vocabulary: Vocabulary) -> np.ndarray:
-    encoding, _ = load(vocabulary)
-    return np.array(encoding.encode_ordinary(_well_formed(s)), np.int64)
+    return np.array(_tokens(load(vocabulary)[0], s), np.int64)
 
 
 def token_ends(s: str, vocabulary: Vocabulary) -> np.ndarray:
@@ -60,6 +75,6 @@ def count_tokens(text: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding, _ = load(vocabulary)
         for batch in batches:
-            yield pd.Series([len(encoding.encode_ordinary(_well_formed(s))) if s else 0 for s in batch], dtype="int64")
+            yield pd.Series([len(_tokens(encoding, s)) if s else 0 for s in batch], dtype="int64")
 
     return F.pandas_udf(counts, "long")(text)

@@ -8,14 +8,14 @@ import unicodedata
 
 import regex
 
-_COMMENT = re.compile(r"<!--.*?-->", re.S)
 _BRACES = re.compile(r"\{\{+|\}\}+")
-_LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
-_EXTERNAL = re.compile(r"\[(?:https?:|ftp:|mailto:)?//[^\s\]]*\s*([^\]]*)\]", re.I)
+_BRACKETS = re.compile(r"\[\[|\]\]")
+_EXTERNAL = re.compile(r"\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]*\s*([^\[\]\n]*)\]", re.I)
 _INLINE = "abbr|b|bdi|big|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|nowiki|noinclude|includeonly|onlyinclude"
 _TAG = re.compile(rf"</?(?:({_INLINE})|[a-z][a-z0-9]*)(?=[\s/>])[^<>]*>", re.I)
 _QUOTES = re.compile(r"''+")
-_CELL = re.compile(r"(^[ \t]*[|!]|\|\||!!)((?:\s*[\w-]+\s*=\s*(?:\"[^\"\n]*\"|'[^'\n]*'|[\w#%-]+))+)\s*\|(?![|])", re.M)
+_ATTRIBUTE = r"[\w-]+[ \t]*=[ \t]*(?:\"[^\"\n]*\"|'[^'\n]*'|[\w#%-]+)"
+_CELL = re.compile(rf"(^[ \t]*[|!]|\|\||!!)[ \t]*{_ATTRIBUTE}(?:[ \t]+{_ATTRIBUTE})*[ \t]*\|(?!\|)", re.M)
 _ROW = re.compile(r"^[ \t:]*(?:\{\||\|-)[^\n]*", re.M)
 _MAGIC = re.compile(r"__[A-Z]+__")
 _GONE = regex.compile(r"[\p{M}\p{Cf}]+")
@@ -24,6 +24,14 @@ _FILE = re.compile(r"\s*(?:file|image|datei|bild|archivo|fichier|файл)\s*:",
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
+def _without_comments(s: str) -> str:
+    out, at = [], 0
+    while (a := s.find("<!--", at)) >= 0 and (b := s.find("-->", a + 4)) >= 0:
+        out.append(s[at:a])
+        at = b + 3
+    return "".join([*out, s[at:]]) if out else s
+
+
 def _without_templates(s: str) -> str:
     """``s`` without its balanced {{...}}, nested ones included; braces that match nothing stay as text."""
     stack: list[int] = []
@@ -48,9 +56,9 @@ def _without_templates(s: str) -> str:
     return "".join(out)
 
 
-def _label(m: re.Match) -> str:
+def _label(link: str) -> str:
     """A link's visible text: its label, else its target; categories and links to other languages show nothing, a file its caption."""
-    target, bar, label = m.group(1).partition("|")
+    target, bar, label = link.partition("|")
     if ":" in target:
         if _FILE.match(target):
             return " " + label.rpartition("|")[2] + " "
@@ -60,18 +68,32 @@ def _label(m: re.Match) -> str:
     return label if bar and label.strip() else target
 
 
+def _without_links(s: str) -> str:
+    """Links by their visible text, the inner ones of nested links first; brackets that match nothing stay as text."""
+    open_: list[list[str]] = [[]]
+    at = 0
+    for m in _BRACKETS.finditer(s):
+        open_[-1].append(s[at : m.start()])
+        at = m.end()
+        if m.group() == "[[":
+            open_.append([])
+        elif len(open_) > 1:
+            link = "".join(open_.pop())
+            open_[-1].append(_label(link))
+    open_[-1].append(s[at:])
+    return "[[".join("".join(parts) for parts in open_)
+
+
 def visible_text(s: str) -> str:
     """The page as its reader sees it: links by their visible text, no templates, comments or tags, entities decoded."""
     if "<!--" in s:
-        s = _COMMENT.sub("", s)
+        s = _without_comments(s)
     if "{{" in s:
         s = _without_templates(s)
     if "{|" in s:
         s = _CELL.sub(r"\1 ", _ROW.sub("\n", s))
     if "[[" in s:
-        s, n = _LINK.subn(_label, s)
-        while n and "[[" in s:
-            s, n = _LINK.subn(_label, s)
+        s = _without_links(s)
     if "[" in s:
         s = _EXTERNAL.sub(r"\1", s)
     if "<" in s:
