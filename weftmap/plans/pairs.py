@@ -180,6 +180,18 @@ SELECT {_PLAIN} FROM ({valid_sql()}) v
 WHERE EXISTS (SELECT 1 FROM per WHERE per.chrom = v.chrom1 AND v.pos1 > s AND v.pos1 <= e)
   AND EXISTS (SELECT 1 FROM per WHERE per.chrom = v.chrom2 AND v.pos2 > s AND v.pos2 <= e)""",
     "pairs_sorted": f"SELECT {_PLAIN} FROM pairs ORDER BY chrom1, chrom2, pos1, pos2",
+    "pairs_duplicates": """WITH RECURSIVE f AS (SELECT * FROM pairs WHERE chrom1 IS NOT NULL AND chrom2 IS NOT NULL AND strand1 IS NOT NULL
+ AND strand2 IS NOT NULL AND pos1 IS NOT NULL AND pos2 IS NOT NULL),
+pt AS (SELECT *, row_number() OVER () AS id FROM (SELECT DISTINCT chrom1, chrom2, strand1, strand2, pos1, pos2 FROM f)),
+step AS (SELECT a, b FROM (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b) WHERE a <> 0 OR b <> 0),
+edge AS (SELECT p.id AS x, q.id AS y FROM pt p, step s JOIN pt q ON q.chrom1 = p.chrom1 AND q.chrom2 = p.chrom2 AND q.strand1 = p.strand1
+ AND q.strand2 = p.strand2 AND q.pos1 = p.pos1 + s.a AND q.pos2 = p.pos2 + s.b),
+reach AS (SELECT id AS x, id AS y FROM pt UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y),
+lab AS (SELECT x AS id, min(y) AS label FROM reach GROUP BY x),
+o AS (SELECT f.run, row_number() OVER (PARTITION BY label ORDER BY loaded_at, read_id) AS k
+ FROM f JOIN pt USING (chrom1, chrom2, strand1, strand2, pos1, pos2) JOIN lab USING (id))
+SELECT run, count(*) AS n, CAST(coalesce(max(d), 0) AS BIGINT) AS n_duplicates
+FROM pairs LEFT JOIN (SELECT run, count(*) AS d FROM o WHERE k > 1 GROUP BY run) USING (run) GROUP BY run""",
     "pairs_exact_duplicates": """WITH k AS (SELECT *, chrom1 IS NOT NULL AND chrom2 IS NOT NULL AND strand1 IS NOT NULL AND strand2 IS NOT NULL
  AND pos1 IS NOT NULL AND pos2 IS NOT NULL AS full_key FROM pairs)
 SELECT (SELECT count(*) FROM k) AS n, CAST((SELECT count(*) FROM k WHERE full_key) - (SELECT count(*) FROM

@@ -72,6 +72,12 @@ ORACLE = {
     "smoothed_track": _BIN + f""", n AS (SELECT *, count(*) OVER (PARTITION BY chrom) AS n FROM bt),
 t AS (SELECT chrom, i, w, ((i + o) % (2 * n) + 2 * n) % (2 * n) AS q, n FROM n, (VALUES {', '.join(f'({k - len(_W) // 2}, {x!r})' for k, x in enumerate(_W))}) k(o, w))
 SELECT t.chrom, t.i, round(sum(w * bt.value), 6) AS value FROM t JOIN bt ON bt.chrom = t.chrom AND bt.i = CASE WHEN q < n THEN q ELSE 2 * n - 1 - q END GROUP BY ALL""",
+    "bedgraph_deoverlap": """WITH RECURSIVE r AS (SELECT track, chrom, start, "end", bed_id, row_number() OVER (PARTITION BY track, chrom ORDER BY start, "end", bed_id) AS rn
+ FROM bed WHERE track IS NOT NULL AND chrom IS NOT NULL AND start < "end"),
+k AS (SELECT track, chrom, rn, "end" AS reach, bed_id, TRUE AS kept FROM r WHERE rn = 1
+ UNION ALL SELECT r.track, r.chrom, r.rn, CASE WHEN r.start >= k.reach THEN r."end" ELSE k.reach END, r.bed_id, r.start >= k.reach
+ FROM k JOIN r ON r.track = k.track AND r.chrom = k.chrom AND r.rn = k.rn + 1)
+SELECT b.track, b.chrom, b.start, b."end", b.bed_id FROM k JOIN bed b USING (bed_id) WHERE kept""",
     "clipped_intervals": """SELECT bed_id, b.chrom, start, least("end", size) AS "end" FROM bed b JOIN chrom_sizes c ON c.chrom = b.chrom WHERE start < "end" AND start < size""",
     "header_columns": """WITH h AS (SELECT run, line, row_number() OVER (PARTITION BY run ORDER BY line_no) AS k FROM pairs_raw WHERE starts_with(line, '#columns:')),
 c AS (SELECT run, regexp_extract_all(substr(line, 10), '\\S+') AS names FROM h WHERE k = 1)
