@@ -29,7 +29,9 @@ def _scored(df: DataFrame, row_id: str, target: str, group: Sequence[str], match
     own = F.col("has").cast("int")
     others = F.coalesce(F.col("sim_n"), F.lit(0)) - own
     base = base.join(similar, [*g, *m], "left").withColumn("matched", others > 0)
-    base = base.withColumn("x", F.when(F.col("matched"), (F.col("sim_y") - F.coalesce("y", F.lit(0.0))) / others)).drop("sim_n", "sim_y")
+    base = base.withColumn("x", F.when(F.col("matched"), (F.col("sim_y") - F.coalesce("y", F.lit(0.0))) / others))
+    # Staged, and the lines below as well: predictions are joined on later, and a recomputed sum may differ in its last bit.
+    base = staged(base.select("id", *g, "u", "w", "has", "y", "matched", "x"))
 
     # One line per unit of a group, from sums; a unit with too few rows takes its group's line.
     xy = F.col("has") & F.col("matched")
@@ -54,6 +56,7 @@ def _scored(df: DataFrame, row_id: str, target: str, group: Sequence[str], match
         *[F.col(f"a.{k}").alias(k) for k in g], "u", F.coalesce(ub, gb, F.lit(1.0)).alias("slope"),
         F.coalesce(ua, ga, F.lit(0.0)).alias("icept"), F.coalesce(um, gm).alias("level"),
     )
+    fit = staged(fit)
     base = base.alias("b").join(fit.alias("f"), [F.col(f"b.{k}").eqNullSafe(F.col(f"f.{k}")) for k in [*g, "u"]])
     pred = F.when(F.col("matched"), F.col("icept") + F.col("slope") * F.col("x")).otherwise(F.col("level"))
     return base.select("b.id", *[f"b.{k}" for k in g], "w", "has", "matched", pred.alias("pred"))
@@ -85,8 +88,7 @@ def impute_pmm(
     empty result. All columns of ``df`` are kept.
     """
     g = [f"g{i}" for i in range(len(group))]
-    # Staged: predictions are joined on below, and a recomputed sum may differ in its last bit.
-    scored = staged(_scored(df, row_id, target, group, match, unit, min_fit))
+    scored = _scored(df, row_id, target, group, match, unit, min_fit)
     donor = F.struct(F.col("pred").alias("at"), F.col("id").alias("id"), F.col("w").alias("w"))
     points = scored.where(F.col("pred").isNotNull()).groupBy(*g, "pred").agg(
         F.min(F.when(F.col("has"), donor)).alias("donor"), F.max(~F.col("has")).alias("asks")
