@@ -101,6 +101,8 @@ def test_duplicates(spark):
     assert got.count() == len(rows) + 2 and got.where("is_duplicate").count() == brute(rows)
     assert got.where("is_duplicate AND pos1 IS NULL").count() == 0
     assert O.mark_duplicates(frame(spark), ["read_id"]).count() == 0
+    chain = frame(spark, *[row(read_id=f"{i:05d}", pos1=i, pos2=9000 - i) for i in range(3000)])  # one cluster
+    assert O.mark_duplicates(chain, ["read_id"]).where("NOT is_duplicate").count() == 1
 
 
 def test_curves(spark):

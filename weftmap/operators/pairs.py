@@ -179,12 +179,12 @@ def length_heatmap(
     return ends.select("length", F.explode(bins).alias("xbin")).groupBy("length", "xbin").agg(F.count("*").alias("n"))
 
 
-def mark_duplicates(df: DataFrame, order: list[str], mismatch: int = 1, rounds: int = 50) -> DataFrame:
+def mark_duplicates(df: DataFrame, order: list[str], mismatch: int = 1, rounds: int = 60) -> DataFrame:
     """``df`` with ``is_duplicate``: all but the first (by ``order``) of each cluster of pairs.
 
     Pairs with the same chromosomes and strands belong together if both ends lie within ``mismatch`` bases, and through
     others. Distinct positions are clustered, not rows, so repeated loci cost one row each. Neighbours are found with
-    equality joins on the shifted positions; labels spread to the least member of the cluster until nothing changes,
+    equality joins on the shifted positions; linked positions are contracted round by round until no link is left,
     each round written to the shared folder. Pairs without a position or strand are never duplicates.
     """
     key = ["chrom1", "chrom2", "strand1", "strand2", "pos1", "pos2"]
@@ -204,14 +204,19 @@ def mark_duplicates(df: DataFrame, order: list[str], mismatch: int = 1, rounds:
     edges = staged(half.unionByName(half.select(F.col("y").alias("x"), F.col("x").alias("y"))))
     labels = staged(edges.select(F.col("x").alias("id")).distinct().withColumn("label", F.col("id")))
     for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        # Pointer jumping: the label's own label is at least as small.
-        jump = new.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = staged(new.join(jump, "label", "left").select("id", F.least("label", F.coalesce("next", "label")).alias("label"), "old"))
-        labels = new.select("id", "label")
-        if not new.where("label <> old").limit(1).count():
+        if edges.isEmpty():
             break
+        # Every member joins the least of its neighbours, then theirs; joined members are one from then on. At least half
+        # of them vanish in a round, however long the chain is that holds a cluster together.
+        parent = staged(edges.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")))
+        for _ in range(2):
+            up = parent.select(F.col("x").alias("p"), F.col("p").alias("next"))
+            parent = parent.join(up, "p", "left").select("x", F.coalesce("next", "p").alias("p"))
+        parent = staged(parent)
+        of = lambda e: parent.withColumnsRenamed({"x": e, "p": f"p{e}"})  # noqa: B023, E731
+        labels = staged(labels.join(of("label"), "label", "left").select("id", F.coalesce("plabel", "label").alias("label")))
+        joined = edges.join(of("x"), "x").join(of("y"), "y").where("px <> py")
+        edges = staged(joined.select(F.col("px").alias("x"), F.col("py").alias("y")).distinct())
     else:
         raise RuntimeError(f"clusters did not settle in {rounds} rounds")
     # The row number makes rows that are equal in every column differ; staged, as it must not be drawn twice.
