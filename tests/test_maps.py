@@ -322,3 +322,11 @@ def test_neighbor_weights(spark):
     assert got["a", 2] is None and got["b", 0] == pytest.approx(1 / math.sqrt(10 * mid))
     with pytest.raises(ValueError):
         M.neighbor_weights(nf, bins, 200, 500)
+
+
+def test_neighbor_weights_without_neighbors(spark):
+    """Where most bins have no neighbours, the median and the clipped factors are 0 and weights infinite; a missing weight stays missing."""
+    nf = spark.createDataFrame([("c", i, 4.0 if i == 0 else 0.0) for i in range(6)], "chrom string, i long, nf double")
+    bins = spark.createDataFrame([("c", i, None if i == 2 else 1.0) for i in range(3)], "chrom string, i long, weight double")
+    got = {r.i: r.weight_neighbor for r in M.neighbor_weights(nf, bins, 200, 400).collect()}
+    assert got == {0: math.inf, 1: math.inf, 2: None}

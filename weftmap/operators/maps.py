@@ -339,7 +339,8 @@ def neighbor_weights(factors: DataFrame, bins: DataFrame, fine: int, coarse: int
     """``bins`` of the coarse resolution with ``weight_neighbor`` = weight / sqrt(factor).
 
     A coarse bin's factor is the mean of its fine bins' factors (chrom, i, nf), or the chromosome's mean without any; all are
-    clipped to the median over the genome divided and multiplied by ``eps``.
+    clipped to the median over the genome divided and multiplied by ``eps``. A factor of 0, left only where the median
+    is 0 (half of all bins or more without neighbours), makes the weight infinite.
     """
     if coarse % fine:
         raise ValueError("resolutions must be multiples of the neighbour resolution")
@@ -349,7 +350,8 @@ def neighbor_weights(factors: DataFrame, bins: DataFrame, fine: int, coarse: int
     up = up.join(whole, "chrom").select("chrom", "i", F.coalesce("nf", "__all").alias("nf"))
     mid = up.agg(F.median("nf")).scalar()
     up = up.select("chrom", "i", F.when(F.col("nf").isNotNull(), F.greatest(F.least("nf", mid * eps), mid / eps)).alias("nf"))
-    return bins.join(up, ["chrom", "i"], "left").withColumn("weight_neighbor", F.col("weight") / F.sqrt("nf")).drop("nf")
+    weight = F.when(F.col("nf") == 0, F.col("weight") * F.lit(float("inf"))).otherwise(F.col("weight") / F.sqrt("nf"))
+    return bins.join(up, ["chrom", "i"], "left").withColumn("weight_neighbor", weight).drop("nf")
 
 
 def normalize_average(m: DataFrame, max_prob: float = 10.0, neighbor_prob: float = 1.0) -> DataFrame:
