@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftmap.operators.impute import impute_pmm
+from weftmap.operators.impute import _with_cells, impute_pmm
 from weftmap.operators.intervals import periods_and_gaps
 from weftmap.operators.quantiles import merge, percentiles, sketch
 from weftmap.operators.rawlines import parse_batch, parse_pairs_lines, rejects, valid_records
@@ -158,8 +158,8 @@ def test_pmm_donors_are_nearest(spark):
                 w = level * (1 + u / 5) * math.exp(rnd.gauss(0, 0.05))
                 rows.append((len(rows), g, m, f"u{u}", rnd.choice(bad) if rnd.random() < 0.25 or m == 7 else w))
     rows += [(1000, "empty", 1, "u0", None), (1001, None, None, None, None), (1002, None, None, None, 2.0), (1003, "one", 5, "u", 3.0), (1004, "one", 5, "v", None)]
-    for cells in (1, 4, 64):
-        got = impute(spark, rows, cells=cells)
+    for kw in ({"cells": 1}, {"cells": 4}, {"cells": 1, "cell_rows": 11}, {"cells": 64}):
+        got = impute(spark, rows, **kw)
         by_id = {r[0]: r for r in rows}
         assert len(got) == len(rows)
         for i, (_, g, m, u, w) in by_id.items():
@@ -195,6 +195,17 @@ def test_pmm_donors_are_nearest(spark):
                 assert got[x[0]].prediction == pytest.approx(math.exp(pred[x[0]]))
 
 
+@pytest.mark.parametrize("cells", [1, 2, 17, 64, 100])
+def test_cells_are_ordered_and_bounded(spark, cells):
+    pred = [float(x * x % 997) for x in range(500)]
+    points = spark.createDataFrame([(g, p, 1, True) for g in "ab" for p in pred], "g0 string, pred double, donor int, asks boolean")
+    got = sorted((r.g0, r.pred, r.cell) for r in _with_cells(points, ["g0"], cells).collect())
+    assert len(got) == 1000 and {c for _, _, c in got} <= set(range(cells))
+    for g in "ab":
+        mine = [c for k, _, c in got if k == g]
+        assert mine == sorted(mine) and len(set(mine)) > 0.9 * cells
+
+
 def test_pmm_held_out_accuracy(spark):
     """Values held out come back nearer than with the group's mean."""
     rnd = random.Random(17)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +17,8 @@ def usable(value: Column) -> Column:
     return F.coalesce((v > 0) & (v < F.lit(float("inf"))) & ~F.isnan(v), F.lit(False))
 
 
-def _scored(df: DataFrame, row_id: str, target: str, group: Sequence[str], match: Sequence[str], unit: str, min_fit: int) -> DataFrame:
-    """Every row with its prediction: ``id, g.., w, has, matched, pred``."""
+def _scored(df: DataFrame, row_id: str, target: str, group: Sequence[str], match: Sequence[str], unit: str, min_fit: int) -> tuple[DataFrame, int]:
+    """Every row with its prediction: ``id, g.., w, has, matched, pred``; and the largest group's number of rows."""
     g, m = [f"g{i}" for i in range(len(group))], [f"m{i}" for i in range(len(match))]
     base = df.select(
         col(row_id).alias("id"), *[col(c).alias(k) for c, k in zip([*group, *match], [*g, *m])], col(unit).alias("u"),
@@ -32,6 +33,7 @@ def _scored(df: DataFrame, row_id: str, target: str, group: Sequence[str], match
     base = base.withColumn("x", F.when(F.col("matched"), (F.col("sim_y") - F.coalesce("y", F.lit(0.0))) / others))
     # Staged, and the lines below as well: predictions are joined on later, and a recomputed sum may differ in its last bit.
     base = staged(base.select("id", *g, "u", "w", "has", "y", "matched", "x"))
+    largest = base.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
 
     # One line per unit of a group, from sums; a unit with too few rows takes its group's line.
     xy = F.col("has") & F.col("matched")
@@ -59,12 +61,25 @@ def _scored(df: DataFrame, row_id: str, target: str, group: Sequence[str], match
     fit = staged(fit)
     base = base.alias("b").join(fit.alias("f"), [F.col(f"b.{k}").eqNullSafe(F.col(f"f.{k}")) for k in [*g, "u"]])
     pred = F.when(F.col("matched"), F.col("icept") + F.col("slope") * F.col("x")).otherwise(F.col("level"))
-    return base.select("b.id", *[f"b.{k}" for k in g], "w", "has", "matched", pred.alias("pred"))
+    return base.select("b.id", *[f"b.{k}" for k in g], "w", "has", "matched", pred.alias("pred")), largest
+
+
+def _with_cells(points: DataFrame, g: Sequence[str], cells: int) -> DataFrame:
+    """``points`` with the quantile cell (0 to cells - 1) of each prediction within its group."""
+    step = math.isqrt(cells)
+    cuts = points.groupBy(*g).agg(F.percentile_approx("pred", [i / cells for i in range(1, cells)], 16 * cells).alias("cuts"))
+    cuts = cuts.withColumn("coarse", F.filter("cuts", lambda c, i: (i + 1) % step == 0))
+    rows = points.alias("p").join(cuts.alias("c"), [F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in g])
+    # Cuts are sorted: every step-th one tells the block, the block's own ones the cell.
+    block = F.size(F.filter("coarse", lambda c: c < F.col("pred"))) * step
+    cell = block + F.size(F.filter(F.slice("cuts", block + 1, F.lit(step)), lambda c: c < F.col("pred")))
+    return rows.select(*[F.col(f"p.{k}").alias(k) for k in g], "pred", "donor", "asks", F.coalesce(cell, F.lit(0)).alias("cell"))  # one cell has no cuts
 
 
 def impute_pmm(
-    df: DataFrame, row_id: str, target: str, group: Sequence[str], match: Sequence[str], unit: str, min_fit: int = 8, cells: int = 64
-) -> DataFrame:
+    df: DataFrame, row_id: str, target: str, group: Sequence[str], match: Sequence[str], unit: str, min_fit: int = 8, cells: int = 64,
+    cell_rows: int = 250_000,
+) -> DataFrame:
     """``df`` with missing ``target`` values filled by predictive mean matching, and every fill marked.
 
     * Predictor, aware of the group: log(target) of a row is predicted from the mean log(target) of its similar
@@ -73,7 +88,7 @@ def impute_pmm(
       predicted by its unit's mean, or its group's.
     * Range search: the donor is the observed row of the group whose prediction is nearest (on a tie the lower
       prediction, among equal predictions the lowest row id). Predictions are cut into ``cells`` quantile cells per
-      group; the nearest donors below and above come from a window inside the cell and, for cells without one, from
+      group, or more where the largest group would have over ``cell_rows`` rows a cell; the nearest donors below and above come from a window inside the cell and, for cells without one, from
       a window over the cells' outermost donors. The search is exact and no task gets a whole group.
     * The donor's observed value is copied, with the donor's id.
 
@@ -88,17 +103,12 @@ def impute_pmm(
     empty result. All columns of ``df`` are kept.
     """
     g = [f"g{i}" for i in range(len(group))]
-    scored = _scored(df, row_id, target, group, match, unit, min_fit)
+    scored, largest = _scored(df, row_id, target, group, match, unit, min_fit)
     donor = F.struct(F.col("pred").alias("at"), F.col("id").alias("id"), F.col("w").alias("w"))
     points = scored.where(F.col("pred").isNotNull()).groupBy(*g, "pred").agg(
         F.min(F.when(F.col("has"), donor)).alias("donor"), F.max(~F.col("has")).alias("asks")
     )
-    cuts = points.groupBy(*g).agg(F.percentile_approx("pred", [i / cells for i in range(1, cells)], 1000).alias("cuts"))
-    points = points.alias("p").join(cuts.alias("c"), [F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in g])
-    points = points.select(
-        *[F.col(f"p.{k}").alias(k) for k in g], "pred", "donor", "asks",
-        F.size(F.filter("cuts", lambda c: c < F.col("pred"))).alias("cell"),
-    )
+    points = _with_cells(points, g, max(cells, math.ceil(largest / cell_rows)))
     order = Window.partitionBy(*g, "cell").orderBy("pred")
     points = points.withColumns({
         "below": F.last("donor", True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
