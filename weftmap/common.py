@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,6 +29,29 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's source to the executors of this application, once, so that its tasks can import it wherever they start.
+
+    As ``spark-submit --py-files`` would; the archive lies beside the driver only until Spark has taken it over.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(__file__))
+        name = os.path.basename(root)
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{name}.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, files in os.walk(root):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        path = os.path.join(folder, f)
+                        z.write(path, os.path.relpath(path, os.path.dirname(root)))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
