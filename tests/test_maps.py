@@ -330,3 +330,61 @@ def test_neighbor_weights_without_neighbors(spark):
     bins = spark.createDataFrame([("c", i, None if i == 2 else 1.0) for i in range(3)], "chrom string, i long, weight double")
     got = {r.i: r.weight_neighbor for r in M.neighbor_weights(nf, bins, 200, 400).collect()}
     assert got == {0: math.inf, 1: math.inf, 2: None}
+
+
+def test_balance_pixels(spark):
+    """Bin filter, rounds until the variance is small, and weights of all resolutions of a zoomed store, beside numpy."""
+    import tempfile
+    import warnings
+
+    from weftmap import api, cli
+    from weftmap.sources import text as S
+
+    rnd = np.random.default_rng(3)
+    n = 24
+    m = rnd.poisson(30 * np.outer(*[rnd.uniform(0.5, 2, n)] * 2)) + 1
+    m = np.triu(m) + np.triu(m, 1).T
+    m[5] = m[:, 5] = 0
+    m[5, 6] = m[6, 5] = 400  # too few cells
+    m[9] = m[:, 9] = m[9] > 0  # 1 a cell: too low
+
+    def weights(m):
+        nnz, s = (m > 0).sum(axis=1), m.sum(axis=1)
+        half = len(m) * 2 // 3
+        rel = s / np.repeat([np.median(s[:half]), np.median(s[half:])], [half, len(m) - half])
+        l = np.log(rel)
+        good = (nnz >= 6) & (l >= np.median(l) - 5 * np.median(abs(l - np.median(l))))
+        w = np.where(good, 1.0, 0.0)
+        while True:
+            s = (m * np.outer(w, w)).sum(axis=1)
+            mean, var = s[good].mean(), s[good].var()
+            w = np.where(good, w / np.where(good, s / mean, 1), 0)
+            if var < 1e-5:
+                return np.where(good, w / np.sqrt(mean), np.nan)
+
+    px = spark.createDataFrame([(i, j, int(m[i, j])) for i in range(n) for j in range(i, n) if m[i, j]], "bin1_id long, bin2_id long, count long")
+    bins = M.make_bins(spark.createDataFrame([("a", 3200), ("b", 1600)], "chrom string, size long"), 200)
+    done = M.balance_pixels(px, bins, ignore_diags=0, min_nnz=6)
+    got = np.array([np.nan if r.weight is None else r.weight for r in done.weights.orderBy("bin_id").collect()])
+    assert done.converged and done.variance < 1e-5 and done.rounds > 3 and np.isnan(got[[5, 9]]).all() and np.isnan(got).sum() == 2
+    np.testing.assert_allclose(got, weights(m), rtol=1e-6)
+    w = np.nan_to_num(got)
+    assert (m * np.outer(w, w)).sum(axis=1)[~np.isnan(got)] == pytest.approx(1, abs=1e-4)
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        few = M.balance_pixels(px, bins, ignore_diags=0, max_iter=2)
+        none = M.balance_pixels(px.limit(0), bins)
+    assert not few.converged and few.rounds == 2 and not none.converged and none.weights.where("weight IS NULL").count() == n
+    assert sum("did not converge" in str(x.message) for x in said) == 2
+
+    path = tempfile.mkdtemp(prefix="spark-") + "/store"
+    api.save_store(bins, px, path, 200)
+    cli.main(["zoomify", path, "--resolutions", "400", "--min-nnz", "6"], spark)
+    assert S.resolutions(spark, f"{path}/bins") == [200, 400]
+    up = m.astype(float).reshape(n // 2, 2, n // 2, 2).sum(axis=(1, 3))
+    up[np.diag_indices(n // 2)] = [np.triu(m[a : a + 2, a : a + 2]).sum() for a in range(0, n, 2)]  # a pixel of the diagonal counts once
+    for r, want in ((200, weights(m)), (400, weights(up))):
+        got = [np.nan if x.weight is None else x.weight for x in S.read_store(spark, f"{path}/bins", r).orderBy("bin_id").collect()]
+        np.testing.assert_allclose(got, want, rtol=1e-6)
+    assert api.add_neighbor_weights(spark, path, 200) == [200, 400]
+    assert api.ContactMap.from_store(spark, path, 400, "b:0-1600").cells.where("v > 0").count() > 0

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import staged
 from .operators import maps as M
 from .operators import regions as R
 from .sources import text as S
@@ -113,10 +115,33 @@ def save_store(bins: DataFrame, pixels: DataFrame, path: str, resolution: int) -
     S.write_store(pixels.repartitionByRange("bin1_id").sortWithinPartitions("bin1_id", "bin2_id"), f"{path}/pixels", resolution)
 
 
+def balance_store(spark: SparkSession, path: str, resolution: int, **how) -> M.Balance:
+    """Writes ``weight`` into the bins of one resolution of a store; a neighbour weight that was made from another one is dropped."""
+    bins = staged(S.read_store(spark, f"{path}/bins", resolution).drop("weight", "weight_neighbor"))
+    done = M.balance_pixels(S.read_store(spark, f"{path}/pixels", resolution), bins, **how)
+    S.write_store(staged(done.weights), f"{path}/bins", resolution)
+    return done
+
+
+def zoom_store(spark: SparkSession, path: str, base: int, resolutions: Sequence[int], balance: bool = True, ignore_diags: int = 0, **how) -> dict[int, M.Balance | None]:
+    """Adds the coarser ``resolutions`` to a store, each from the next finer one that divides it, and balances all, the base as well."""
+    there = S.resolutions(spark, f"{path}/bins")
+    if base not in there:
+        raise ValueError(f"resolution {base} not found; there are {there}")
+    if any(r % base or r <= base for r in resolutions):
+        raise ValueError(f"all resolutions must be multiples of {base}")
+    sizes = staged(S.read_store(spark, f"{path}/bins", base).groupBy("chrom").agg(F.max("end").alias("size")))
+    made = [base]
+    for r in sorted(set(resolutions)):
+        fine = max(m for m in made if r % m == 0)
+        coarse = M.make_bins(sizes, r)
+        save_store(coarse, M.zoom_pixels(S.read_store(spark, f"{path}/pixels", fine), S.read_store(spark, f"{path}/bins", fine), coarse, r // fine), path, r)
+        made.append(r)
+    return {r: balance_store(spark, path, r, ignore_diags=ignore_diags, **how) if balance else None for r in made}
+
+
 def add_neighbor_weights(spark: SparkSession, path: str, fine: int = 200, eps: float = 10.0) -> list[int]:
     """Adds ``weight_neighbor`` to the bins of every resolution of a store; the resolutions changed."""
-    from .common import staged
-
     there = S.resolutions(spark, f"{path}/bins")
     if fine not in there:
         raise ValueError(f"resolution {fine} not found; there are {there}")

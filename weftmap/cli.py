@@ -56,6 +56,13 @@ def remove_inward(spark, a):
     api.save_store(bins, M.remove_inward(full, inward, bins, a.resolution, a.k), a.output, a.resolution)
 
 
+def zoomify(spark, a):
+    coarser = [int(r) for r in a.resolutions.split(",")] if a.resolutions else [a.resolution * 2**k for k in range(1, 10)]
+    how = {"ignore_diags": a.ignore_diags, "mad_max": a.mad_max, "min_nnz": a.min_nnz, "min_count": a.min_count, "tol": a.tol, "max_iter": a.max_iter}
+    for r, done in api.zoom_store(spark, a.store, a.resolution, coarser, a.balance, **how).items():
+        print(r, *([f"{done.rounds} rounds, variance {done.variance}, {'converged' if done.converged else 'not converged'}"] if done else []))
+
+
 def neighbor_weights(spark, a):
     if not 200 <= a.neighbor_res <= 400:
         print("neighbour resolutions outside 200 to 400 are not recommended")
@@ -111,6 +118,8 @@ COMMANDS = {
     "base-ps": (base_ps, ["pairs"], {"nrows": 0, "max-distance": 100_000, "output": ""}),
     "bin-pairs": (bin_pairs, ["chrom_sizes", "pairs", "store"], {"resolution": 200}),
     "remove-inward": (remove_inward, ["full", "inward", "output"], {"k": 2, "resolution": 200}),
+    "zoomify": (zoomify, ["store"], {
+        "resolution": 200, "resolutions": "", "balance": True, "ignore-diags": 0, "mad-max": 5.0, "min-nnz": 10, "min-count": 0, "tol": 1e-5, "max-iter": 200}),
     "neighbor-weights": (neighbor_weights, ["store"], {"neighbor-res": 200}),
     "region-balance": (region_balance, ["output", "store", "region"], {
         "resolution": 200, "capture-probes-path": "", "dtype": "float32", "mad-max": 2.0, "min-nnz": 100, "min-pair-capture-rate": 0.2, "max-iter": 50,

@@ -83,6 +83,15 @@ def staged(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete the files of one staged table that nothing reads any more, such as a finished round's."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if f"/weftmap/{spark.sparkContext.applicationId}/" in folder + "/":
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: Mapping[str, str], cell: Column) -> DataFrame:
     """Add a column for each of ``totals`` (result -> weight): the sum of the weight over the rows of the same ``keys`` up to ``value``.
 

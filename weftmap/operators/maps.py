@@ -8,11 +8,15 @@ come from the map itself.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import staged, unstage
+
 # ---------------------------------------------------------------- bins and pixels
 
 
@@ -398,18 +402,87 @@ def interpolate_diagonals(m: DataFrame, sigma: float = 0.0) -> DataFrame:
 # ---------------------------------------------------------------- balancing and comparing
 
 
-def ice_step(pixels: DataFrame, biases: DataFrame, ignore_diags: int = 1) -> DataFrame:
-    """One round of balancing of sparse pixels: ``bin_id, bias`` divided by the row sums relative to their mean."""
+def _weighted_sums(pixels: DataFrame, biases: DataFrame, ignore_diags: int) -> DataFrame:
+    """``bin_id, s``: row sums of the sparse map divided by its bins' biases, the diagonal once; pixels of bins without bias are left out."""
     p = pixels.where(F.col("bin2_id") - F.col("bin1_id") >= ignore_diags)
     for e in (1, 2):
-        p = p.join(biases.withColumnsRenamed({"bin_id": f"bin{e}_id", "bias": f"__b{e}"}), f"bin{e}_id")
+        p = p.join(biases.select(F.col("bin_id").alias(f"bin{e}_id"), F.col("bias").alias(f"__b{e}")), f"bin{e}_id")
     v = F.col("count") / (F.col("__b1") * F.col("__b2"))
-    sides = F.when(F.col("bin1_id") == F.col("bin2_id"), F.array("bin1_id")).otherwise(F.array("bin1_id", "bin2_id"))
-    s = p.select(F.explode(sides).alias("bin_id"), v.alias("v")).groupBy("bin_id").agg(F.sum("v").alias("s"))
+    return p.select(F.explode(_ends()).alias("bin_id"), v.alias("v")).groupBy("bin_id").agg(F.sum("v").alias("s"))
+
+
+def _ends() -> Column:
+    return F.when(F.col("bin1_id") == F.col("bin2_id"), F.array("bin1_id")).otherwise(F.array("bin1_id", "bin2_id"))
+
+
+def ice_step(pixels: DataFrame, biases: DataFrame, ignore_diags: int = 1) -> DataFrame:
+    """One round of balancing of sparse pixels: ``bin_id, bias`` divided by the row sums relative to their mean."""
+    s = _weighted_sums(pixels, biases, ignore_diags)
     mean = s.where("s <> 0").agg(F.avg("s")).scalar()
     return biases.join(s, "bin_id", "left").select("bin_id", (F.col("bias") * F.when(F.col("s") != 0, F.col("s") / mean).otherwise(F.lit(1.0))).alias("bias"))
 
 
+def balanced_bins(pixels: DataFrame, bins: DataFrame, ignore_diags: int = 1, mad_max: float = 5, min_nnz: int = 10, min_count: float = 0) -> DataFrame:
+    """``bin_id`` of the bins that genome-wide balancing takes: at least ``min_nnz`` pixels above zero and ``min_count`` contacts, and a row
+    sum, relative to its chromosome's median, whose log is not more than ``mad_max`` median deviations under the median. Empty rows are out."""
+    p = pixels.where((F.col("bin2_id") - F.col("bin1_id") >= ignore_diags) & (F.col("count") != 0))
+    rows = p.select(F.explode(_ends()).alias("bin_id"), "count").groupBy("bin_id").agg(F.count("*").alias("n"), F.sum("count").alias("s")).where("s > 0")
+    rows = rows.join(bins.select("bin_id", "chrom"), "bin_id")
+    good = (F.col("n") >= min_nnz) & (F.col("s") >= min_count)
+    if mad_max > 0:
+        # The medians keep distinct values only, and row sums of counts have few.
+        rows = rows.join(rows.groupBy("chrom").agg(F.median("s").alias("__m")), "chrom").withColumn("l", F.ln(F.col("s") / F.col("__m")))
+        rows = rows.crossJoin(rows.agg(F.median("l").alias("mid")))
+        rows = rows.crossJoin(rows.agg(F.median(F.abs(F.col("l") - F.col("mid"))).alias("mad")))
+        good = good & (F.col("l") >= F.col("mid") - mad_max * F.col("mad"))
+    return rows.where(good).select("bin_id")
+
+
+@dataclass(frozen=True)
+class Balance:
+    """``weights``: the bins with their ``weight``; the rounds made, the row sums' variance in the last one, and whether it fell under the tolerance."""
+
+    weights: DataFrame
+    rounds: int
+    variance: float | None
+    converged: bool
+
+
+def balance_pixels(
+    pixels: DataFrame, bins: DataFrame, ignore_diags: int = 1, mad_max: float = 5, min_nnz: int = 10, min_count: float = 0, tol: float = 1e-5, max_iter: int = 200
+) -> Balance:
+    """Genome-wide balancing of sparse pixels: the bins with ``weight``, so that count * weight1 * weight2 has row sums of mean 1.
+
+    Bins are filtered once (:func:`balanced_bins`); then rounds as in :func:`ice_step`, each one's biases and row sums staged, until the
+    variance of the row sums (those of counts divided by biases, not of the final map) is under ``tol``. ``max_iter`` rounds without that
+    give a warning and ``converged`` = False, with the last round's weights. A bin that is filtered, or has no contact with a bin that is
+    not, has weight NULL.
+    """
+    kept = staged(balanced_bins(pixels, bins, ignore_diags, mad_max, min_nnz, min_count))
+    p = pixels.where(F.col("bin2_id") - F.col("bin1_id") >= ignore_diags)
+    for e in (1, 2):
+        p = p.join(kept.select(F.col("bin_id").alias(f"bin{e}_id")), f"bin{e}_id", "left_semi")
+    p = staged(p.select("bin1_id", "bin2_id", "count"))
+    biases, before = kept.select("bin_id", F.lit(1.0).alias("bias")), None
+    rounds, variance, mean, converged = 0, None, None, False
+    while rounds < max_iter and not converged:
+        rows = staged(biases.join(_weighted_sums(p, biases, ignore_diags), "bin_id", "left").select("bin_id", "bias", "s"))
+        if before is not None:
+            unstage(before)  # nothing reads the round before any more
+        rounds, before = rounds + 1, rows
+        mean, variance = rows.where("s <> 0").agg(F.avg("s"), F.var_pop("s")).first()
+        if mean is None:
+            break
+        biases = rows.select("bin_id", F.when(F.col("s") != 0, F.col("bias") * F.col("s") / mean).alias("bias")).where("bias IS NOT NULL")
+        converged = variance < tol
+    if not converged:
+        warnings.warn(f"balancing did not converge: variance {variance} after {rounds} rounds", stacklevel=2)
+    scale = None if mean is None else mean**0.5
+    weights = biases.select("bin_id", (1 / (F.col("bias") * F.lit(scale).cast("double"))).alias("weight"))
+    unweighted = bins.drop("weight")
+    return Balance(unweighted.join(weights, "bin_id", "left").select(*unweighted.columns, "weight"), rounds, variance, converged)
+
+
 def coarsen_map(m: DataFrame, factor: int) -> DataFrame:
     """Blocks of ``factor`` bins summed without masked cells; a remainder at the end is dropped."""
     size = m.groupBy("region").agg(F.floor((F.max("j") + 1) / factor).alias("__n"))

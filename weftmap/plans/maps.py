@@ -181,6 +181,22 @@ def ice_3iter(spark, d):
     return _rounded(bias, "bias")
 
 
+def balance_pixels(spark, d):
+    """Genome-wide weights, and from them neighbour weights, of the bins and of those zoomed from them; the diagonal counts, as in the surveyed zoom."""
+    bins, coarse = _bins(spark, d), _bins(spark, d, RES * ZOOM)
+    px = staged(_pixels(spark, d))
+    maps = {RES: (px, bins), RES * ZOOM: (staged(M.zoom_pixels(px, bins, coarse, ZOOM)), coarse)}
+    done = {res: M.balance_pixels(*m, ignore_diags=0) for res, m in maps.items()}
+    factors = staged(M.neighbor_factors(M.first_diagonal(px, done[RES].weights, "weight"), ["chrom"]))
+    out = None
+    for res, b in done.items():
+        rows = M.neighbor_weights(factors, b.weights, RES, res).select(
+            F.lit(res).alias("resolution"), "bin_id", "chrom", "i", "weight", "weight_neighbor", F.lit(b.rounds).alias("rounds"), F.lit(b.converged).alias("converged")
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def coarsen_sum(spark, d):
     return M.coarsen_map(_filtered(spark, d), 5)
 
@@ -243,7 +259,7 @@ QUERIES = {f.__name__: f for f in (
     bins_table, bin_counts, merge_replicates, zoomify, remove_inward, first_diagonal, dense_map, sparse_distance_average, marginal_k1, marginal_k2,
     marginal_flanks, distance_average, strict_distance_average, mad_filter, nnz_filter, map_filter, capture_rates, capture_filter, map_validity,
     *map(_factors, _AVERAGES), neighbor_weights, neighbor_normalize, neighbor_normalize_plain, gap_fill, gaussian_1d, sliding_mean,
-    interpolate_diagonals, ice_3iter, coarsen_sum, coarsen_multiscale, batch_factors, batch_apply, map_log_ratio, map_merge, map_select, map_rotated,
+    interpolate_diagonals, ice_3iter, balance_pixels, coarsen_sum, coarsen_multiscale, batch_factors, batch_apply, map_log_ratio, map_merge, map_select, map_rotated,
     region_balance, smooth_diagonals, density_peaks,
 )}
 
