@@ -72,8 +72,10 @@ def _plan(window: int, walks: int, samples: int, bits: int, seed: int) -> list[l
     return [[np.sort(rnd.choice(reach, min(bits, reach), replace=False)) for _ in range(samples)] for _ in range(walks)]
 
 
-def signatures(words: np.ndarray, starts: np.ndarray, window: int, plan: list[list[np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
-    """``repetition, signature`` of the windows words[s : s + window], for every repetition.
+def signatures(
+    words: np.ndarray, starts: np.ndarray, window: int, plan: list[list[np.ndarray]], ends: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray]]:
+    """``repetition, signature`` of the windows words[s : s + window], or up to ``ends`` where given, for every repetition.
 
     Each walk is one random CGK embedding, over words as symbols: step j writes the symbol under the
     pointer and moves on if the symbol's random bit for step j is set, so that few edits leave most of
@@ -82,7 +84,7 @@ def signatures(words: np.ndarray, starts: np.ndarray, window: int, plan: list[li
     """
     for w, samplings in enumerate(plan):
         moves = _mix(words ^ np.uint64((w + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)))
-        last = starts + window
+        last = starts + window if ends is None else ends
         at = starts.copy()
         sums = [np.full(len(starts), np.uint64((w * len(samplings) + z + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) for z in range(len(samplings))]
         wanted = [set(p.tolist()) for p in samplings]
@@ -100,8 +102,11 @@ def signatures(words: np.ndarray, starts: np.ndarray, window: int, plan: list[li
             yield w * len(samplings) + z, _mix(s)
 
 
-def _windows(texts: list[bytes], window: int, plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple]]:
-    """``signature, text number, first word`` of all windows of a batch, a repetition at a time, and what cuts their text out."""
+def _windows(texts: list[bytes], window: int, plan, short: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple]]:
+    """``signature, text number, first word`` of all windows of a batch, a repetition at a time, and what cuts their text out.
+
+    At the end of a text, windows may be up to ``short`` words shorter.
+    """
     data = b"\n".join(texts)
     buf = np.frombuffer(data, np.uint8)
     if not len(buf):
@@ -109,32 +114,56 @@ def _windows(texts: list[bytes], window: int, plan) -> Iterator[tuple[np.ndarray
     hashes, begin, end = word_hashes(buf)
     breaks = np.flatnonzero(buf == 10)
     owner = np.searchsorted(breaks, begin)
-    if len(hashes) < window:
+    least = window - short
+    if len(hashes) < least:
         return
-    starts = np.flatnonzero(owner[: len(owner) - window + 1] == owner[window - 1 :])
+    starts = np.flatnonzero(owner[: len(owner) - least + 1] == owner[least - 1 :])
     if not len(starts):
         return
-    for _, sig in signatures(hashes, starts, window, plan):
-        yield sig, owner[starts], starts, (data, hashes, begin, end)
+    bounds = tuple(np.searchsorted(owner, owner[starts], side) for side in ("left", "right"))  # the words of each window's text
+    for _, sig in signatures(hashes, starts, window, plan, np.minimum(starts + window, bounds[1]) if short else None):
+        yield sig, owner[starts], starts, (data, hashes, begin, end, *bounds)
 
 
-def _passages(data: bytes, begin: np.ndarray, end: np.ndarray, first: np.ndarray, window: int) -> list[str]:
+def _passages(data: bytes, begin: np.ndarray, end: np.ndarray, first: np.ndarray, window: int | np.ndarray) -> list[str]:
     return [" ".join(data[a:b].decode().split()) for a, b in zip(begin[first].tolist(), end[first + window - 1].tolist())]
 
 
-def _emit(ids, texts, window, plan, keep) -> Iterator[pd.DataFrame]:
-    """The kept signatures with their window's text."""
-    for sig, owner, start, (data, _, begin, end) in _windows(texts, window, plan):
+def _nearest(words: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, known: np.ndarray, max_edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``edits, first, length`` of the span nearest to a known window around each start: it begins up to ``max_edits`` words before or behind
+    the start, has up to as many words less or more than the window, and lies within words[low:high]. Ties go to the least shifted, most equally long."""
+    window = known.shape[1]
+    edits, first, length = np.full(len(start), window + max_edits, np.int64), start.copy(), np.full(len(start), window)
+    by_size = lambda k: (abs(k), k)
+    for shift in sorted(range(-max_edits, max_edits + 1), key=by_size):
+        a = start + shift
+        places = a[:, None] + np.arange(window + max_edits)
+        rows = _edit_rows(known, np.where(places < high[:, None], words[np.clip(places, 0, len(words) - 1)], np.uint64(0)))
+        for more in sorted(range(-max_edits, max_edits + 1), key=by_size):
+            n = window + more
+            better = (a >= low) & (a + n <= high) & (rows[:, n] < edits)
+            edits[better], first[better], length[better] = rows[better, n], a[better], n
+    return edits, first, length
+
+
+def _emit(ids, texts, window, plan, keep, max_edits: int = 0) -> Iterator[pd.DataFrame]:
+    """The kept signatures with their window's text; with ``max_edits``, with all words that :func:`_nearest` may read, ``at`` of them before the window."""
+    for sig, owner, start, (data, _, begin, end, low, high) in _windows(texts, window, plan, max_edits):
         at = np.flatnonzero(keep(sig)) if keep else np.arange(len(sig))
+        if max_edits and len(at):
+            a, b = np.maximum(start[at] - max_edits, low[at]), np.minimum(start[at] + window + 2 * max_edits, high[at])
+            around = [data[x:y].decode() for x, y in zip(begin[a].tolist(), end[b - 1].tolist())]
+            yield pd.DataFrame({"id": ids[owner[at]], "sig": sig[at].view(np.int64), "passage": around, "at": (start[at] - a).astype(np.int32)})
+            continue
         if len(at):
             first = start[at]
             yield pd.DataFrame({"id": ids[owner[at]], "sig": sig[at].view(np.int64), "passage": _passages(data, begin, end, first, window)})
 
 
-def _match(ids, texts, window, plan, keep, known: Known, max_edits: int) -> Iterator[pd.DataFrame]:
+def _match(ids, texts, window, plan, keep, known: Known, max_edits: int, indels: bool) -> Iterator[pd.DataFrame]:
     """The verified matches with known windows: for each document and item its nearest pair of windows."""
     found = []
-    for sig, owner, start, held in _windows(texts, window, plan):
+    for sig, owner, start, held in _windows(texts, window, plan, max_edits if indels else 0):
         at = np.flatnonzero(keep(sig))
         low, high = (np.searchsorted(known.sigs, sig[at], side) for side in ("left", "right"))
         n = high - low
@@ -143,25 +172,34 @@ def _match(ids, texts, window, plan, keep, known: Known, max_edits: int) -> Iter
     if not found or not sum(map(len, found)):
         return
     pairs = np.unique(np.concatenate(found))  # a pair found by several repetitions is verified once
-    data, words, begin, end = held
+    data, words, begin, end, low, high = held
     best: list[pd.DataFrame] = []
     for k in range(0, len(pairs), 1 << 16):
         mine, theirs = pairs[k : k + (1 << 16)] >> 32, pairs[k : k + (1 << 16)] & 0xFFFFFFFF
-        x, y = words[start[mine][:, None] + np.arange(window)], known.words[theirs]
-        edits = (x != y).sum(axis=1)  # windows are equally long: one edit is one changed word
-        if max_edits > 1:
+        places, y = start[mine][:, None] + np.arange(window), known.words[theirs]
+        x = words[np.minimum(places, len(words) - 1)]
+        edits, first, length = ((x != y) | (places >= high[mine][:, None])).sum(axis=1), start[mine], np.full(len(mine), window)
+        if indels:
+            # Every word of the item's window but max_edits has its like in the text, at most 2 * max_edits words away.
+            more = np.flatnonzero(edits > 0)
+            near_by = np.zeros((len(more), window), bool)
+            for k in range(-2 * max_edits, 2 * max_edits + 1):
+                near_by |= words[np.clip(places[more] + k, 0, len(words) - 1)] == y[more]
+            more = more[near_by.sum(axis=1) >= window - max_edits]
+            edits[more], first[more], length[more] = _nearest(words, low[mine[more]], high[mine[more]], first[more], y[more], max_edits)
+        elif max_edits > 1:  # windows are equally long: one edit is one changed word
             more = np.flatnonzero(edits > 1)
             edits[more] = edit_distances(x[more], y[more])
         near = np.flatnonzero(edits <= max_edits)
-        best.append(pd.DataFrame({"doc": owner[mine[near]], "known": theirs[near], "edits": edits[near], "start": start[mine[near]]}))
+        best.append(pd.DataFrame({"doc": owner[mine[near]], "known": theirs[near], "edits": edits[near], "start": first[near], "length": length[near]}))
     rows = pd.concat(best)
     rows["item"] = known.items[rows["known"].to_numpy()]
     rows = rows.sort_values(["doc", "item", "edits", "start", "known"]).drop_duplicates(["doc", "item"])
     if len(rows):
-        first = rows["start"].to_numpy()
+        first, length = rows["start"].to_numpy(), rows["length"].to_numpy()
         yield pd.DataFrame({
             "id": ids[rows["doc"].to_numpy()], "item": rows["item"].to_numpy(), "edits": rows["edits"].to_numpy(),
-            "passage": _passages(data, begin, end, first, window), "known": rows["known"].to_numpy(),
+            "passage": _passages(data, begin, end, first, length), "known": rows["known"].to_numpy(),
         })
 
 
@@ -184,6 +222,7 @@ def _slot_bits(sig: np.ndarray, log_slots: int) -> np.ndarray:
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
     window: int = 12, max_edits: int = 0, walks: int = 1, samples: int = 1, bits: int = 16, log_slots: int = 26, send_rows: int = 2_000_000, seed: int = 5,
+    indels: bool = False,
 ) -> DataFrame:
     """Documents that hold a passage of an item: ``doc_id, item_id, edits, passage``.
 
@@ -194,6 +233,10 @@ def find_leaks(
     repetitions raise the recall of edited ones (:func:`repetitions_for`). Candidates with an equal signature are then
     verified exactly: the windows' word edit distance must be at most ``max_edits``. One row per document and item, with its least number of edits.
 
+    Windows of equal length have an inserted or deleted word at a distance of 2, as it pushes another one in or out at the end. ``indels``
+    compares an item's window with spans of up to ``max_edits`` words less or more instead, so that each inserted, deleted or changed word
+    is one edit; ``passage`` is the span. A text of ``max_edits`` words less than the window can then match.
+
     Sent to all tasks is a bitmap of the items' signatures, 2 ** ``log_slots`` bits (8 MB) whatever the number of
     items; it has no false negatives. Up to ``send_rows`` signatures of items (counted first; 2,000,000 are some
     250 MB at most) the items' windows are sent as well, candidates are verified in the task that read the document, and only
@@ -205,6 +248,7 @@ def find_leaks(
     have their own rows; rows with a NULL id are left out; empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    indels = indels and max_edits > 0
     plan = _plan(window, walks, samples, bits, seed)
     schema = "id long, sig long, passage string"
     item_rows = items.select(col(item_id).cast("long").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
@@ -235,11 +279,17 @@ def find_leaks(
         words = _word_matrix(windows["passage"], window)
         known = spark.sparkContext.broadcast(Known(sigs[order], number["n"].to_numpy(np.int64)[order], words, windows["id"].to_numpy(np.int64)))
         found = doc_rows.mapInPandas(
-            lambda it: _batches(it, lambda i, t: _match(i, t, window, plan, keep, known.value, max_edits)),
+            lambda it: _batches(it, lambda i, t: _match(i, t, window, plan, keep, known.value, max_edits, indels)),
             "id long, item long, edits int, passage string, known long",
         )
         return _best(found.select(F.col("id").alias("doc"), "item", "edits", "passage"), doc_id, item_id)
 
+    if indels:
+        hits = doc_rows.mapInPandas(lambda it: _batches(it, lambda i, t: _emit(i, t, window, plan, keep, max_edits)), schema + ", at int")
+        pairs = hits.alias("d").join(item_windows.alias("i"), F.col("d.sig") == F.col("i.sig"))
+        pairs = pairs.withColumn("near", _nearest_span(window, max_edits)(F.col("d.passage"), F.col("d.at"), F.col("i.passage"))).where(F.col("near.edits") <= max_edits)
+        return _best(pairs.select(F.col("d.id").alias("doc"), F.col("i.id").alias("item"), "near.edits", "near.passage"), doc_id, item_id)
+
     hits = doc_rows.mapInPandas(lambda it: _batches(it, lambda i, t: _emit(i, t, window, plan, keep)), schema)
     pairs = hits.alias("d").join(item_windows.alias("i"), F.col("d.sig") == F.col("i.sig"))
     same = F.col("d.passage") == F.col("i.passage")
@@ -257,17 +307,21 @@ def _best(pairs: DataFrame, doc_id: str, item_id: str) -> DataFrame:
 
 
 def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Edit distances of the rows of two matrices of words, all rows at once: one row of the usual table a step."""
-    n, width = x.shape
-    ramp = np.arange(width + 1, dtype=np.int16)
-    row = np.repeat(ramp[None, :], n, axis=0)
-    for i in range(width):
+    """Edit distances of the rows of two matrices of words, all rows at once."""
+    return _edit_rows(x, y)[:, -1]
+
+
+def _edit_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The edit distances of every row of x to all the beginnings of y's row, from none of it to all: one row of the usual table a step."""
+    ramp = np.arange(y.shape[1] + 1, dtype=np.int16)
+    row = np.repeat(ramp[None, :], len(x), axis=0)
+    for i in range(x.shape[1]):
         new = np.empty_like(row)
         new[:, 0] = i + 1
         np.minimum(row[:, :-1] + (x[:, i : i + 1] != y), row[:, 1:] + 1, out=new[:, 1:])
         # Insertions: the running minimum of what lies to the left, one more for every place.
         row = np.minimum.accumulate(new - ramp, axis=1) + ramp
-    return row[:, -1]
+    return row
 
 
 def _word_matrix(passages: pd.Series, window: int) -> np.ndarray:
@@ -283,6 +337,21 @@ def _word_edits(window: int):
     return F.pandas_udf(distances, "int")
 
 
+def _nearest_span(window: int, max_edits: int):
+    def spans(around: pd.Series, at: pd.Series, known: pd.Series) -> pd.DataFrame:
+        if not len(around):
+            return pd.DataFrame({"edits": pd.Series([], dtype="int32"), "passage": pd.Series([], dtype=str)})
+        data = "\n".join(around).encode()
+        buf = np.frombuffer(data, np.uint8)
+        words, begin, end = word_hashes(buf)
+        owner = np.searchsorted(np.flatnonzero(buf == 10), begin)
+        low, high = (np.searchsorted(owner, np.arange(len(around)), side) for side in ("left", "right"))
+        edits, first, length = _nearest(words, low, high, low + at.to_numpy(), _word_matrix(known, window), max_edits)
+        return pd.DataFrame({"edits": edits.astype("int32"), "passage": _passages(data, begin, end, first, length)})
+
+    return F.pandas_udf(spans, "edits int, passage string")
+
+
 def repetitions_for(recall: float, per_repetition: float) -> int:
     """How many repetitions reach ``recall`` where one finds a pair with probability ``per_repetition``."""
     if per_repetition >= 1:

@@ -12,6 +12,7 @@ from .pieces import split_documents
 
 CAPACITY = 2048
 LIMIT, OVERLAP = 512, 64
+LEAKS = {"window": 12, "max_edits": 1, "walks": 4, "samples": 4, "bits": 8, "indels": True}
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +25,13 @@ def p6_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and items that share 12 consecutive words: a passage without an edit."""
-    return p7_leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return find_leaks(docs, items, window=12, max_edits=1, walks=3, samples=3, bits=8).where("edits = 0").select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold 12 words of an item with at most one word edited; a window with one edit is found with probability 0.91."""
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), window=12, max_edits=1, walks=3, samples=3, bits=8)
+    """Documents that hold 12 words of an item with at most one word changed, inserted or deleted; found with probability 0.97, 0.94 and 0.92."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), **LEAKS)
 
 
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
