@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,8 +13,13 @@ from pyspark.sql import functions as F
 from ..common import col, staged
 from .visible import reader_bytes
 
-#: The embedding is this many times as long as the window, as in the published analysis of the walk.
-STRETCH = 3
+#: Sizes of windows in words, and the word edits allowed in each: the shortest passage, and a longer one with an edit in five words.
+PASSAGES = {12: 1, 20: 4}
+#: An item's own size is the greatest of these that it has words for; an edit in five words is allowed.
+ITEM_SIZES = {n: n // 5 for n in (40, 56, 80, 112, 160, 224, 320)}
+#: The embedding's places that are sampled: this many times the window. The walk stands at a word for two steps on average.
+STRETCH = 2
+GRAM = 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 _INVERSE = np.ones(1, np.uint64)
@@ -55,41 +59,61 @@ def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @dataclass(frozen=True)
-class Known:
-    """The items' windows, small enough to be sent to all tasks."""
-
-    sigs: np.ndarray  # sorted
-    window: np.ndarray  # of each signature
-    words: np.ndarray  # [window, word]
-    items: np.ndarray  # of each window
-
+class Walks:
+    """How windows are embedded and sampled: ``walks`` random walks, ``samples`` samplings of ``bits`` places of each."""
+
+    walks: int = 4
+    samples: int = 4
+    bits: int = 6
+    seed: int = 5
+
+    def plan(self, size: int) -> list[list[np.ndarray]]:
+        """For every walk, the sorted places that each of its samplings reads."""
+        rnd = np.random.default_rng((self.seed, size))
+        reach = STRETCH * size
+        return [[np.sort(rnd.choice(reach, min(self.bits, reach), replace=False)) for _ in range(self.samples)] for _ in range(self.walks)]
+
+
+@dataclass
+class Texts:
+    """The words of a batch of texts: their hashes, bytes, and the bounds of each word's text."""
+
+    data: bytes
+    hashes: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @staticmethod
+    def of(texts: list[bytes]) -> Texts:
+        data = b"\n".join(texts)
+        buf = np.frombuffer(data, np.uint8)
+        hashes, begin, end = word_hashes(buf) if len(buf) else (np.zeros(0, np.uint64), *np.zeros((2, 0), np.int64))
+        owner = np.searchsorted(np.flatnonzero(buf == 10), begin)
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        return Texts(data, hashes, begin, end, owner, bounds[owner], bounds[owner + 1] if len(owner) else owner)
 
-def _plan(window: int, walks: int, samples: int, bits: int, seed: int) -> list[list[np.ndarray]]:
-    """For every walk, the sorted positions that each of its bit samplings reads."""
-    rnd = np.random.default_rng(seed)
-    # The walk stands at a symbol for two steps on average; positions behind 2 * window mostly read padding.
-    reach = min(STRETCH * window, 2 * window)
-    return [[np.sort(rnd.choice(reach, min(bits, reach), replace=False)) for _ in range(samples)] for _ in range(walks)]
+    def passage(self, first: int, last: int) -> str:
+        return " ".join(self.data[self.begin[first] : self.end[last - 1]].decode().split())
 
 
-def signatures(
-    words: np.ndarray, starts: np.ndarray, window: int, plan: list[list[np.ndarray]], ends: np.ndarray | None = None
-) -> Iterator[tuple[int, np.ndarray]]:
-    """``repetition, signature`` of the windows words[s : s + window], or up to ``ends`` where given, for every repetition.
+def signatures(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, plan: list[list[np.ndarray]], size: int) -> np.ndarray:
+    """[repetition, window]: the signatures of the windows words[start:end].
 
-    Each walk is one random CGK embedding, over words as symbols: step j writes the symbol under the
-    pointer and moves on if the symbol's random bit for step j is set, so that few edits leave most of
-    the embedding's places equal. All windows take a step together. A signature combines the symbols at
-    the sampled places; it is 64 bits with the repetition mixed in.
+    Each walk is one random CGK embedding, over words as symbols: step j writes the symbol under the pointer and moves on if the
+    symbol's random bit for step j is set, so that few edits leave most of the embedding's places equal. All windows take a step
+    together. A signature combines the symbols at the sampled places; it is 64 bits with the repetition and the window size mixed in.
     """
+    out = []
     for w, samplings in enumerate(plan):
         moves = _mix(words ^ np.uint64((w + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)))
-        last = starts + window if ends is None else ends
         at = starts.copy()
-        sums = [np.full(len(starts), np.uint64((w * len(samplings) + z + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) for z in range(len(samplings))]
+        sums = [np.full(len(starts), np.uint64((w * len(samplings) + z + 1 + 1000 * size) * 0x9E3779B97F4A7C15 & (2**64 - 1))) for z in range(len(samplings))]
         wanted = [set(p.tolist()) for p in samplings]
         for j in range(1 + max(int(p[-1]) for p in samplings)):
-            off = at >= last
+            off = at >= ends
             here = np.minimum(at, len(words) - 1)
             readers = [z for z, p in enumerate(wanted) if j in p]
             if readers:
@@ -97,112 +121,210 @@ def signatures(
                 factor = np.uint64(_mix(np.array([j + 1], np.uint64))[0] | np.uint64(1))
                 for z in readers:
                     sums[z] += symbol * factor
-            at += np.where(off, 0, (moves[here] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-        for z, s in enumerate(sums):
-            yield w * len(samplings) + z, _mix(s)
+            at += ((moves[here] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64) * ~off
+        out += [_mix(s) for s in sums]
+    return np.array(out)
 
 
-def _windows(texts: list[bytes], window: int, plan, short: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple]]:
-    """``signature, text number, first word`` of all windows of a batch, a repetition at a time, and what cuts their text out.
+def _grams(t: Texts) -> np.ndarray:
+    """A hash of every three consecutive words of a text, by the place of the first; 0 where the text ends before."""
+    if len(t.hashes) < GRAM:
+        return np.zeros(len(t.hashes), np.uint64)
+    h = t.hashes
+    grams = _mix(h[:-2] * np.uint64(9) + h[1:-1] * np.uint64(3) + h[2:])
+    return np.append(np.where(t.owner[:-2] == t.owner[2:], grams, np.uint64(0)), np.zeros(2, np.uint64))
 
-    At the end of a text, windows may be up to ``short`` words shorter.
+
+def _starts(t: Texts, size: int, edits: int, known: np.ndarray | None) -> np.ndarray:
+    """Where windows of ``size`` words begin; at the end of a text they may have ``edits`` words less.
+
+    ``known`` tells of every word whether a gram of the items begins there. Each edit of an item's window breaks up to three of its grams,
+    and the others stand in the first ``size + edits`` words in their order: windows with fewer known ones are no match, and left out.
     """
-    data = b"\n".join(texts)
-    buf = np.frombuffer(data, np.uint8)
-    if not len(buf):
-        return
-    hashes, begin, end = word_hashes(buf)
-    breaks = np.flatnonzero(buf == 10)
-    owner = np.searchsorted(breaks, begin)
-    least = window - short
-    if len(hashes) < least:
-        return
-    starts = np.flatnonzero(owner[: len(owner) - least + 1] == owner[least - 1 :])
-    if not len(starts):
-        return
-    bounds = tuple(np.searchsorted(owner, owner[starts], side) for side in ("left", "right"))  # the words of each window's text
-    for _, sig in signatures(hashes, starts, window, plan, np.minimum(starts + window, bounds[1]) if short else None):
-        yield sig, owner[starts], starts, (data, hashes, begin, end, *bounds)
-
-
-def _passages(data: bytes, begin: np.ndarray, end: np.ndarray, first: np.ndarray, window: int | np.ndarray) -> list[str]:
-    return [" ".join(data[a:b].decode().split()) for a, b in zip(begin[first].tolist(), end[first + window - 1].tolist())]
-
-
-def _nearest(words: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, known: np.ndarray, max_edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``edits, first, length`` of the span nearest to a known window around each start: it begins up to ``max_edits`` words before or behind
-    the start, has up to as many words less or more than the window, and lies within words[low:high]. Ties go to the least shifted, most equally long."""
-    window = known.shape[1]
-    edits, first, length = np.full(len(start), window + max_edits, np.int64), start.copy(), np.full(len(start), window)
-    by_size = lambda k: (abs(k), k)
-    for shift in sorted(range(-max_edits, max_edits + 1), key=by_size):
-        a = start + shift
-        places = a[:, None] + np.arange(window + max_edits)
-        rows = _edit_rows(known, np.where(places < high[:, None], words[np.clip(places, 0, len(words) - 1)], np.uint64(0)))
-        for more in sorted(range(-max_edits, max_edits + 1), key=by_size):
-            n = window + more
-            better = (a >= low) & (a + n <= high) & (rows[:, n] < edits)
-            edits[better], first[better], length[better] = rows[better, n], a[better], n
-    return edits, first, length
-
-
-def _emit(ids, texts, window, plan, keep, max_edits: int = 0) -> Iterator[pd.DataFrame]:
-    """The kept signatures with their window's text; with ``max_edits``, with all words that :func:`_nearest` may read, ``at`` of them before the window."""
-    for sig, owner, start, (data, _, begin, end, low, high) in _windows(texts, window, plan, max_edits):
-        at = np.flatnonzero(keep(sig)) if keep else np.arange(len(sig))
-        if max_edits and len(at):
-            a, b = np.maximum(start[at] - max_edits, low[at]), np.minimum(start[at] + window + 2 * max_edits, high[at])
-            around = [data[x:y].decode() for x, y in zip(begin[a].tolist(), end[b - 1].tolist())]
-            yield pd.DataFrame({"id": ids[owner[at]], "sig": sig[at].view(np.int64), "passage": around, "at": (start[at] - a).astype(np.int32)})
-            continue
-        if len(at):
-            first = start[at]
-            yield pd.DataFrame({"id": ids[owner[at]], "sig": sig[at].view(np.int64), "passage": _passages(data, begin, end, first, window)})
+    at = np.arange(len(t.hashes))
+    fits = t.high - at >= size - edits
+    least = size - GRAM + 1 - GRAM * edits
+    if known is not None and least > 0:
+        upto = np.concatenate(([0], np.cumsum(known)))
+        fits &= upto[np.minimum(at + size + edits, t.high)] - upto[:-1] >= least
+    return np.flatnonzero(fits)
+
+
+def item_sizes(words: int, passages: Mapping[int, int], sizes: Mapping[int, int]) -> dict[int, int]:
+    """Window sizes of an item with so many words, with the edits allowed: all of ``passages`` that fit, and its own size."""
+    own = max((n for n in sizes if n <= words), default=None)
+    return {n: e for n, e in passages.items() if n <= words} | ({own: sizes[own]} if own else {})
+
+
+def _rows(x: np.ndarray, y: np.ndarray, free: bool) -> np.ndarray:
+    """For each row, the edit distances of all of y to x's beginnings (to what ends there, if ``free``): the last line of the usual table."""
+    ramp = np.arange(x.shape[1] + 1, dtype=np.int16)
+    row = np.repeat((ramp * (not free))[None, :], len(x), axis=0)
+    for i in range(y.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (x != y[:, i : i + 1]), row[:, 1:] + 1, out=new[:, 1:])
+        # Words of x left over: the running minimum of what lies to the left, one more for every place.
+        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+    return row
+
+
+def _least(distance: np.ndarray, allowed: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """The place of each row's least distance among the allowed ones, on a tie the nearest to ``middle``, then the first."""
+    off = np.abs(np.arange(distance.shape[1])[None, :] - middle[:, None])
+    return np.argmin(np.where(allowed, distance.astype(np.int64) * 4096 + off, np.iinfo(np.int64).max), axis=1)
+
+
+def nearest_spans(words: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, y: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``distance, first, last``: for each row of y, the span of words[low:high] with the least word edit distance to it, from ``edits`` words before ``start`` on to
+    ``2 * edits`` words behind its window. Its end is sought first, the nearest to the window's on a tie, then its beginning."""
+    size = y.shape[1]
+    left, right = np.maximum(start - edits, low), np.minimum(start + size + 2 * edits, high)
+    places = left[:, None] + np.arange(size + 3 * edits)
+    x = np.where(places < right[:, None], words[np.minimum(places, len(words) - 1)], np.uint64(0))
+    there = np.arange(x.shape[1] + 1)[None, :] <= (right - left)[:, None]
+    distance = _rows(x, y, True)
+    end = _least(distance, there, start + size - left)
+    last = left + end
+    back = last[:, None] - 1 - np.arange(size + 3 * edits)
+    x = np.where(back >= left[:, None], words[np.maximum(back, 0)], np.uint64(0))
+    there = np.arange(x.shape[1] + 1)[None, :] <= end[:, None]
+    behind = _rows(x, y[:, ::-1], False)
+    n = _least(behind, there, np.full(len(y), size))
+    return distance[np.arange(len(y)), end], last - n, last
+
+
+def verified(words: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, y: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`nearest_spans`; windows that are equal as they stand need no table."""
+    size = y.shape[1]
+    places = start[:, None] + np.arange(size)
+    equal = (start + size <= high) & (words[np.minimum(places, len(words) - 1)] == y).all(axis=1)
+    distance, first, last = np.where(equal, 0, edits + 1), start.copy(), start + size
+    more = np.flatnonzero(~equal) if edits else np.zeros(0, np.int64)
+    for k in range(0, len(more), 4096):
+        m = more[k : k + 4096]
+        # All but ``edits`` words of the item's window must stand in the text, at most so far from their place.
+        there = np.zeros((len(m), size), bool)
+        for off in range(-2 * edits, 4 * edits + 1):
+            at = places[m] + off
+            there |= (words[np.clip(at, 0, len(words) - 1)] == y[m]) & (at >= low[m, None]) & (at < high[m, None])
+        m = m[there.sum(axis=1) >= size - edits]
+        distance[m], first[m], last[m] = nearest_spans(words, low[m], high[m], start[m], y[m], edits)
+    return distance, first, last
+
+
+@dataclass(frozen=True)
+class Known:
+    """The items' words and windows, small enough to be sent to all tasks."""
+
+    words: np.ndarray  # of all items, one behind the other
+    item: np.ndarray  # of each window
+    size: np.ndarray
+    at: np.ndarray  # its first word in its item
+    place: np.ndarray  # and in ``words``
+    sigs: np.ndarray  # sorted
+    window: np.ndarray  # of each signature
 
 
-def _match(ids, texts, window, plan, keep, known: Known, max_edits: int, indels: bool) -> Iterator[pd.DataFrame]:
-    """The verified matches with known windows: for each document and item its nearest pair of windows."""
+def _match(ids, texts: list[bytes], sizes: Mapping[int, int], walks: Walks, keep, known: Known) -> Iterator[pd.DataFrame]:
+    """The best verified match of each document and item."""
+    t = Texts.of(texts)
+    grams = keep(_grams(t))
     found = []
-    for sig, owner, start, held in _windows(texts, window, plan, max_edits if indels else 0):
-        at = np.flatnonzero(keep(sig))
-        low, high = (np.searchsorted(known.sigs, sig[at], side) for side in ("left", "right"))
-        n = high - low
-        place = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(at) else low
-        found.append((np.repeat(at, n) << 32) | known.window[place])
-    if not found or not sum(map(len, found)):
+    for size, edits in sizes.items():
+        starts = _starts(t, size, edits, grams)
+        if not len(starts):
+            continue
+        pairs = []
+        for sig in signatures(t.hashes, starts, np.minimum(starts + size, t.high[starts]), walks.plan(size), size):
+            at = np.flatnonzero(keep(sig))
+            low, high = (np.searchsorted(known.sigs, sig[at], side) for side in ("left", "right"))
+            n = high - low
+            if n.sum():
+                place = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                pairs.append((np.repeat(starts[at], n) << 32) | known.window[place])
+        if pairs:
+            pairs = np.unique(np.concatenate(pairs))  # a pair found by several repetitions is verified once
+            pairs = pairs[known.size[pairs & 0xFFFFFFFF] == size]
+            start, window = pairs >> 32, pairs & 0xFFFFFFFF
+            found.append(pd.DataFrame({"doc": t.owner[start], "item": known.item[window], "size": size, "start": start, "window": window}))
+    if not found:
         return
-    pairs = np.unique(np.concatenate(found))  # a pair found by several repetitions is verified once
-    data, words, begin, end, low, high = held
-    best: list[pd.DataFrame] = []
-    for k in range(0, len(pairs), 1 << 16):
-        mine, theirs = pairs[k : k + (1 << 16)] >> 32, pairs[k : k + (1 << 16)] & 0xFFFFFFFF
-        places, y = start[mine][:, None] + np.arange(window), known.words[theirs]
-        x = words[np.minimum(places, len(words) - 1)]
-        edits, first, length = ((x != y) | (places >= high[mine][:, None])).sum(axis=1), start[mine], np.full(len(mine), window)
-        if indels:
-            # Every word of the item's window but max_edits has its like in the text, at most 2 * max_edits words away.
-            more = np.flatnonzero(edits > 0)
-            near_by = np.zeros((len(more), window), bool)
-            for k in range(-2 * max_edits, 2 * max_edits + 1):
-                near_by |= words[np.clip(places[more] + k, 0, len(words) - 1)] == y[more]
-            more = more[near_by.sum(axis=1) >= window - max_edits]
-            edits[more], first[more], length[more] = _nearest(words, low[mine[more]], high[mine[more]], first[more], y[more], max_edits)
-        elif max_edits > 1:  # windows are equally long: one edit is one changed word
-            more = np.flatnonzero(edits > 1)
-            edits[more] = edit_distances(x[more], y[more])
-        near = np.flatnonzero(edits <= max_edits)
-        best.append(pd.DataFrame({"doc": owner[mine[near]], "known": theirs[near], "edits": edits[near], "start": first[near], "length": length[near]}))
+    rows = pd.concat(found, ignore_index=True)
+    rows["edits"], rows["first"], rows["last"] = -1, 0, 0
+    equal = np.zeros(len(rows), bool)
+    for size in sizes:
+        m = np.flatnonzero(rows["size"].to_numpy() == size)
+        for k in range(0, len(m), 1 << 16):
+            p = m[k : k + (1 << 16)]
+            start, window = rows["start"].to_numpy()[p], rows["window"].to_numpy()[p]
+            x = t.hashes[np.minimum(start[:, None] + np.arange(size), len(t.hashes) - 1)]
+            equal[p] = (start + size <= t.high[start]) & (x == known.words[known.place[window][:, None] + np.arange(size)]).all(axis=1)
+    # An unedited passage is best; the other windows of its document and item need no table.
+    settled = pd.MultiIndex.from_frame(rows.loc[equal, ["doc", "item"]].drop_duplicates())
+    open_ = ~pd.MultiIndex.from_frame(rows[["doc", "item"]]).isin(settled)
+    best = [rows[equal].assign(edits=0, first=rows["start"][equal], last=(rows["start"] + rows["size"])[equal])]
+    for size in sorted(sizes, reverse=True):
+        more = rows[open_ & (rows["size"].to_numpy() == size)]
+        if len(more):
+            more = more[~pd.MultiIndex.from_frame(more[["doc", "item"]]).isin(settled)]
+        if not len(more):
+            continue
+        start, window = more["start"].to_numpy(), more["window"].to_numpy()
+        y = known.words[known.place[window][:, None] + np.arange(size)]
+        edits, first, last = verified(t.hashes, t.low[start], t.high[start], start, y, sizes[size])
+        more = more.assign(edits=edits, first=first, last=last)
+        more = more[edits <= sizes[size]]
+        best.append(more)
+        settled = settled.append(pd.MultiIndex.from_frame(more[["doc", "item"]].drop_duplicates()))  # a longer passage is better
     rows = pd.concat(best)
-    rows["item"] = known.items[rows["known"].to_numpy()]
-    rows = rows.sort_values(["doc", "item", "edits", "start", "known"]).drop_duplicates(["doc", "item"])
+    rows = rows.assign(edited=rows["edits"] > 0, shorter=-rows["size"], at=known.at[rows["window"].to_numpy()])
+    rows = rows.sort_values(["doc", "item", "edited", "shorter", "edits", "start", "at"]).drop_duplicates(["doc", "item"])
     if len(rows):
-        first, length = rows["start"].to_numpy(), rows["length"].to_numpy()
         yield pd.DataFrame({
-            "id": ids[rows["doc"].to_numpy()], "item": rows["item"].to_numpy(), "edits": rows["edits"].to_numpy(),
-            "passage": _passages(data, begin, end, first, length), "known": rows["known"].to_numpy(),
+            "doc": ids[rows["doc"].to_numpy()], "item": rows["item"].to_numpy(), "size": rows["size"].to_numpy(), "edits": rows["edits"].to_numpy(),
+            "start": (rows["start"] - t.low[rows["start"].to_numpy()]).to_numpy(), "at": rows["at"].to_numpy(),
+            "passage": [t.passage(a, b) for a, b in zip(rows["first"], rows["last"])],
         })
 
 
+def _item_rows(ids, texts: list[bytes], passages, own_sizes, walks: Walks) -> Iterator[pd.DataFrame]:
+    """One row per item, its words, and for each of its windows size, place and signatures."""
+    t = Texts.of(texts)
+    bounds = np.searchsorted(t.owner, np.arange(len(texts) + 1))
+    grams = _grams(t).view(np.int64)
+    rows = []
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        windows = []
+        for size in item_sizes(b - a, passages, own_sizes):
+            starts = np.arange(a, b - size + 1)
+            sigs = signatures(t.hashes[a:b], starts - a, starts - a + size, walks.plan(size), size).view(np.int64)
+            windows += [{"size": size, "at": int(s - a), "sigs": sigs[:, n].tolist()} for n, s in enumerate(starts)]
+        if windows:
+            rows.append((int(ids[k]), t.hashes[a:b].view(np.int64).tolist(), grams[a : b - GRAM + 1].tolist(), windows))
+    yield pd.DataFrame(rows, columns=["item", "words", "grams", "windows"])
+
+
+def _hits(ids, texts: list[bytes], sizes: Mapping[int, int], walks: Walks, keep) -> Iterator[pd.DataFrame]:
+    """The windows that have a signature of the items: with all words that verifying may read, ``lead`` of them before the window."""
+    t = Texts.of(texts)
+    grams = keep(_grams(t))
+    for size, edits in sizes.items():
+        starts = _starts(t, size, edits, grams)
+        if not len(starts):
+            continue
+        sigs = signatures(t.hashes, starts, np.minimum(starts + size, t.high[starts]), walks.plan(size), size)
+        hit = np.array([keep(s) for s in sigs])
+        at = np.flatnonzero(hit.any(axis=0))
+        if len(at):
+            s = starts[at]
+            a, b = np.maximum(s - edits, t.low[s]), np.minimum(s + size + 2 * edits, t.high[s])
+            yield pd.DataFrame({
+                "doc": ids[t.owner[s]], "size": size, "start": s - t.low[s], "lead": s - a, "around": [t.passage(x, y) for x, y in zip(a, b)],
+                "sigs": [sigs[hit[:, n], n].view(np.int64).tolist() for n in at],
+            })
+
+
 def _batches(pdfs: Iterator[pd.DataFrame], work, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """``work(ids, texts)`` over bounded pieces of the texts; one text is never split."""
     for pdf in pdfs:
@@ -215,145 +337,122 @@ def _batches(pdfs: Iterator[pd.DataFrame], work, chars: int = 4_000_000) -> Iter
                 held, texts, size = i + 1, [], 0
 
 
-def _slot_bits(sig: np.ndarray, log_slots: int) -> np.ndarray:
-    return (sig >> np.uint64(64 - log_slots)).astype(np.int64)
+def _slots(x: np.ndarray, log_slots: int) -> np.ndarray:
+    return (x >> np.uint64(64 - log_slots)).astype(np.int64)
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-    window: int = 12, max_edits: int = 0, walks: int = 1, samples: int = 1, bits: int = 16, log_slots: int = 26, send_rows: int = 2_000_000, seed: int = 5,
-    indels: bool = False,
+    passages: Mapping[int, int] = PASSAGES, own_sizes: Mapping[int, int] = ITEM_SIZES, walks: Walks = Walks(), log_slots: int = 26, send_rows: int = 2_000_000,
+    heavy: int = 100_000, salts: int = 64,
 ) -> DataFrame:
-    """Documents that hold a passage of an item: ``doc_id, item_id, edits, passage``.
-
-    A passage is a window of ``window`` consecutive words, as a reader sees the page (:mod:`.visible`). Every
-    window of every item and every document gets ``walks * samples`` signatures: a CGK random walk embeds it so
-    that few word edits change few places, and each signature samples ``bits`` places (:func:`signatures`). Equal
-    windows have equal signatures, so unedited passages are found with certainty by any one repetition; more
-    repetitions raise the recall of edited ones (:func:`repetitions_for`). Candidates with an equal signature are then
-    verified exactly: the windows' word edit distance must be at most ``max_edits``. One row per document and item, with its least number of edits.
-
-    Windows of equal length have an inserted or deleted word at a distance of 2, as it pushes another one in or out at the end. ``indels``
-    compares an item's window with spans of up to ``max_edits`` words less or more instead, so that each inserted, deleted or changed word
-    is one edit; ``passage`` is the span. A text of ``max_edits`` words less than the window can then match.
-
-    Sent to all tasks is a bitmap of the items' signatures, 2 ** ``log_slots`` bits (8 MB) whatever the number of
-    items; it has no false negatives. Up to ``send_rows`` signatures of items (counted first; 2,000,000 are some
-    250 MB at most) the items' windows are sent as well, candidates are verified in the task that read the document, and only
-    matches leave it. Beyond that, windows that hit the bitmap leave the scan and meet the items' windows in
-    a join on the signature. Both ways find the same pairs. Words are compared by their 64-bit hashes.
-
-    Defined cases: NULL, empty or short texts (fewer than ``window`` words) have no window and match nothing; texts
-    of any length are read whole; repeated documents and items, and items that share a passage, each
-    have their own rows; rows with a NULL id are left out; empty tables give no rows; other columns are ignored.
+    """Documents that hold a passage of an item, whole or in part, edited or not: ``doc_id, item_id, edits, passage``.
+
+    Compared are windows of consecutive words, as a reader sees the page (:mod:`.visible`). An item has windows of the sizes in ``passages``, and of its own
+    size, the greatest of ``own_sizes`` that it has words for; both tell how many word edits (changed, inserted, deleted) are allowed. Every window gets
+    ``walks.walks * walks.samples`` signatures: a CGK random walk embeds it so that few edits change few places, and each signature samples ``walks.bits``
+    places (:func:`signatures`). Equal windows have equal signatures, so unedited passages of the least size are found with certainty; the recall of edited ones
+    is set by the number of repetitions. A document's window is embedded only if enough three-word runs of it are in any item to allow for a match
+    (:func:`_starts`; this loses none). Candidates with an equal signature are verified exactly: the best span of words around the document's
+    window must have a word edit distance within the size's number of edits. One row per document and item: an unedited passage before edited ones, the longer
+    before the shorter, then the fewest edits, then the first place in the document and in the item.
+
+    Sent to all tasks is a bitmap of the items' signatures and three-word runs, 2 ** ``log_slots`` bits (8 MB) whatever the number of items; it has no false
+    negatives. Up to ``send_rows`` signatures of items (counted first; 2,000,000 are some 30 MB) the items' words and windows are sent as well, and candidates are
+    verified in the task that read the document. Beyond that, windows that hit the bitmap leave the scan and meet the items' windows in a join on the signature;
+    signatures with ``heavy`` windows or more are dealt to ``salts`` parts. Both ways have the same candidates, verify them by the same function and rank them alike, so they
+    return the same rows. Words are compared by their 64-bit hashes.
+
+    Defined cases: NULL, empty or short texts have no window and match nothing; texts of any length are read whole; repeated documents and items
+    have the rows of one; items that share a passage each have their own; rows with a NULL id are left out; empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    indels = indels and max_edits > 0
-    plan = _plan(window, walks, samples, bits, seed)
-    schema = "id long, sig long, passage string"
-    item_rows = items.select(col(item_id).cast("long").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    item_windows = staged(item_rows.mapInPandas(lambda it: _batches(it, lambda i, t: _emit(i, t, window, plan, None)), schema).distinct())
-
-    slot = F.shiftrightunsigned("sig", 64 - log_slots)
-    filled = item_windows.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    passages, own_sizes = dict(passages), dict(own_sizes)
+    item_rows = items.select(col(item_id).cast("long").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull()).distinct()
+    known_items = staged(item_rows.mapInPandas(
+        lambda it: _batches(it, lambda i, t: _item_rows(i, t, passages, own_sizes, walks)),
+        "item long, words array<long>, grams array<long>, windows array<struct<size: int, at: int, sigs: array<long>>>",
+    ))
+    windows = known_items.select("item", F.posexplode("windows").alias("__n", "w")).select("item", "w.size", "w.at", "w.sigs")
+    all_sizes = passages | own_sizes
+    sizes = {r[0]: all_sizes[r[0]] for r in windows.select("size").distinct().orderBy("size").collect()}  # as many as there are sizes
+
+    marks = windows.select(F.explode("sigs").alias("x")).unionByName(known_items.select(F.explode("grams").alias("x")))
+    slot = F.shiftrightunsigned("x", 64 - log_slots)
+    filled = marks.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     bitmap = np.zeros((1 << log_slots) // 8 + 4096, np.uint8)
     for b, held in filled.collect():  # at most 2 ** log_slots / 32768 rows of 4 KB
         if b > 0:
             bitmap[(b - 1) * 4096 : b * 4096] = np.frombuffer(held, np.uint8)
     shared = spark.sparkContext.broadcast(bitmap)
 
-    def keep(sig: np.ndarray) -> np.ndarray:
+    def keep(x: np.ndarray) -> np.ndarray:
         # bitmap_bucket_number puts n > 0 at 1 + (n - 1) // 32768 and its bit at (n - 1) % 32768; 0 is bucket 0, bit 0.
-        n = _slot_bits(sig, log_slots)
+        n = _slots(x, log_slots)
         at = np.where(n > 0, n - 1, 0)
         hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
         return (hit == 1) | (n == 0)
 
     doc_rows = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    if item_windows.count() <= send_rows:
-        rows = item_windows.toPandas()
-        windows = rows[["id", "passage"]].drop_duplicates().reset_index(drop=True)
-        number = rows.merge(windows.reset_index(names="n"), on=["id", "passage"])
-        sigs = number["sig"].to_numpy().view(np.uint64)
-        order = np.argsort(sigs, kind="stable")
-        words = _word_matrix(windows["passage"], window)
-        known = spark.sparkContext.broadcast(Known(sigs[order], number["n"].to_numpy(np.int64)[order], words, windows["id"].to_numpy(np.int64)))
+    if windows.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0] <= send_rows:
+        known = spark.sparkContext.broadcast(_known(known_items))
         found = doc_rows.mapInPandas(
-            lambda it: _batches(it, lambda i, t: _match(i, t, window, plan, keep, known.value, max_edits, indels)),
-            "id long, item long, edits int, passage string, known long",
+            lambda it: _batches(it, lambda i, t: _match(i, t, sizes, walks, keep, known.value)),
+            "doc long, item long, size int, edits int, start int, at int, passage string",
         )
-        return _best(found.select(F.col("id").alias("doc"), "item", "edits", "passage"), doc_id, item_id)
-
-    if indels:
-        hits = doc_rows.mapInPandas(lambda it: _batches(it, lambda i, t: _emit(i, t, window, plan, keep, max_edits)), schema + ", at int")
-        pairs = hits.alias("d").join(item_windows.alias("i"), F.col("d.sig") == F.col("i.sig"))
-        pairs = pairs.withColumn("near", _nearest_span(window, max_edits)(F.col("d.passage"), F.col("d.at"), F.col("i.passage"))).where(F.col("near.edits") <= max_edits)
-        return _best(pairs.select(F.col("d.id").alias("doc"), F.col("i.id").alias("item"), "near.edits", "near.passage"), doc_id, item_id)
-
-    hits = doc_rows.mapInPandas(lambda it: _batches(it, lambda i, t: _emit(i, t, window, plan, keep)), schema)
-    pairs = hits.alias("d").join(item_windows.alias("i"), F.col("d.sig") == F.col("i.sig"))
-    same = F.col("d.passage") == F.col("i.passage")
-    if max_edits == 0:
-        pairs = pairs.where(same).withColumn("edits", F.lit(0))
-    else:
-        pairs = pairs.withColumn("edits", F.when(same, F.lit(0)).otherwise(_word_edits(window)(F.col("d.passage"), F.col("i.passage"))))
-        pairs = pairs.where(F.col("edits") <= max_edits)
-    return _best(pairs.select(F.col("d.id").alias("doc"), F.col("i.id").alias("item"), "edits", F.col("d.passage").alias("passage")), doc_id, item_id)
-
-
-def _best(pairs: DataFrame, doc_id: str, item_id: str) -> DataFrame:
-    best = pairs.groupBy("doc", "item").agg(F.min(F.struct("edits", "passage")).alias("best"))
+        return _best(found, doc_id, item_id)
+
+    hits = staged(doc_rows.mapInPandas(
+        lambda it: _batches(it, lambda i, t: _hits(i, t, sizes, walks, keep)), "doc long, size int, start int, lead int, around string, sigs array<long>"
+    ))
+    by_sig = hits.select("doc", "size", "start", F.explode("sigs").alias("sig"))
+    many = by_sig.groupBy("sig").count().where(F.col("count") >= heavy).select("sig", F.lit(salts).alias("parts"))
+    mine = by_sig.join(many, "sig", "left").withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    theirs = windows.select("item", "size", "at", F.explode("sigs").alias("sig")).join(many, "sig", "left")
+    theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("parts", F.lit(1)) - 1).cast("long")))).drop("parts")
+    pairs = mine.join(theirs, ["sig", "size", "salt"]).select("doc", "item", "size", "start", "at").distinct()
+    pairs = pairs.join(hits.select("doc", "size", "start", "lead", "around").distinct(), ["doc", "size", "start"])
+    words = known_items.select("item", "words").distinct()
+    pairs = pairs.join(words, "item").withColumn("words", F.slice("words", F.col("at") + 1, F.col("size")))
+    pairs = pairs.withColumn("near", _near(sizes)("size", "lead", "around", "words")).where("near.edits >= 0")
+    return _best(pairs.select("doc", "item", "size", "near.edits", "start", "at", "near.passage"), doc_id, item_id)
+
+
+def _best(found: DataFrame, doc_id: str, item_id: str) -> DataFrame:
+    rank = F.struct((F.col("edits") > 0).alias("edited"), (-F.col("size")).alias("shorter"), "edits", "start", "at", "passage")
+    best = found.groupBy("doc", "item").agg(F.min(rank).alias("best"))
     return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("best.edits").alias("edits"), F.col("best.passage").alias("passage"))
 
 
-def edit_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Edit distances of the rows of two matrices of words, all rows at once."""
-    return _edit_rows(x, y)[:, -1]
-
-
-def _edit_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The edit distances of every row of x to all the beginnings of y's row, from none of it to all: one row of the usual table a step."""
-    ramp = np.arange(y.shape[1] + 1, dtype=np.int16)
-    row = np.repeat(ramp[None, :], len(x), axis=0)
-    for i in range(x.shape[1]):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        np.minimum(row[:, :-1] + (x[:, i : i + 1] != y), row[:, 1:] + 1, out=new[:, 1:])
-        # Insertions: the running minimum of what lies to the left, one more for every place.
-        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
-    return row
-
-
-def _word_matrix(passages: pd.Series, window: int) -> np.ndarray:
-    return word_hashes(np.frombuffer(" ".join(passages).encode(), np.uint8))[0].reshape(-1, window)
-
-
-def _word_edits(window: int):
-    def distances(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        return pd.Series(edit_distances(_word_matrix(x, window), _word_matrix(y, window)).astype("int32"))
-
-    return F.pandas_udf(distances, "int")
-
-
-def _nearest_span(window: int, max_edits: int):
-    def spans(around: pd.Series, at: pd.Series, known: pd.Series) -> pd.DataFrame:
-        if not len(around):
-            return pd.DataFrame({"edits": pd.Series([], dtype="int32"), "passage": pd.Series([], dtype=str)})
-        data = "\n".join(around).encode()
-        buf = np.frombuffer(data, np.uint8)
-        words, begin, end = word_hashes(buf)
-        owner = np.searchsorted(np.flatnonzero(buf == 10), begin)
-        low, high = (np.searchsorted(owner, np.arange(len(around)), side) for side in ("left", "right"))
-        edits, first, length = _nearest(words, low, high, low + at.to_numpy(), _word_matrix(known, window), max_edits)
-        return pd.DataFrame({"edits": edits.astype("int32"), "passage": _passages(data, begin, end, first, length)})
+def _known(known_items: DataFrame) -> Known:
+    rows = known_items.toPandas().drop_duplicates("item")
+    words = [np.asarray(w, np.int64) for w in rows["words"]]
+    first = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+    w = [(item, x["size"], x["at"], first[k] + x["at"], x["sigs"]) for k, (item, ws) in enumerate(zip(rows["item"], rows["windows"])) for x in ws]
+    sigs = np.array([s for *_, s in w], np.int64).view(np.uint64)
+    window = np.repeat(np.arange(len(w)), sigs.shape[1] if len(w) else 0)
+    order = np.argsort(sigs.ravel(), kind="stable")
+    column = lambda n: np.array([x[n] for x in w], np.int64)
+    flat = np.concatenate(words).view(np.uint64) if words else np.zeros(0, np.uint64)
+    return Known(flat, column(0), column(1), column(2), column(3), sigs.ravel()[order], window[order])
+
+
+def _near(sizes: Mapping[int, int]):
+    """Edits (-1 beyond those allowed) and passage of joined windows, by the function that the scan uses."""
+
+    def spans(size: pd.Series, lead: pd.Series, around: pd.Series, words: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"edits": np.full(len(size), -1), "passage": pd.Series([None] * len(size), dtype=object)})
+        if len(size):
+            t = Texts.of([s.encode() for s in around])
+            bounds = np.searchsorted(t.owner, np.arange(len(size) + 1))
+            for n, allowed in sizes.items():
+                m = np.flatnonzero(size.to_numpy() == n)
+                if len(m):
+                    y = np.array([words.iloc[k] for k in m], np.int64).view(np.uint64)
+                    edits, first, last = verified(t.hashes, bounds[m], bounds[m + 1], bounds[m] + lead.to_numpy()[m], y, allowed)
+                    ok = np.flatnonzero(edits <= allowed)
+                    out.loc[m[ok], "edits"] = edits[ok]
+                    out.loc[m[ok], "passage"] = [t.passage(first[k], last[k]) for k in ok]
+        return out
 
     return F.pandas_udf(spans, "edits int, passage string")
-
-
-def repetitions_for(recall: float, per_repetition: float) -> int:
-    """How many repetitions reach ``recall`` where one finds a pair with probability ``per_repetition``."""
-    if per_repetition >= 1:
-        return 1
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - per_repetition)))
