@@ -289,20 +289,24 @@ def _match(ids, texts: list[bytes], sizes: Mapping[int, int], walks: Walks, keep
 
 
 def _item_rows(ids, texts: list[bytes], passages, own_sizes, walks: Walks) -> Iterator[pd.DataFrame]:
-    """One row per item, its words, and for each of its windows size, place and signatures."""
+    """One row per item: its words and grams, and of its windows the sizes, places and signatures, one window's behind the other's."""
     t = Texts.of(texts)
     bounds = np.searchsorted(t.owner, np.arange(len(texts) + 1))
     grams = _grams(t).view(np.int64)
-    rows = []
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        windows = []
-        for size in item_sizes(b - a, passages, own_sizes):
-            starts = np.arange(a, b - size + 1)
-            sigs = signatures(t.hashes[a:b], starts - a, starts - a + size, walks.plan(size), size).view(np.int64)
-            windows += [{"size": size, "at": int(s - a), "sigs": sigs[:, n].tolist()} for n, s in enumerate(starts)]
-        if windows:
-            rows.append((int(ids[k]), t.hashes[a:b].view(np.int64).tolist(), grams[a : b - GRAM + 1].tolist(), windows))
-    yield pd.DataFrame(rows, columns=["item", "words", "grams", "windows"])
+    held: dict[int, list] = {k: [] for k in range(len(texts))}
+    for size in {**passages, **own_sizes}:
+        mine = [k for k in held if size in item_sizes(bounds[k + 1] - bounds[k], passages, own_sizes)]
+        starts = [np.arange(bounds[k], bounds[k + 1] - size + 1) for k in mine]
+        if mine:  # the windows of all items in one go
+            at = np.concatenate(starts)
+            sigs = signatures(t.hashes, at, at + size, walks.plan(size), size).T.view(np.int64)
+            for k, s, x in zip(mine, starts, np.split(sigs, np.cumsum([len(s) for s in starts])[:-1])):
+                held[k].append((np.full(len(s), size), s - bounds[k], x.ravel()))
+    rows = [
+        (ids[k], t.hashes[a:b].view(np.int64), grams[a : b - GRAM + 1], *map(np.concatenate, zip(*held[k])))
+        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if held[k]
+    ]
+    yield pd.DataFrame(rows, columns=["item", "words", "grams", "size", "at", "sigs"])
 
 
 def _hits(ids, texts: list[bytes], sizes: Mapping[int, int], walks: Walks, keep) -> Iterator[pd.DataFrame]:
@@ -371,13 +375,12 @@ def find_leaks(
     item_rows = items.select(col(item_id).cast("long").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull()).distinct()
     known_items = staged(item_rows.mapInPandas(
         lambda it: _batches(it, lambda i, t: _item_rows(i, t, passages, own_sizes, walks)),
-        "item long, words array<long>, grams array<long>, windows array<struct<size: int, at: int, sigs: array<long>>>",
+        "item long, words array<long>, grams array<long>, size array<int>, at array<int>, sigs array<long>",
     ))
-    windows = known_items.select("item", F.posexplode("windows").alias("__n", "w")).select("item", "w.size", "w.at", "w.sigs")
     all_sizes = passages | own_sizes
-    sizes = {r[0]: all_sizes[r[0]] for r in windows.select("size").distinct().orderBy("size").collect()}  # as many as there are sizes
+    sizes = {r[0]: all_sizes[r[0]] for r in known_items.select(F.explode("size").alias("size")).distinct().orderBy("size").collect()}  # as many as there are sizes
 
-    marks = windows.select(F.explode("sigs").alias("x")).unionByName(known_items.select(F.explode("grams").alias("x")))
+    marks = known_items.select(F.explode("sigs").alias("x")).unionByName(known_items.select(F.explode("grams").alias("x")))
     slot = F.shiftrightunsigned("x", 64 - log_slots)
     filled = marks.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     bitmap = np.zeros((1 << log_slots) // 8 + 4096, np.uint8)
@@ -394,7 +397,7 @@ def find_leaks(
         return (hit == 1) | (n == 0)
 
     doc_rows = docs.select(col(doc_id).cast("long").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    if windows.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0] <= send_rows:
+    if known_items.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0] <= send_rows:
         known = spark.sparkContext.broadcast(_known(known_items))
         found = doc_rows.mapInPandas(
             lambda it: _batches(it, lambda i, t: _match(i, t, sizes, walks, keep, known.value)),
@@ -408,7 +411,9 @@ def find_leaks(
     by_sig = hits.select("doc", "size", "start", F.explode("sigs").alias("sig"))
     many = by_sig.groupBy("sig").count().where(F.col("count") >= heavy).select("sig", F.lit(salts).alias("parts"))
     mine = by_sig.join(many, "sig", "left").withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    theirs = windows.select("item", "size", "at", F.explode("sigs").alias("sig")).join(many, "sig", "left")
+    each = walks.walks * walks.samples
+    theirs = known_items.select("item", "sigs", F.posexplode(F.arrays_zip("size", "at")).alias("n", "w"))
+    theirs = theirs.select("item", "w.size", "w.at", F.explode(F.slice("sigs", F.col("n") * each + 1, F.lit(each))).alias("sig")).join(many, "sig", "left")
     theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("parts", F.lit(1)) - 1).cast("long")))).drop("parts")
     pairs = mine.join(theirs, ["sig", "size", "salt"]).select("doc", "item", "size", "start", "at").distinct()
     pairs = pairs.join(hits.select("doc", "size", "start", "lead", "around").distinct(), ["doc", "size", "start"])
@@ -426,15 +431,15 @@ def _best(found: DataFrame, doc_id: str, item_id: str) -> DataFrame:
 
 def _known(known_items: DataFrame) -> Known:
     rows = known_items.toPandas().drop_duplicates("item")
-    words = [np.asarray(w, np.int64) for w in rows["words"]]
-    first = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
-    w = [(item, x["size"], x["at"], first[k] + x["at"], x["sigs"]) for k, (item, ws) in enumerate(zip(rows["item"], rows["windows"])) for x in ws]
-    sigs = np.array([s for *_, s in w], np.int64).view(np.uint64)
-    window = np.repeat(np.arange(len(w)), sigs.shape[1] if len(w) else 0)
-    order = np.argsort(sigs.ravel(), kind="stable")
-    column = lambda n: np.array([x[n] for x in w], np.int64)
-    flat = np.concatenate(words).view(np.uint64) if words else np.zeros(0, np.uint64)
-    return Known(flat, column(0), column(1), column(2), column(3), sigs.ravel()[order], window[order])
+    if not len(rows):
+        return Known(*(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint64, np.int64)))
+    first = np.concatenate(([0], np.cumsum(rows["words"].map(len))[:-1]))
+    flat = lambda c: np.concatenate(rows[c].to_list()).astype(np.int64)
+    n = rows["size"].map(len)
+    at, sigs = flat("at"), flat("sigs").view(np.uint64)
+    order = np.argsort(sigs, kind="stable")
+    window = np.repeat(np.arange(len(at)), len(sigs) // len(at))
+    return Known(flat("words").view(np.uint64), np.repeat(rows["item"].to_numpy(), n), flat("size"), at, np.repeat(first, n) + at, sigs[order], window[order])
 
 
 def _near(sizes: Mapping[int, int]):
