@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftmap.llm import leaks, packing, pieces
-from weftmap.llm.tokens import Vocabulary, encode
+from weftmap.llm.tokens import Vocabulary, _tokens, encode, load
 from weftmap.llm.visible import reader_words
 
 V = Vocabulary()
@@ -43,6 +43,9 @@ def test_reader_words_of_pathological_pages_are_linear(page):
 
 
 def test_long_blank_runs():
+    encoding, _ = load(V)
+    for s in ("a" + " " * 150_000 + "b c", "\t\n" * 100_000, "x" + "\n " * 90_000, "é" + "\u3000" * 120_000 + "\x1fz" + " " * 100_000 + "\u00a0y"):
+        assert _tokens(encoding, s) == encoding.encode_ordinary(s)
     s = "a" + " " * 3_000_000 + "b"
     assert sum(len(x) for x in (encode(s, V),)) > 0 and leaks.word_hashes(np.frombuffer(s.encode(), np.uint8))[0].size == 2
     cuts = pieces.cut("a" + " " * 250_000 + "b", 512, 0, V)
@@ -304,12 +307,19 @@ def test_cut(s, limit, overlap):
     for a, b, n, kind in cuts:
         text = data[a:b].decode()  # never inside a character
         assert n == len(encode(text, V)) <= limit and (a < b or not data)
+    shared(data, cuts, overlap)
+
+
+def shared(data, cuts, overlap):
+    """Consecutive pieces share ``overlap`` tokens of the text, more only back to the begin of a character."""
+    starts = np.concatenate(([0], pieces.token_ends(data.decode(), V)))
     for (a, b, _, kind), (c, d, _, _) in zip(cuts, cuts[1:]):
         assert a < c <= b < d
-        if overlap == 0:
-            assert c == b
-        elif len(encode(data[a:b].decode(), V)) > 3 * overlap:
-            assert len(encode(data[c:b].decode(), V)) >= min(overlap, 1)
+        begin, end = np.flatnonzero(starts == c)[0], np.flatnonzero(starts == b)[0]
+        back = end - overlap
+        while data[starts[back]] & 0xC0 == 0x80 and back > 0:
+            back -= 1
+        assert begin == back and overlap <= end - begin <= overlap + 3
 
 
 def test_cut_prefers_natural_boundaries():
@@ -318,10 +328,7 @@ def test_cut_prefers_natural_boundaries():
     assert {k for *_, k in cuts} == {"paragraph", "end"}
     cuts = pieces.cut("alpha beta gamma " * 300, 100, 10, V)
     assert {k for *_, k in cuts} == {"word", "end"}
-    # Overlap: at least that many tokens, at most a word more.
-    text = ("alpha beta gamma " * 300).encode()
-    for (_, b, _, _), (c, _, _, _) in zip(cuts, cuts[1:]):
-        assert 10 <= len(encode(text[c:b].decode(), V)) <= 13
+    shared(("alpha beta gamma " * 300).encode(), cuts, 10)
     assert "hard" in {k for *_, k in pieces.cut("日本" * 400, 50, 5, V)}
 
 
@@ -344,6 +351,8 @@ def test_split_documents(spark):
     big = 2**62 + 1
     ids = spark.createDataFrame([(None, "no id"), (big, "an id")], "doc_id long, text string")
     assert {(r.doc_id, r.piece) for r in pieces.split_documents(ids, 16).collect()} == {(None, "no id"), (big, "an id")}
+    for text in (texts[3], texts[4], texts[5], texts[6]):
+        shared(text.encode(), pieces.cut(text, 128, 16, V), 16)
     assert packing.pack_documents(ids, 16).where("doc_id IS NULL AND n_tokens > 0").count() == 1
     with pytest.raises(ValueError):
         pieces.split_documents(df, 10, 5)

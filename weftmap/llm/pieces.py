@@ -69,8 +69,8 @@ def cut(s: str, limit: int, overlap: int, vocabulary: Vocabulary, fill: float =
     Prefix sums of the token lengths turn byte offsets into token offsets. From a piece's start, the last boundary
     within ``limit`` tokens is found by binary search, the best kind first; a section, paragraph, line or sentence
     counts only if the piece keeps ``fill`` of the limit; a word may be anywhere behind the overlap. Without one, the
-    cut is hard, between two tokens that are not inside a character. The next piece starts ``overlap`` tokens back, further back
-    to the start of the word (or of the character, in a run without spaces).
+    cut is hard, between two tokens that are not inside a character. The next piece starts exactly ``overlap`` tokens of the text
+    back, or, where that is inside a character, at the character's begin (a character has 4 tokens at most).
     """
     data = s.encode("utf-8")
     ends = token_ends(s, vocabulary)
@@ -120,11 +120,8 @@ def cut(s: str, limit: int, overlap: int, vocabulary: Vocabulary, fill: float =
         out.append((int(starts[at]), int(starts[end]), size, kind))
         if end >= n:
             return out
-        back = max(end - overlap, at + 1)
-        begin = _last_under(words, max(at, back - max(overlap, 1)), back) if overlap else end
-        if begin < 0:
-            begin = _last_under(chars, at, back)
-        exact_start = kind != "hard" if not overlap else bool(len(words)) and begin in words[np.searchsorted(words, begin) :][:1]
+        begin = _last_under(chars, at, end - overlap) if overlap else end
+        exact_start = kind != "hard" if not overlap else bool(np.isin(begin, words))
         at = begin if begin > at else end
 
 
@@ -134,8 +131,8 @@ def split_documents(
     """Ordered pieces of at most ``limit`` tokens: ``doc_id, piece_no, n_pieces, start_char, end_char, n_tokens, cut, piece``.
 
     Pieces are cut at section headings, blank lines, line breaks, sentence ends or words, in that order of preference,
-    and only inside a word where it has no boundary within the limit (:func:`cut`). Consecutive pieces share ``overlap``
-    tokens or a few more (the start of the overlap is moved back to the start of a word); without overlap the pieces joined
+    and only inside a word where it has no boundary within the limit (:func:`cut`). Consecutive pieces share exactly ``overlap``
+    tokens of the text, or up to 3 more where the place is inside a character; without overlap the pieces joined
     are the text. ``n_tokens`` is the number of tokens of the piece taken by itself. A document within the limit is one
     piece. ``cut`` tells the boundary at the piece's end. Works document by document in one stage, without a shuffle.
 

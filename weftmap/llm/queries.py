@@ -1,4 +1,4 @@
-"""Queries of the text problems (p6 to p8)."""
+"""Queries of problem 4 and the text problems (p6 to p8), with their SQL."""
 
 from __future__ import annotations
 
@@ -9,11 +9,49 @@ from ..common import table
 from .leaks import find_leaks
 from .packing import containers, pack_documents
 from .pieces import split_documents
+from .quantiles import _offset, gamma, merge, percentiles, sketch
 
+ALPHA = 0.01
+PROBABILITIES = (0.01, 0.25, 0.5, 0.75, 0.99)
 CAPACITY = 2048
 LIMIT, OVERLAP = 512, 64
 
 
+def _metrics():
+    """The two positions, their difference in all pairs that have both, and the separation: the difference within a chromosome."""
+    difference = F.col("pos2") - F.col("pos1")
+    separation = F.when(F.col("chrom1") == F.col("chrom2"), difference)
+    return {"pos1": F.col("pos1"), "pos2": F.col("pos2"), "difference": difference, "separation": separation}
+
+
+def p4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partial sketches of single runs and days, as they would be kept to be combined later."""
+    days = table(spark, sf_dir, "pairs").withColumn("day", F.date_format("loaded_at", "yyyy-MM-dd"))
+    return sketch(days, ["run", "day", "chrom1", "strand1"], _metrics(), ALPHA)
+
+
+def p4_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per run, day of loading, chromosome and strand, merged from one partial sketch per hour."""
+    keys = ["run", "day", "chrom1", "strand1"]
+    hours = table(spark, sf_dir, "pairs").withColumns({"day": F.date_format("loaded_at", "yyyy-MM-dd"), "hour": F.hour("loaded_at")})
+    out = percentiles(merge(sketch(hours, [*keys, "hour"], _metrics(), ALPHA), keys), keys, PROBABILITIES, ALPHA)
+    return out.withColumn("estimate", F.round("estimate", 3))
+
+
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per (chrom1, strand1), merged from one partial sketch per run."""
+    partial = sketch(table(spark, sf_dir, "pairs"), ["run", "chrom1", "strand1"], _metrics(), ALPHA)
+    out = percentiles(merge(partial, ["chrom1", "strand1"]), ["chrom1", "strand1"], PROBABILITIES, ALPHA)
+    return out.withColumn("estimate", F.round("estimate", 3))
+
+
+def p4_run_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per run, merged from one partial sketch per day of loading."""
+    days = table(spark, sf_dir, "pairs").withColumn("day", F.to_date("loaded_at"))
+    out = percentiles(merge(sketch(days, ["run", "day"], _metrics(), ALPHA), ["run"]), ["run"], PROBABILITIES, ALPHA)
+    return out.withColumn("estimate", F.round("estimate", 3))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers(pack_documents(table(spark, sf_dir, "documents"), CAPACITY), CAPACITY)
 
@@ -43,8 +81,47 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), LIMIT, OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p6_containers, p6_placement, p7_found, p7_leaks, p7_items, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p4_sketches, p4_day_percentiles, p4_percentiles, p4_run_percentiles, p6_containers, p6_placement, p7_found, p7_leaks, p7_items, p8_pieces)}
+def _values(keys: str, source: str) -> str:
+    return f"""SELECT {keys}, 'pos1' AS metric, CAST(pos1 AS DOUBLE) AS v FROM {source}
+  UNION ALL SELECT {keys}, 'pos2', pos2 FROM {source}
+  UNION ALL SELECT {keys}, 'difference', pos2 - pos1 FROM {source}
+  UNION ALL SELECT {keys}, 'separation', CASE WHEN chrom1 = chrom2 THEN pos2 - pos1 END FROM {source}"""
+
+
+def _p4(keys: str) -> str:
+    g, lg = gamma(ALPHA), f"ln({gamma(ALPHA)!r})"
+    qs = ", ".join(f"({q})" for q in PROBABILITIES)
+    return f"""
+WITH p AS (SELECT *, strftime(loaded_at, '%Y-%m-%d') AS day FROM pairs),
+v AS ({_values(keys, 'p')}),
+b AS (SELECT {keys}, metric, sign(v) AS sg, CASE WHEN v <> 0 THEN CAST(ceil(ln(abs(v)) / {lg}) AS BIGINT) END AS ex, count(*) AS n
+      FROM v WHERE v IS NOT NULL GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY {keys}, metric ORDER BY sg, sg * ex ROWS UNBOUNDED PRECEDING) AS upto,
+             sum(n) OVER (PARTITION BY {keys}, metric) AS total FROM b),
+q AS (SELECT * FROM c, (VALUES {qs}) AS p(q))
+SELECT {keys}, metric, CAST(q AS DOUBLE) AS q, CAST(total AS BIGINT) AS n_values,
+       round(CASE WHEN sg = 0 THEN 0.0 ELSE sg * pow({g!r}, ex) * {2 / (g + 1)!r} END, 3) AS estimate,
+       CAST({ALPHA} AS DOUBLE) AS rel_error
+FROM q WHERE floor(q * (total - 1)) < upto AND floor(q * (total - 1)) >= upto - n
+"""
+
+
+def _sketches() -> str:
+    keys, lg = "run, day, chrom1, strand1", f"ln({gamma(ALPHA)!r})"
+    return f"""
+WITH p AS (SELECT *, strftime(loaded_at, '%Y-%m-%d') AS day FROM pairs),
+v AS ({_values(keys, 'p')})
+SELECT {keys}, metric,
+       CASE WHEN v = 0 THEN 0 ELSE CAST(sign(v) AS BIGINT) * (CAST(ceil(ln(abs(v)) / {lg}) AS BIGINT) + {_offset(ALPHA)}) END AS bucket, count(*) AS n
+FROM v WHERE v IS NOT NULL GROUP BY ALL"""
+
+
 ORACLE = {
+    "p4_sketches": _sketches(),
+    "p4_day_percentiles": _p4("run, day, chrom1, strand1"),
+    "p4_percentiles": _p4("chrom1, strand1"),
+    "p4_run_percentiles": _p4("run"),
     "p7_items": r"""
 WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items),
 r AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM w WHERE len(w) >= 12))

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Longer runs of white space overflow the pattern matcher (from about a million characters on); they are merged without it.
 MAX_BLANK = 100_000
-_BLANK = re.compile(rf"\s{{{MAX_BLANK}}}")
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = re.compile(f"[{_SPACES}]{{{MAX_BLANK},}}")
 
 
 @dataclass(frozen=True)
@@ -48,14 +50,17 @@ def _well_formed(s: str) -> str:
 
 
 def _tokens(encoding, s: str) -> list[int]:
-    """The text's tokens. The pattern matcher overflows on white space of about a million characters: longer runs than MAX_BLANK go in parts."""
+    """The text's tokens.
+
+    Of a run of white space the pattern takes all but the last character as one match (all of it at the text's end), and that match's merges do
+    not depend on what stands around it: very long runs are merged by themselves, with the same tokens.
+    """
     s = _well_formed(s)
-    if len(s) <= MAX_BLANK:
-        return encoding.encode_ordinary(s)
     out, at = [], 0
-    for m in _BLANK.finditer(s):
-        out += encoding.encode_ordinary(s[at : m.end()])
-        at = m.end()
+    for m in _BLANK.finditer(s) if len(s) >= MAX_BLANK else ():
+        stop = m.end() - (m.end() < len(s))
+        out += encoding.encode_ordinary(s[at : m.start()]) + encoding._encode_single_piece(s[m.start() : stop].encode())
+        at = stop
     return out + encoding.encode_ordinary(s[at:])
 
 
