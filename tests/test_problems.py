@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from weftmap.operators.impute import _with_cells, impute_pmm
 from weftmap.operators.intervals import periods_and_gaps
-from weftmap.operators.quantiles import merge, percentiles, sketch
 from weftmap.operators.rawlines import parse_batch, parse_pairs_lines, rejects, valid_records
 from weftmap.operators.salted import salted_aggregate
 
@@ -54,32 +53,6 @@ def test_salted_aggregate(spark):
     assert salted_aggregate(df.limit(0), ["k"], {"n": ("count", F.lit(1))}).count() == 0
 
 
-def test_percentiles_error_bound_and_merging(spark):
-    rnd = random.Random(7)
-    values = [0.0, -0.0, 5e-324, -1e-300, 1.7e308, -1.7e308, 1.0, -1.0] + [rnd.choice([-1, 1]) * 10 ** rnd.uniform(-9, 12) for _ in range(3000)]
-    rows = [("a", i % 3, v) for i, v in enumerate(values)] + [("b", 0, float("inf")), ("b", 1, -float("inf")), ("b", 1, 2.0)]
-    rows += [("b", 2, None), ("b", 2, float("nan")), (None, 0, 4.0), ("none", 0, None)]
-    df = spark.createDataFrame(rows, "g string, part int, v double")
-    qs = [0, 0.01, 0.3, 0.5, 0.9, 1]
-    for alpha in (0.01, 0.1):
-        parts = sketch(df, ["g", "part"], {"v": F.col("v")}, alpha)
-        a, b = parts.where("part = 0"), parts.where("part > 0")
-        got = percentiles(merge(a.unionByName(b), ["g"]), ["g"], qs, alpha).collect()
-        whole = percentiles(sketch(df, ["g"], {"v": F.col("v")}, alpha), ["g"], qs, alpha).collect()
-        assert sorted(map(repr, got)) == sorted(map(repr, whole))
-        data = defaultdict(list)
-        for g, _, v in rows:
-            if v is not None and not math.isnan(v):
-                data[g].append(v)
-        assert len(got) == len(qs) * len(data)
-        for r in got:
-            xs = sorted(data[r.g])
-            exact = xs[math.floor(r.q * (len(xs) - 1))]
-            assert r.n_values == len(xs)
-            assert r.estimate == exact or abs(r.estimate - exact) <= alpha * abs(exact) * (1 + 1e-9) + 1e-323
-    assert percentiles(sketch(df.limit(0), ["g"], {"v": F.col("v")}), ["g"], qs).count() == 0
-
-
 SIZES = {"chr1": 1000, "chr2": 50, '"q': 9}
 GOOD = ["r1", "chr1", "10", "chr2", "50", "+", "-", "UU", 's"1\x19', 's"', "0", "60"]
 
@@ -112,6 +85,31 @@ def test_line_index_against_brute_force(lines):
                 assert got["reason"][i] is None
 
 
+def quoted_last(field):
+    return "\t".join([*GOOD[:11], f'"{field}"'])
+
+
+@settings(max_examples=200, deadline=None)
+@given(lines_strategy(), st.sampled_from(['ab""c', '""', 'a""', '"ab""c"', '""x']), st.randoms(use_true_random=False))
+def test_lines_parse_alike_alone_and_in_any_batch(lines, read_id, rnd):
+    lines = [*lines, quoted_last("60"), "\t".join([read_id, *GOOD[1:]]), quoted_last('6""0'), "\t".join([read_id, *GOOD[1:]])]
+    rnd.shuffle(lines)
+
+    def rows(lines):
+        out = parse_batch(pa.array([0] * len(lines), pa.int64()), pa.array(lines, pa.string())).to_pydict()
+        return list(zip(*out.values()))
+
+    assert rows(lines) == [rows([x])[0] for x in lines]
+    fields = [brute.split_quoted(x) for x in lines]
+    assert all(r[1] == (f[0] if f and len(f) == 12 else None) for r, f in zip(rows(lines), fields))
+
+
+def test_quotes_do_not_reach_the_next_line():
+    lines = [quoted_last("60"), "\t".join(['ab""c', *GOOD[1:]])]
+    for batch in (lines, lines[1:]):
+        assert parse_batch(pa.array(range(len(batch)), pa.int64()), pa.array(batch, pa.string())).to_pydict()["read_id"][-1] == 'ab""c'
+
+
 def test_parse_lines_with_chromosomes(spark):
     rnd = random.Random(11)
     lines = ["\t".join(GOOD), "", None, "#header", "#", "\t" * 11, "x" * 300_000, '"' + "y\t" * 20_000 + '"']

@@ -4,33 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import col, running_totals, staged
+from ..common import col
 
 
-def _ranked(events: DataFrame, keys: list[str], cell_width: int) -> DataFrame:
-    """Events (keys, v, opens, closes) -> one row per value with the ranks ``opened`` and ``closed``: how many opens and closes lie at or before it."""
-    counted = staged(events.groupBy(*keys, "v").agg(F.sum("opens").alias("opens"), F.sum("closes").alias("closes")))
-    return running_totals(counted, keys, "v", {"opened": "opens", "closed": "closes"}, F.floor(F.col("v") / F.lit(cell_width)))
-
-
-def _events(df: DataFrame, keys: list[str], opens: str, closes: str) -> DataFrame:
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    ends = [F.struct(F.col(v).alias("v"), a.alias("opens"), b.alias("closes")) for v, a, b in ((opens, one, none), (closes, none, one))]
-    return df.select(*keys, F.inline(F.array(*ends)))
-
-
-def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, cell_width: int = 1 << 16) -> DataFrame:
+def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, cell_width: int = 1 << 22) -> DataFrame:
     """Covered periods and the gaps between them, for the half-open intervals of each entity.
 
-    Starts and ends are ranked independently per entity. Behind rank k lies a gap exactly where
-    the start of rank k+1 exceeds the end of rank k; the boundaries left over, paired by their
-    own ranks, are the periods. Equal values are counted before they are shuffled, ranks come
-    from :func:`weftmap.common.running_totals`, and every join is on (entity, rank), so an entity
-    with a third of all rows is spread over all tasks like any other. The ranked boundaries and the
-    gaps are written to the shared folder, so that ``df`` is read once.
+    Starts and ends are ranked independently per entity. Behind rank k lies a gap exactly where the start of rank k+1 exceeds the end of
+    rank k: there as many starts as ends lie up to the end, and as many before the next start. These boundaries, in their order, pair up: a start
+    and the end behind it are a period, an end and the start behind it a gap.
+
+    Equal values are counted before they are shuffled. Ranks are running counts inside position cells, plus the counts of the cells
+    before; boundaries pair inside their cell, and only each cell's first and last one are looked at across cells. So an entity with a third of all rows is
+    spread over all tasks like any other, and rows are shuffled twice: to be counted, and to their cells.
 
     Returns ``keys..., kind, from_pos, to_pos``; kind is ``period`` or ``gap``.
 
@@ -38,29 +27,31 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, c
     is left out; touching intervals (end = start) are one period; repeated rows count once; an
     empty table gives no rows; other columns, whatever their names, are ignored. Names of key
     columns are kept. ``cell_width`` is the span of positions ranked in one task: it bounds a
-    task to that many distinct values and a key's cell table to span / cell_width rows.
+    task to that many distinct values and a key's cells to span / cell_width.
     """
     names = [f"k{i}" for i in range(len(keys))]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     clean = df.select(
         *[col(c).alias(k) for c, k in zip(keys, names)], col(start).cast("long").alias("s"), col(end).cast("long").alias("e")
     ).where(F.col("s") < F.col("e"))
     for k in names:
         clean = clean.where(F.col(k).isNotNull())
-
-    ranked = staged(_ranked(_events(clean, names, "s", "e"), names, cell_width))
-    # Of equal starts only the first rank can follow a gap, of equal ends only the last can precede one. Where the next start
-    # exceeds this end, as many starts as ends lie up to the end, and as many starts as ends before the start: the others need no join.
-    last_ranks = ranked.where("closes > 0 AND opened = closed").select(*names, F.col("closed").alias("rank"), F.col("v").alias("from_pos"))
-    next_ranks = ranked.where("opens > 0 AND opened - opens = closed - closes").select(*names, (F.col("opened") - F.col("opens")).alias("rank"), F.col("v").alias("to_pos"))
-    gaps = last_ranks.join(next_ranks, [*names, "rank"]).where(F.col("to_pos") > F.col("from_pos"))
-    gaps = staged(gaps.select(*names, "from_pos", "to_pos"))
-
-    outer = ranked.groupBy(*names).agg(F.min(F.when(F.col("opens") > 0, F.col("v"))).alias("first"), F.max(F.when(F.col("closes") > 0, F.col("v"))).alias("last"))
-    borders = _ranked(_events(gaps, names, "to_pos", "from_pos").unionByName(_events(outer, names, "first", "last")), names, cell_width)
-    opens = borders.where("opens > 0").select(*names, F.col("opened").alias("rank"), F.col("v").alias("from_pos"))
-    closes = borders.where("closes > 0").select(*names, F.col("closed").alias("rank"), F.col("v").alias("to_pos"))
-    periods = opens.join(closes, [*names, "rank"])
-    both = periods.select(*names, F.lit("period").alias("kind"), "from_pos", "to_pos").unionByName(
-        gaps.select(*names, F.lit("gap").alias("kind"), "from_pos", "to_pos")
-    )
-    return both.select(*[F.col(k).alias(c) for c, k in zip(keys, names)], "kind", "from_pos", "to_pos")
+    ends = [F.struct(F.col(v).alias("v"), a.alias("opens"), b.alias("closes")) for v, a, b in (("s", one, none), ("e", none, one))]
+    events = clean.select(*names, F.inline(F.array(*ends))).groupBy(*names, "v").agg(F.sum("opens").alias("opens"), F.sum("closes").alias("closes"))
+    events = events.withColumn("cell", F.floor(F.col("v") / F.lit(cell_width)))
+
+    inside = Window.partitionBy(*names, "cell").orderBy("v")
+    before = Window.partitionBy(*names).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = events.groupBy(*names, "cell").agg((F.sum("opens") - F.sum("closes")).alias("open"))
+    cells = cells.select(*names, "cell", F.coalesce(F.sum("open").over(before), none).alias("open_before"))
+    ranked = events.withColumns({"opened": F.sum("opens").over(inside), "closed": F.sum("closes").over(inside)}).join(cells, [*names, "cell"])
+    open_ = F.col("open_before") + F.col("opened") - F.col("closed")  # the rank of the last start less that of the last end
+    is_end, is_start = (F.col("closes") > 0) & (open_ == 0), (F.col("opens") > 0) & (open_ - F.col("opens") + F.col("closes") == 0)
+    bounds = ranked.where(is_end | is_start).select(*names, "cell", "v", is_start.alias("is_start"))
+
+    bounds = bounds.withColumns({"prev": F.lag("v").over(inside), "next": F.lead("v").over(inside)})
+    outer = bounds.where("prev IS NULL OR next IS NULL").withColumn("across", F.lag("v").over(Window.partitionBy(*names).orderBy("v")))
+    outer = outer.where("prev IS NULL AND across IS NOT NULL").select(*names, "is_start", F.col("across").alias("prev"), "v")
+    both = bounds.where("prev IS NOT NULL").select(*names, "is_start", "prev", "v").unionByName(outer)
+    kind = F.when(F.col("is_start"), "gap").otherwise("period").alias("kind")
+    return both.select(*[F.col(k).alias(c) for c, k in zip(keys, names)], kind, F.col("prev").alias("from_pos"), F.col("v").alias("to_pos"))

@@ -29,10 +29,10 @@ def _take(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf[where])))
 
 
-def index_lines(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The structural index of the lines buf[begin:end]: ``first, last, n_fields, broken``.
+def index_lines(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The structural index of the lines buf[begin:end]: ``first, last, enclosed, n_fields, broken``.
 
-    ``first`` and ``last`` ([line, field]) bound each field's bytes, outer quotes left out; beyond the
+    ``first`` and ``last`` ([line, field]) bound each field's bytes, outer quotes left out, and ``enclosed`` tells whether it had them; beyond the
     line's fields, or beyond ``width`` fields, they are 0. Masks over the whole buffer give the tabs and
     the quotes. A quote that opens a field is one behind a tab or a line's begin. Where a line has
     none, its tabs are its delimiters. In the others the prefix parity of the quotes tells inside from
@@ -42,6 +42,7 @@ def index_lines(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int)
     """
     n = len(begin)
     first, last = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
+    enclosed = np.zeros((n, width), bool)
     count, broken = np.zeros(n, np.int64), np.zeros(n, bool)
     tabs, quotes = np.flatnonzero(buf == TAB), np.flatnonzero(buf == QUOTE)
 
@@ -96,11 +97,12 @@ def index_lines(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int)
         k = count[live]
         keep = (k < width) & ~bad
         first[live[keep], k[keep]], last[live[keep], k[keep]] = a[keep], b[keep]
+        enclosed[live[keep], k[keep]] = starts_quoted[keep]
         count[live] += 1
         broken[live[bad]] = True
         go = ~bad & (tab < stop)
         live, pos = live[go], tab[go] + 1
-    return first, last, count, broken
+    return first, last, enclosed, count, broken
 
 
 def _number(text: pa.Array, high: int) -> pa.Array:
@@ -127,16 +129,16 @@ def parse_batch(ids: pa.Array, lines: pa.Array) -> pa.RecordBatch:
     bounds = np.frombuffer(offsets, np.int64, len(lines) + 1) if len(lines) else np.zeros(1, np.int64)
     buf = np.frombuffer(data, np.uint8, bounds[-1]) if data is not None and bounds[-1] else np.zeros(0, np.uint8)
     width = len(FIELDS)
-    first, last, count, broken = index_lines(buf, bounds[:-1], bounds[1:], width)
+    first, last, enclosed, count, broken = index_lines(buf, bounds[:-1], bounds[1:], width)
 
     whole = ~broken & (count == width)
     f = {}
     for k, name in enumerate(FIELDS):
         a, b = np.where(whole, first[:, k], 0), np.where(whole, last[:, k], 0)
         f[name] = pc.if_else(pa.array(whole), _take(buf, a, b), pa.scalar(None, pa.large_string()))
-        enclosed = whole & (a > 0) & (buf[np.maximum(a - 1, 0)] == QUOTE) if len(buf) else whole
-        if enclosed.any():  # of quoted fields only, "" stands for one "
-            f[name] = pc.if_else(pa.array(enclosed), pc.replace_substring(f[name], '""', '"'), f[name])
+        quoted = whole & enclosed[:, k]
+        if quoted.any():  # of quoted fields only, "" stands for one "
+            f[name] = pc.if_else(pa.array(quoted), pc.replace_substring(f[name], '""', '"'), f[name])
 
     big = np.iinfo(np.int64).max // 10
     pos = {n: _number(f[n], big) for n in ("pos1", "pos2")}

@@ -21,7 +21,7 @@ SLOTS = 1 << 16
 
 def salted_aggregate(
     df: DataFrame, keys: Sequence[str], aggs: Mapping[str, tuple[str, Column]],
-    heavy_fraction: float = 0.001, salts: int = 64, seed: int = 17,
+    heavy_fraction: float = 0.001, salts: int = 64, seed: int = 17, total_name: str | None = None,
 ) -> DataFrame:
     """``df.groupBy(keys)`` with ``aggs``, in two stages for the keys that hold many rows.
 
@@ -31,10 +31,11 @@ def salted_aggregate(
     1. Keys are counted in 65,536 hash slots. A slot with ``heavy_fraction`` of the rows or more is
        heavy: every heavy key lies in one, and there are at most 1 / heavy_fraction of them. That
        bound, not the data, sizes what is broadcast.
-    2. Rows of heavy slots get a random salt and are aggregated per (key, salt); the partials are
-       merged per key. A hot key thus becomes ``salts`` groups, and reaches its one merging task
-       as at most ``salts`` partials.
-    3. All other rows are aggregated once, without a second shuffle.
+    2. Rows of heavy slots get a random salt, all others the salt 0, and all are aggregated per (key, salt) in one scan.
+    3. The partials of heavy slots are merged per key: a hot key becomes ``salts`` groups, and reaches its one merging task
+       as at most ``salts`` partials. The groups of the other slots are whole already.
+
+    ``total_name`` adds a column with the number of all rows, from the slots' counts.
 
     Defined cases: NULL keys form groups as in ``groupBy``; NULL values are skipped as the SQL
     aggregates do; an empty table gives no rows; repeated rows count as often as they occur;
@@ -59,17 +60,17 @@ def salted_aggregate(
     )
     slot = F.pmod(F.xxhash64(*names), F.lit(SLOTS)).cast("int")
     slots = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
-    heavy = F.broadcast(slots.where(F.col("n") >= F.lit(heavy_fraction) * total).select("slot"))
+    total = slots.agg(F.sum("n")).scalar()
+    heavy = F.broadcast(slots.where(F.col("n") >= F.lit(heavy_fraction) * total).select("slot", F.lit(True).alias("hot")))
 
-    rows = rows.withColumn("slot", slot)
+    rows = rows.withColumn("slot", slot).join(heavy, "slot", "left")
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.floor(F.rand(seed) * salts).cast("int")).otherwise(0))
     first = [PARTIALS[kind][0](F.col(v)).alias(p) for p, (kind, v) in parts.items()]
     merge = [PARTIALS[kind][1](F.col(p)).alias(p) for p, (kind, _) in parts.items()]
-    cold = rows.join(heavy, "slot", "left_anti").groupBy(*names).agg(*first)
-    hot = (
-        rows.join(heavy, "slot", "left_semi")
-        .withColumn("salt", F.floor(F.rand(seed) * salts).cast("int"))
-        .groupBy(*names, "salt").agg(*first)
-        .groupBy(*names).agg(*merge)
-    )
+    # Whether a group is hot is an aggregate, so that both branches below read the same shuffled rows.
+    partial = rows.groupBy(*names, "salt").agg(*first, F.max("hot").alias("hot"))
+    cold = partial.where(F.col("hot").isNull()).select(*names, *parts)
+    hot = partial.where("hot").groupBy(*names).agg(*merge)
+    if total_name is not None:
+        out.append(total.alias(fresh(total_name, [*keys, *aggs])))
     return cold.unionByName(hot).select(*[F.col(k).alias(c) for c, k in zip(keys, names)], *out)

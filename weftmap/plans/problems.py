@@ -1,4 +1,4 @@
-"""Queries of the general data problems (p1 to p5), with their SQL."""
+"""Queries of the general data problems (p1, p2, p3, p5), with their SQL."""
 
 from __future__ import annotations
 
@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from ..common import table
 from ..operators.impute import impute_pmm
 from ..operators.intervals import periods_and_gaps
-from ..operators.quantiles import gamma, merge, percentiles, sketch
 from ..operators.rawlines import FIELDS, MAX_MAPQ, PAIR_TYPES, parse_pairs_lines, rejects, valid_records
 from ..operators.salted import salted_aggregate
 
-ALPHA = 0.01
-PROBABILITIES = (0.01, 0.25, 0.5, 0.75, 0.99)
 HEAVY = 0.01
 
 
@@ -48,20 +45,19 @@ def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _loci(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     distance = F.when(F.col("chrom1") == F.col("chrom2"), F.col("pos2") - F.col("pos1"))
     return salted_aggregate(
         table(spark, sf_dir, "pairs"), ["chrom1", "pos1"],
         {"n_pairs": ("count", F.lit(1)), "n_cis": ("count", distance), "min_distance": ("min", distance),
          "max_distance": ("max", distance), "mean_distance": ("avg", distance)},
-        heavy_fraction=HEAVY / 4,
+        heavy_fraction=HEAVY / 4, **more,
     )
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = table(spark, sf_dir, "pairs").agg(F.count("*")).scalar()
-    heavy = _loci(spark, sf_dir).where(F.col("chrom1").isNotNull() & F.col("pos1").isNotNull())
-    return heavy.where(F.col("n_pairs") * 100 >= total).select("chrom1", "pos1")
+    heavy = _loci(spark, sf_dir, total_name="n_total").where(F.col("chrom1").isNotNull() & F.col("pos1").isNotNull())
+    return heavy.where(F.col("n_pairs") * 100 >= F.col("n_total")).select("chrom1", "pos1")
 
 
 def p3_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,30 +65,6 @@ def p3_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loci(spark, sf_dir).withColumn("mean_distance", F.round("mean_distance", 4))
 
 
-def _metrics():
-    return {"pos1": F.col("pos1"), "pos2": F.col("pos2"), "separation": F.when(F.col("chrom1") == F.col("chrom2"), F.col("pos2") - F.col("pos1"))}
-
-
-def p4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The partial sketches of single runs and days, as they would be kept to be combined later."""
-    days = table(spark, sf_dir, "pairs").withColumn("day", F.date_format("loaded_at", "yyyy-MM-dd"))
-    return sketch(days, ["run", "day", "chrom1", "strand1"], _metrics(), ALPHA)
-
-
-def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per (chrom1, strand1), merged from one partial sketch per run."""
-    partial = sketch(table(spark, sf_dir, "pairs"), ["run", "chrom1", "strand1"], _metrics(), ALPHA)
-    out = percentiles(merge(partial, ["chrom1", "strand1"]), ["chrom1", "strand1"], PROBABILITIES, ALPHA)
-    return out.withColumn("estimate", F.round("estimate", 3))
-
-
-def p4_run_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per run, merged from one partial sketch per day of loading."""
-    days = table(spark, sf_dir, "pairs").withColumn("day", F.to_date("loaded_at"))
-    out = percentiles(merge(sketch(days, ["run", "day"], _metrics(), ALPHA), ["run"]), ["run"], PROBABILITIES, ALPHA)
-    return out.withColumn("estimate", F.round("estimate", 3))
-
-
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_pairs_lines(table(spark, sf_dir, "pairs_raw"), table(spark, sf_dir, "chrom_sizes"))
 
@@ -106,7 +78,7 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_coverage, p2_found, p2_filled, p3_found, p3_loci, p4_sketches, p4_percentiles, p4_run_percentiles, p5_found, p5_loaded,
+    p1_found, p1_coverage, p2_found, p2_filled, p3_found, p3_loci, p5_found, p5_loaded,
 )}
 
 _P1 = """
@@ -134,41 +106,6 @@ FROM pairs GROUP BY chrom1, pos1
 """
 
 
-def _p4(keys: str) -> str:
-    g, lg = gamma(ALPHA), f"ln({gamma(ALPHA)!r})"
-    qs = ", ".join(f"({q})" for q in PROBABILITIES)
-    return f"""
-WITH v AS (
-  SELECT {keys}, 'pos1' AS metric, CAST(pos1 AS DOUBLE) AS v FROM pairs
-  UNION ALL SELECT {keys}, 'pos2', pos2 FROM pairs
-  UNION ALL SELECT {keys}, 'separation', CASE WHEN chrom1 = chrom2 THEN pos2 - pos1 END FROM pairs),
-b AS (SELECT {keys}, metric, sign(v) AS sg, CASE WHEN v <> 0 THEN CAST(ceil(ln(abs(v)) / {lg}) AS BIGINT) END AS ex, count(*) AS n
-      FROM v WHERE v IS NOT NULL GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER (PARTITION BY {keys}, metric ORDER BY sg, sg * ex ROWS UNBOUNDED PRECEDING) AS upto,
-             sum(n) OVER (PARTITION BY {keys}, metric) AS total FROM b),
-q AS (SELECT * FROM c, (VALUES {qs}) AS p(q))
-SELECT {keys}, metric, CAST(q AS DOUBLE) AS q, CAST(total AS BIGINT) AS n_values,
-       round(CASE WHEN sg = 0 THEN 0.0 ELSE sg * pow({g!r}, ex) * {2 / (g + 1)!r} END, 3) AS estimate,
-       CAST({ALPHA} AS DOUBLE) AS rel_error
-FROM q WHERE floor(q * (total - 1)) < upto AND floor(q * (total - 1)) >= upto - n
-"""
-
-
-def _sketches() -> str:
-    from ..operators.quantiles import _offset
-
-    keys, lg = "run, day, chrom1, strand1", f"ln({gamma(ALPHA)!r})"
-    return f"""
-WITH p AS (SELECT *, strftime(loaded_at, '%Y-%m-%d') AS day FROM pairs),
-v AS (
-  SELECT {keys}, 'pos1' AS metric, CAST(pos1 AS DOUBLE) AS v FROM p
-  UNION ALL SELECT {keys}, 'pos2', pos2 FROM p
-  UNION ALL SELECT {keys}, 'separation', CASE WHEN chrom1 = chrom2 THEN pos2 - pos1 END FROM p)
-SELECT {keys}, metric,
-       CASE WHEN v = 0 THEN 0 ELSE CAST(sign(v) AS BIGINT) * (CAST(ceil(ln(abs(v)) / {lg}) AS BIGINT) + {_offset(ALPHA)}) END AS bucket, count(*) AS n
-FROM v WHERE v IS NOT NULL GROUP BY ALL"""
-
-
 _FIELD = r'''(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'''
 _TYPES = ", ".join(f"'{t}'" for t in PAIR_TYPES)
 
@@ -207,7 +144,4 @@ SELECT a.row_id FROM contact_map a WHERE NOT {_USABLE.format('a.weight')} AND EX
     "p5_found": _P5 + "SELECT line_id, reason FROM p WHERE reason IS NOT NULL",
     "p5_loaded": _P5 + """SELECT line_id, read_id, chrom1, CAST(nullif(pos1, '.') AS BIGINT) AS pos1, chrom2, CAST(nullif(pos2, '.') AS BIGINT) AS pos2,
  strand1, strand2, pair_type, CAST(mapq1 AS INT) AS mapq1, CAST(mapq2 AS INT) AS mapq2 FROM p WHERE reason IS NULL""",
-    "p4_sketches": _sketches(),
-    "p4_percentiles": _p4("chrom1, strand1"),
-    "p4_run_percentiles": _p4("run"),
 }
