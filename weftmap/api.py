@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
+from .operators import balance as B
 from .operators import maps as M
-from .operators import regions as R
 from .sources import text as S
 
 
@@ -76,10 +77,10 @@ class ContactMap:
         self._check(lower)
         return M.merged_map(self.cells, lower.cells, main_diagonal)
 
-    def compare(self, other: ContactMap) -> DataFrame:
-        """log2(self / other) per cell."""
+    def compare(self, other: ContactMap, bw: float = 0) -> DataFrame:
+        """log2(self / other) per cell; with ``bw`` a full map, the smoothed maps' ratio on and below the diagonal."""
         self._check(other)
-        return M.log_ratio(self.cells, other.cells)
+        return M.compared(self.cells, other.cells, bw)
 
     def marginal(self, k: int = 1, flanks: bool = False) -> DataFrame:
         """Row sums with the coordinate of each bin's centre."""
@@ -90,8 +91,12 @@ class ContactMap:
         return M.distance_average(self.cells, show_self)
 
     def balance(self, rates: DataFrame | None = None, mad_max: float = 2, min_nnz: int = 100, min_pair_rate: float = 0.2, **how) -> ContactMap:
-        """Filtered and balanced with interpolation; the defaults are those of the ``region-balance`` command."""
-        return replace(self, cells=R.balance_regions(M.filter_map(self.cells, rates, mad_max, min_nnz, min_pair_rate), **how))
+        """Filtered and balanced with interpolation; the defaults are those of the ``region-balance`` command. A map that cannot be balanced gives a warning."""
+        done = staged(B.balance_regions(M.filter_map(self.cells, rates, mad_max, min_nnz, min_pair_rate), **how))
+        state = done.select("state").first()
+        if state is not None and state[0] != "balanced":
+            warnings.warn(f"the map is {state[0]}", stacklevel=2)
+        return replace(self, cells=done.drop("state"))
 
     def neighbor_normalized(self, **how) -> ContactMap:
         return replace(self, cells=M.normalize_neighbor(self.cells, **how))
@@ -99,7 +104,7 @@ class ContactMap:
     def peaks(self, sigma: float = 5, prominence: float = 0.4) -> DataFrame:
         """Dips of the contact density."""
         s = self.marginal().withColumn("s", -F.log2(F.nullif("s", F.lit(0.0))))
-        return R.call_peaks(s, sigma, prominence)
+        return B.call_peaks(s, sigma, prominence)
 
     def rotated(self) -> DataFrame:
         return M.rotated(self.cells, self.start, self.resolution)
@@ -154,3 +159,29 @@ def add_neighbor_weights(spark: SparkSession, path: str, fine: int = 200, eps: f
         old = staged(S.read_store(spark, f"{path}/bins", r).drop("weight_neighbor"))
         S.write_store(staged(M.neighbor_weights(factors, old, fine, r, eps)), f"{path}/bins", r)
     return there
+
+
+def load_maps(
+    spark: SparkSession, root: str, conditions: Sequence[str], regions: Sequence[str], pattern: str = "{root}/{condition}/{condition}_output_{region}", **how
+) -> DataFrame:
+    """Saved maps of all conditions and regions, each normalised by its neighbour factors: ``condition, region, i, j, v``."""
+    maps = None
+    for condition in conditions:
+        for region in regions:
+            cells, _ = S.read_map(spark, pattern.format(root=root, condition=condition, region=region))
+            one = cells.select(F.lit(condition).alias("condition"), F.lit(region).alias("region"), "i", "j", "v")
+            maps = one if maps is None else maps.unionByName(one)
+    named = maps.withColumn("region", F.concat_ws("\t", "condition", "region"))
+    done = M.normalize_neighbor(staged(named.drop("condition")), **how)
+    parts = F.split("region", "\t")
+    return done.select(parts[0].alias("condition"), parts[1].alias("region"), "i", "j", "v")
+
+
+def batch_reports(maps: DataFrame, reference: str, conditions: Sequence[str], separation: int = 5) -> DataFrame:
+    """``condition, region, global_factor, factors``: what brings each condition's near decay to the reference's, as :func:`load_maps` gives them."""
+    of = lambda c: maps.where(F.col("condition") == c).drop("condition")
+    out = None
+    for c in conditions:
+        one = M.factor_report(M.batch_factors(of(c), of(reference), separation)).withColumn("condition", F.lit(c))
+        out = one if out is None else out.unionByName(one)
+    return out.select("condition", "region", "global_factor", "factors")

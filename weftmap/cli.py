@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import api
 from .functions import pairs as P
+from .operators import balance as B
 from .operators import maps as M
 from .operators import pairs as O
 from .operators import tracks as T
@@ -63,6 +64,29 @@ def zoomify(spark, a):
         print(r, *([f"{done.rounds} rounds, variance {done.variance}, {'converged' if done.converged else 'not converged'}"] if done else []))
 
 
+def merge_pairs(spark, a):
+    df = _pairs(spark, a.pairs[0])
+    for path in a.pairs[1:]:
+        df = df.unionByName(_pairs(spark, path))
+    _write(df, a.output)
+
+
+def merge_maps(spark, a):
+    """The sum of stores of the same bins."""
+    bins = [S.read_store(spark, f"{p}/bins", a.resolution) for p in a.stores]
+    for b in bins[1:]:
+        M.check_same_bins(bins[0], b)
+    merged = M.merge_pixels(*(S.read_store(spark, f"{p}/pixels", a.resolution) for p in a.stores))
+    api.save_store(bins[0].drop("weight", "weight_neighbor"), merged, a.output, a.resolution)
+
+
+def batch_factors(spark, a):
+    conditions, regions = a.conditions.split(","), a.regions.split(",")
+    maps = api.load_maps(spark, a.root, conditions, regions, a.pattern)
+    for r in api.batch_reports(maps, a.reference, conditions, a.reference_separation).orderBy("condition", "region").collect():  # one row a map
+        print(f"query={r.condition} reference={a.reference} region={r.region} global_factor={r.global_factor} factors={r.factors}")
+
+
 def neighbor_weights(spark, a):
     if not 200 <= a.neighbor_res <= 400:
         print("neighbour resolutions outside 200 to 400 are not recommended")
@@ -70,14 +94,12 @@ def neighbor_weights(spark, a):
 
 
 def region_balance(spark, a):
-    from .operators.regions import growing_width
-
     m = api.ContactMap.from_store(spark, a.store, a.resolution, a.region, balance=False)
     rates = None
     if a.capture_probes_path:
         regions = spark.createDataFrame([(m.chrom, m.chrom, m.start, m.end)], "region string, chrom string, start long, end long")
         rates = M.capture_rates(S.read_bed(spark, a.capture_probes_path), regions, a.resolution)
-    how = {"max_iter": a.max_iter, "tol": a.tol, "flanks": a.correct_for_flanks, "width": growing_width(a.sigma_scale, a.sigma_exponent, a.sigma_plateau)}
+    how = {"max_iter": a.max_iter, "tol": a.tol, "flanks": a.correct_for_flanks, "sigma": B.growing_width(a.sigma_scale, a.sigma_exponent, a.sigma_plateau)}
     m.balance(rates, a.mad_max, a.min_nnz, a.min_pair_capture_rate, **how).save(a.output, a.dtype == "float32")
 
 
@@ -120,6 +142,10 @@ COMMANDS = {
     "remove-inward": (remove_inward, ["full", "inward", "output"], {"k": 2, "resolution": 200}),
     "zoomify": (zoomify, ["store"], {
         "resolution": 200, "resolutions": "", "balance": True, "ignore-diags": 0, "mad-max": 5.0, "min-nnz": 10, "min-count": 0, "tol": 1e-5, "max-iter": 200}),
+    "merge-pairs": (merge_pairs, ["output", "pairs+"], {}),
+    "merge-maps": (merge_maps, ["output", "stores+"], {"resolution": 200}),
+    "batch-factors": (batch_factors, ["root", "conditions", "regions", "reference"], {
+        "reference-separation": 5, "pattern": "{root}/{condition}/{condition}_output_{region}"}),
     "neighbor-weights": (neighbor_weights, ["store"], {"neighbor-res": 200}),
     "region-balance": (region_balance, ["output", "store", "region"], {
         "resolution": 200, "capture-probes-path": "", "dtype": "float32", "mad-max": 2.0, "min-nnz": 100, "min-pair-capture-rate": 0.2, "max-iter": 50,

@@ -382,21 +382,54 @@ def normalize_neighbor(
     return normalize_average(m, max_prob, neighbor_prob)
 
 
-def interpolate_diagonals(m: DataFrame, sigma: float = 0.0) -> DataFrame:
-    """Every diagonal's masked cells filled along it; a wholly masked diagonal gets the interpolated mean decay.
+def interpolate_diagonals(m: DataFrame, sigma: float | Callable[[Column], Column] = 0.0) -> DataFrame:
+    """Every diagonal's masked cells filled along it, constant beyond its ends; a wholly masked diagonal gets the interpolated mean decay.
 
-    Diagonals are the partitions. ``sigma`` above 0 interpolates smoothed values (one width for all diagonals; widths that
-    change with the distance are in :mod:`.regions`).
+    A diagonal is a row, its cells an array in order: one shuffle of the map. ``sigma`` above 0, or a function of the separation, interpolates between smoothed
+    values (Gaussian, of the known cells among themselves, mirrored at the ends); they are computed only beside the gaps, where they are used.
     """
-    rows = m.withColumn("d", F.col("j") - F.col("i"))
-    decay = fill_gaps(distance_average(m, show_self=True), ["region"], "d", "v").withColumnRenamed("v", "__decay")
-    anchor = None
-    if sigma > 0:
-        smooth = gaussian(rows.select("region", "d", "i", "v"), ["region", "d"], "i", "v", sigma, "mask")
-        rows = rows.join(smooth.withColumnRenamed("v", "__smooth"), ["region", "d", "i"])
-        anchor = "__smooth"
-    rows = fill_gaps(rows, ["region", "d"], "i", "v", anchor)
-    return rows.join(decay, ["region", "d"]).select("region", "i", "j", F.coalesce("v", "__decay").alias("v"))
+    d = (F.col("j") - F.col("i")).alias("d")
+    lines = m.groupBy("region", d).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("__c"), F.avg("v").alias("__decay"))
+    decay = fill_gaps(lines.select("region", "d", "__decay"), ["region"], "d", "__decay")
+    lines = lines.select("region", "d", F.transform("__c", lambda c: c["v"]).alias("x"))  # an array of its own, not one made anew at every use
+    n, width = F.size("x"), sigma(F.col("d")).cast("double") if callable(sigma) else F.lit(float(sigma))
+    radius = F.floor(4 * width + 0.5).cast("int")
+
+    def gap(k: Column) -> Column:
+        return (k >= 0) & (k < n) & F.get("x", k).isNull()
+
+    def smoothed(i: Column) -> Column:
+        def tap(acc: Column, k: Column) -> Column:
+            p = F.pmod(i + k, 2 * n)
+            v = F.get("x", F.when(p < n, p).otherwise(2 * n - 1 - p))
+            w = F.when(v.isNotNull(), F.when(k == 0, F.lit(1.0)).otherwise(F.exp(-0.5 * F.pow(k / width, 2)))).otherwise(F.lit(0.0))
+            return F.struct((acc["s"] + w * F.coalesce(v, F.lit(0.0))).alias("s"), (acc["w"] + w).alias("w"))
+
+        return F.aggregate(F.sequence(-radius, radius), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), tap, lambda acc: acc["s"] / acc["w"])
+
+    if callable(sigma) or sigma > 0:
+        def anchor(i):
+            return smoothed(i)
+    else:
+        def anchor(i):
+            return F.get("x", i)
+    beside = F.filter(F.sequence(F.lit(0), n - 1), lambda k: ~gap(k) & (gap(k - 1) | gap(k + 1)))
+    lines = lines.withColumn("a", F.transform(beside, lambda k: F.struct(k.alias("p"), anchor(k).alias("v"))))
+
+    def between(k: Column) -> Column:
+        left, right = F.try_element_at(F.filter("a", lambda q: q["p"] < k), F.lit(-1)), F.get(F.filter("a", lambda q: q["p"] > k), F.lit(0))
+
+        def line(t: Column) -> Column:
+            low, high = t["l"], t["r"]
+            slope = (high["v"] - low["v"]) / (high["p"] - low["p"])
+            return F.when(low.isNull(), high["v"]).when(high.isNull(), low["v"]).otherwise(low["v"] + slope * (k - low["p"]))
+
+        return F.get(F.transform(F.array(F.struct(left.alias("l"), right.alias("r"))), line), F.lit(0))
+
+    filled = F.transform("x", lambda v, k: F.when(v.isNotNull(), v).otherwise(between(k)))
+    cells = lines.select("region", "d", filled.alias("x")).join(decay, ["region", "d"]).select("region", "d", "__decay", F.posexplode_outer("x").alias("i", "v"))  # the inner one would repeat the array in a filter
+    i = F.col("i").cast("long")
+    return cells.select("region", i.alias("i"), (i + F.col("d")).alias("j"), F.coalesce("v", "__decay").alias("v"))
 
 
 # ---------------------------------------------------------------- balancing and comparing
@@ -554,11 +587,11 @@ def apply_batch_factors(m: DataFrame, factors: DataFrame) -> DataFrame:
     return rows.select("region", "i", "j", (F.col("v") * F.col("__g") * F.coalesce("__f", F.lit(1.0))).alias("v"))
 
 
-def merged_map(upper: DataFrame, lower: DataFrame, main_diagonal: bool = True) -> DataFrame:
-    """A full (not triangular) map: ``upper``'s cells above the diagonal, ``lower``'s below it."""
-    top = upper.where("i < j") if not main_diagonal else upper
+def merged_map(upper: DataFrame, lower: DataFrame, main_diagonal: bool = True, lower_diagonal: bool = False) -> DataFrame:
+    """A full (not triangular) map: ``upper``'s cells above the diagonal, ``lower``'s below it; the diagonal is upper's, zeros, or lower's."""
+    top = upper if main_diagonal else upper.where("i < j")
     diag = upper.where("i = j").withColumn("v", F.lit(0.0)) if not main_diagonal else upper.limit(0)
-    below = lower.where("i < j").select("region", F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    below = lower.where("i <= j" if lower_diagonal else "i < j").select("region", F.col("j").alias("i"), F.col("i").alias("j"), "v")
     return top.unionByName(diag).unionByName(below)
 
 
@@ -570,6 +603,19 @@ def log_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.select("region", "i", "j", F.when(x.isNotNull() & y.isNotNull(), ratio).alias("v"))
 
 
+def smoothed_map(m: DataFrame, sigma: float) -> DataFrame:
+    """Two-dimensional Gaussian smoothing of one width, first along rows, then along columns; a masked cell masks all it reaches."""
+    across = gaussian(mirrored(m), ["region", "i"], "j", "v", sigma, "spread")
+    return gaussian(across, ["region", "j"], "i", "v", sigma, "spread").where("i <= j").select("region", "i", "j", "v")
+
+
+def compared(a: DataFrame, b: DataFrame, bw: float = 0) -> DataFrame:
+    """:func:`log_ratio`; with ``bw`` a full map, in which the cells on and below the diagonal are those of the smoothed maps."""
+    if bw <= 0:
+        return log_ratio(a, b)
+    return merged_map(log_ratio(a, b).where("i < j"), log_ratio(*(smoothed_map(x, bw) for x in (a, b))), True, True)
+
+
 def select_region(m: DataFrame, first: int, last: int) -> DataFrame:
     """The square of bins [first, last) with bins renumbered from 0."""
     inside = m.where((F.col("i") >= first) & (F.col("j") < last))

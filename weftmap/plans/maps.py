@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import staged, table
+from ..operators import balance as B
 from ..operators import maps as M
-from ..operators import regions as R
 from ..operators.pairs import valid_pairs
 from .pairs import valid_sql
 
@@ -238,20 +238,31 @@ def map_rotated(spark, d):
 
 
 def region_balance(spark, d):
-    """Regions filtered, balanced, interpolated and balanced again, each region inside a task. A region without enough cells is left out."""
-    m = _filtered(spark, d)
-    good = m.groupBy("region").agg(F.count("v").alias("n"), F.sum("v").alias("s")).where("n > 20 AND s > 0").select("region")
-    bad = M.invalid_rows(m).select("region").distinct()
-    return R.balance_regions(m.join(good, "region", "left_semi").join(bad, "region", "left_anti"), max_iter=20, tol=1e-5)
+    """Every chromosome filtered, balanced, interpolated and balanced again; all come out, marked where they cannot be balanced."""
+    return B.balance_regions(_filtered(spark, d), max_iter=20, tol=1e-5)
+
+
+def region_balance_fixed(spark, d):
+    """The same with one round a stage, whatever the variance."""
+    return _rounded(B.balance_regions(_filtered(spark, d), max_iter=1, tol=0.0), "v")
 
 
 def smooth_diagonals(spark, d):
-    return R.smooth_regions(_filtered(spark, d))
+    return _rounded(B.smooth_by_distance(_filtered(spark, d)), "v")
+
+
+def interpolate_smoothed(spark, d):
+    """Diagonals interpolated between values smoothed with the width of their separation."""
+    return _rounded(M.interpolate_diagonals(_filtered(spark, d), B.growing_width()), "v")
 
 
 def density_peaks(spark, d):
     s = M.marginal(_map(spark, d)).withColumn("s", -F.log2(F.col("s") + 1))
-    return R.call_peaks(s, 2, 0.4)
+    return _rounded(B.call_peaks(s, 2, 0.4), "prominence")
+
+
+def map_compare_smoothed(spark, d):
+    return _rounded(M.compared(*_two_maps(spark, d), bw=1), "v")
 
 
 _AVERAGES = ("arithmetic", "harmonic", "geometric", "mse")
@@ -260,7 +271,7 @@ QUERIES = {f.__name__: f for f in (
     marginal_flanks, distance_average, strict_distance_average, mad_filter, nnz_filter, map_filter, capture_rates, capture_filter, map_validity,
     *map(_factors, _AVERAGES), neighbor_weights, neighbor_normalize, neighbor_normalize_plain, gap_fill, gaussian_1d, sliding_mean,
     interpolate_diagonals, ice_3iter, balance_pixels, coarsen_sum, coarsen_multiscale, batch_factors, batch_apply, map_log_ratio, map_merge, map_select, map_rotated,
-    region_balance, smooth_diagonals, density_peaks,
+    region_balance, region_balance_fixed, smooth_diagonals, interpolate_smoothed, density_peaks, map_compare_smoothed,
 )}
 
 
