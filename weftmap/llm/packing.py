@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..common import col, fresh, staged
 from .tokens import Vocabulary, count_tokens
 
-#: Parts into which the documents of one length are dealt to be ranked.
-RANK_PARTS = 256
+#: Documents are dealt to parts, to be ranked within their length: at least so many, and one for every million documents.
+LEAST_PARTS = 256
+PART_ROWS = 1_000_000
 
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
@@ -86,9 +87,10 @@ def pack_documents(
         raise ValueError("capacity must be at least 1")
     spark = df.sparkSession
     tokens = count_tokens(col(text), vocabulary) if size is None else F.greatest(F.coalesce(col(size).cast("long"), F.lit(0)), F.lit(0))
-    # Staged: texts are tokenized once, and the random parts stay what they are.
-    part = F.floor(F.rand(11) * RANK_PARTS).cast("int")
-    docs = staged(df.select(col(doc_id).alias("id"), tokens.alias("n"), part.alias("part")))
+    # Staged: texts are tokenized once, and the rows keep their numbers, which deal them to parts.
+    docs = staged(df.select(col(doc_id).alias("id"), tokens.alias("n"), F.monotonically_increasing_id().alias("row")))
+    n_parts = max(LEAST_PARTS, -(-docs.count() // PART_ROWS))
+    docs = docs.select("id", "n", F.pmod(F.xxhash64("row"), F.lit(n_parts)).alias("part"))
 
     c = F.lit(capacity).cast("long")
     rest = docs.withColumn("len", F.when(F.col("n") <= c, F.col("n")).otherwise(F.col("n") % c))
@@ -98,7 +100,8 @@ def pack_documents(
     before = Window.partitionBy("len").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("len", "part", F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("before"))
     ranked = rest.where("len > 0").withColumn("inside", F.row_number().over(Window.partitionBy("len", "part").orderBy("id")) - 1)
-    ranked = ranked.join(parts, ["len", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
+    # Both sides lie by (length, part) already, so they are merged, and the counts, which grow with the parts, are sent to no one.
+    ranked = ranked.join(parts.hint("merge"), ["len", "part"]).withColumn("rank", F.col("before") + F.col("inside"))
 
     slots, first = defaultdict(list), 0
     upto: dict[int, int] = defaultdict(int)
@@ -134,9 +137,9 @@ def pack_documents(
     totals = split.groupBy("part").agg(F.sum("fulls").alias("fulls_part"))
     offsets = totals.select(
         "part", F.coalesce(F.sum("fulls_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
-    )  # at most RANK_PARTS rows
+    )  # a row a part
     inside = F.sum("fulls").over(Window.partitionBy("part").orderBy("id", "n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("fulls")
-    split = split.withColumn("inside", inside).join(F.broadcast(offsets), "part")
+    split = split.withColumn("inside", inside).join(offsets, "part")
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("fulls") - 1)).alias("k")
     split = split.select("id", F.col("before") + F.col("inside") + F.lit(first), k)
     full = split.toDF("id", "base", "k").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..common import table
@@ -14,6 +14,7 @@ from .quantiles import _offset, gamma, merge, percentiles, sketch
 ALPHA = 0.01
 PROBABILITIES = (0.01, 0.25, 0.5, 0.75, 0.99)
 CAPACITY = 2048
+CHARS = 12_000  # capacity of containers that are filled by characters
 LIMIT, OVERLAP = 512, 64
 
 
@@ -60,6 +61,23 @@ def p6_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), CAPACITY)
 
 
+def p6_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and characters of every document, packed by its number of characters."""
+    placed = pack_documents(table(spark, sf_dir, "documents"), CHARS, size="n_chars")
+    return placed.groupBy("doc_id").agg(
+        F.count("container_id").alias("n_pieces"), F.sum("n_tokens").alias("n_chars"), F.max("n_tokens").alias("largest"), F.max("token_to").alias("upto"),
+    )
+
+
+def p6_chars_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the same containers: how many hold more than they can, whether ids have gaps, and what they hold together."""
+    held = containers(pack_documents(table(spark, sf_dir, "documents"), CHARS, size="n_chars"), CHARS)
+    return held.agg(
+        F.count_if(F.col("used") > CHARS).alias("too_full"), (F.max("container_id") + 1 - F.count("*")).alias("missing_ids"), F.sum("used").alias("n_chars"),
+        F.sum("n_pieces").alias("n_pieces"), F.count_if(F.col("used") + F.col("free") != CHARS).alias("miscounted"),
+    )
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and items that share 12 consecutive words: those whose best passage has no edit."""
     return p7_leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
@@ -81,7 +99,26 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), LIMIT, OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p4_sketches, p4_day_percentiles, p4_percentiles, p4_run_percentiles, p6_containers, p6_placement, p7_found, p7_leaks, p7_items, p8_pieces)}
+def p8_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: characters covered by its pieces, places between pieces that none covers, pieces over the limit or not cut from their place, and wrong numbers."""
+    text = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"))
+    pieces = p8_pieces(spark, sf_dir).join(text, "doc_id")
+    same = F.expr("substring(whole, int(start_char) + 1, int(end_char - start_char))") == F.col("piece")
+    pieces = pieces.select("doc_id", "piece_no", "n_pieces", "start_char", "end_char", "n_tokens", same.alias("same"))
+    order = Window.partitionBy("doc_id").orderBy("piece_no")
+    apart = F.coalesce(F.col("start_char") > F.lag("end_char").over(order), F.col("start_char") != 0)
+    stands = F.coalesce(F.col("start_char") <= F.lag("start_char").over(order), F.lit(False))
+    wrong = (F.col("piece_no") != F.row_number().over(order) - 1) | (F.col("n_pieces") != F.count("*").over(Window.partitionBy("doc_id")))
+    rows = pieces.withColumns({"apart": apart, "stands": stands, "wrong": wrong})
+    return rows.groupBy("doc_id").agg(
+        F.max("end_char").alias("covered"), F.count_if("apart").alias("gaps"), F.count_if(F.col("n_tokens") > LIMIT).alias("over_limit"), F.count_if(~F.col("same")).alias("not_the_text"),
+        F.count_if(F.col("wrong") | F.col("stands")).alias("out_of_order"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (p4_sketches, p4_day_percentiles, p4_percentiles, p4_run_percentiles, p6_containers, p6_placement, p6_chars, p6_chars_total, p7_found, p7_leaks, p7_items, p8_pieces, p8_cover)}
+
+
 def _values(keys: str, source: str) -> str:
     return f"""SELECT {keys}, 'pos1' AS metric, CAST(pos1 AS DOUBLE) AS v FROM {source}
   UNION ALL SELECT {keys}, 'pos2', pos2 FROM {source}
@@ -122,6 +159,15 @@ ORACLE = {
     "p4_day_percentiles": _p4("run, day, chrom1, strand1"),
     "p4_percentiles": _p4("chrom1, strand1"),
     "p4_run_percentiles": _p4("run"),
+    "p6_chars": f"""
+SELECT doc_id, CAST(ceil(coalesce(n_chars, 0) / {CHARS}.0) AS BIGINT) AS n_pieces, coalesce(n_chars, 0) AS n_chars, least(coalesce(n_chars, 0), {CHARS}) AS largest, coalesce(n_chars, 0) AS upto
+FROM documents""",
+    "p6_chars_total": f"""
+SELECT CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS missing_ids, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(sum(ceil(n_chars / {CHARS}.0)) AS BIGINT) AS n_pieces,
+ CAST(0 AS BIGINT) AS miscounted FROM documents""",
+    "p8_cover": """
+SELECT doc_id, length(text) AS covered, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS over_limit, CAST(0 AS BIGINT) AS not_the_text, CAST(0 AS BIGINT) AS out_of_order
+FROM documents WHERE length(text) > 0""",
     "p7_items": r"""
 WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items),
 r AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM w WHERE len(w) >= 12))
