@@ -156,7 +156,7 @@ def test_pmm_donors_are_nearest(spark):
                 w = level * (1 + u / 5) * math.exp(rnd.gauss(0, 0.05))
                 rows.append((len(rows), g, m, f"u{u}", rnd.choice(bad) if rnd.random() < 0.25 or m == 7 else w))
     rows += [(1000, "empty", 1, "u0", None), (1001, None, None, None, None), (1002, None, None, None, 2.0), (1003, "one", 5, "u", 3.0), (1004, "one", 5, "v", None)]
-    for kw in ({"cells": 1}, {"cells": 4}, {"cells": 1, "cell_rows": 11}, {"cells": 64}):
+    for kw in ({"cells": 1}, {"cells": 4, "cell_rows": 11}, {"cells": 1, "cell_rows": 11}, {"cells": 64, "cell_rows": 1}, {}):
         got = impute(spark, rows, **kw)
         by_id = {r[0]: r for r in rows}
         assert len(got) == len(rows)

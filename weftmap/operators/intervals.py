@@ -38,13 +38,15 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, c
         clean = clean.where(F.col(k).isNotNull())
     ends = [F.struct(F.col(v).alias("v"), a.alias("opens"), b.alias("closes")) for v, a, b in (("s", one, none), ("e", none, one))]
     events = clean.select(*names, F.inline(F.array(*ends))).groupBy(*names, "v").agg(F.sum("opens").alias("opens"), F.sum("closes").alias("closes"))
-    events = events.withColumn("cell", F.floor(F.col("v") / F.lit(cell_width)))
+    # Never NULL, but said here, or the join below would say it of one side only, and the sides would not share their shuffles.
+    events = events.withColumn("cell", F.floor(F.col("v") / F.lit(cell_width))).where("cell IS NOT NULL")
 
+    # One shuffle of the counted values to their cells serves all that follows.
     inside = Window.partitionBy(*names, "cell").orderBy("v")
     before = Window.partitionBy(*names).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = events.groupBy(*names, "cell").agg((F.sum("opens") - F.sum("closes")).alias("open"))
-    cells = cells.select(*names, "cell", F.coalesce(F.sum("open").over(before), none).alias("open_before"))
-    ranked = events.withColumns({"opened": F.sum("opens").over(inside), "closed": F.sum("closes").over(inside)}).join(cells, [*names, "cell"])
+    ranked = events.withColumns({"opened": F.sum("opens").over(inside), "closed": F.sum("closes").over(inside), "last": F.lead("v").over(inside).isNull()})
+    cells = ranked.where("last").select(*names, "cell", F.coalesce(F.sum(F.col("opened") - F.col("closed")).over(before), none).alias("open_before"))
+    ranked = ranked.join(cells, [*names, "cell"])
     open_ = F.col("open_before") + F.col("opened") - F.col("closed")  # the rank of the last start less that of the last end
     is_end, is_start = (F.col("closes") > 0) & (open_ == 0), (F.col("opens") > 0) & (open_ - F.col("opens") + F.col("closes") == 0)
     bounds = ranked.where(is_end | is_start).select(*names, "cell", "v", is_start.alias("is_start"))

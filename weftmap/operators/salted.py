@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import col, fresh
+from ..common import col, fresh, staged
 
 #: What a result column may be computed with: partial aggregate of a value, and how partials merge.
 PARTIALS = {
@@ -59,7 +59,7 @@ def salted_aggregate(
         *[col(c).alias(k) for c, k in zip(keys, names)], *[v.alias(k) for k, v in values.items()]
     )
     slot = F.pmod(F.xxhash64(*names), F.lit(SLOTS)).cast("int")
-    slots = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    slots = staged(rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")))  # at most 65,536 rows, read twice
     total = slots.agg(F.sum("n")).scalar()
     heavy = F.broadcast(slots.where(F.col("n") >= F.lit(heavy_fraction) * total).select("slot", F.lit(True).alias("hot")))
 

@@ -41,8 +41,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(spark, sf_dir).select(
-        "row_id", "condition", "replicate", "resolution", "chrom", "start", "weight", "filled_value", "is_filled", "fill_scope", "donor_id", "prediction"
-    )
+        "row_id", "condition", "replicate", "resolution", "chrom", "start", "weight", "filled_value", "is_filled", "fill_scope", "donor_id",
+        F.round("prediction", 6).alias("prediction"),
+    )
 
 
 def _loci(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
@@ -96,6 +97,31 @@ WITH iv AS (SELECT DISTINCT track, chrom, start AS s, "end" AS e FROM bed
 
 _USABLE = "coalesce({0} > 0 AND NOT isnan({0}) AND NOT isinf({0}), FALSE)"
 
+_G, _M, _SAME = "condition, resolution", "chrom, start", "{0}.condition IS NOT DISTINCT FROM {1}.condition AND {0}.resolution IS NOT DISTINCT FROM {1}.resolution"
+_LINE = """CASE WHEN {0}n >= 8 AND {0}n * {0}sxx - {0}sx * {0}sx > 1e-9 * {0}n * {0}sxx THEN ({0}n * {0}sxy - {0}sx * {0}sy) / ({0}n * {0}sxx - {0}sx * {0}sx) END AS {0}slope"""
+_P2 = f"""
+WITH b AS (SELECT *, {_USABLE.format('weight')} AS has, CASE WHEN {_USABLE.format('weight')} THEN ln(weight) END AS y FROM contact_map),
+sim AS (SELECT {_G}, {_M}, count(*) AS k, sum(y) AS t FROM b WHERE has GROUP BY ALL),
+r AS (SELECT b.*, coalesce(k, 0) - CAST(has AS INT) AS others, t FROM b LEFT JOIN sim ON sim.condition = b.condition AND sim.resolution = b.resolution
+ AND sim.chrom = b.chrom AND sim.start = b.start),
+x AS (SELECT *, others > 0 AS matched, CASE WHEN others > 0 THEN (t - coalesce(y, 0)) / others END AS x FROM r),
+pu AS (SELECT {_G}, replicate, count(*) FILTER (has AND matched) AS n, sum(x) FILTER (has AND matched) AS sx, sum(y) FILTER (has AND matched) AS sy,
+ sum(x * x) FILTER (has AND matched) AS sxx, sum(x * y) FILTER (has AND matched) AS sxy, count(y) AS ny, sum(y) AS ty FROM x GROUP BY ALL),
+pg AS (SELECT {_G}, sum(n) AS gn, sum(sx) AS gsx, sum(sy) AS gsy, sum(sxx) AS gsxx, sum(sxy) AS gsxy, sum(ny) AS gny, sum(ty) AS gty FROM pu GROUP BY ALL),
+lu AS (SELECT pu.*, {_LINE.format('')}, gn, gsx, gsy, gny, gty, {_LINE.format('g')} FROM pu JOIN pg ON {_SAME.format('pu', 'pg')}),
+fit AS (SELECT {_G}, replicate, coalesce(slope, gslope, 1) AS slope, coalesce((sy - slope * sx) / n, (gsy - gslope * gsx) / gn, 0) AS icept,
+ coalesce(CASE WHEN ny > 0 THEN ty / ny END, CASE WHEN gny > 0 THEN gty / gny END) AS level FROM lu),
+s AS (SELECT x.*, round(CASE WHEN matched THEN icept + slope * x ELSE level END, 9) AS pred FROM x JOIN fit ON {_SAME.format('x', 'fit')} AND fit.replicate IS NOT DISTINCT FROM x.replicate),
+dn AS (SELECT coalesce(condition, '-') AS c, coalesce(resolution, -1) AS r, pred, min(row_id) AS id, arg_min(weight, row_id) AS w FROM s WHERE has AND pred IS NOT NULL GROUP BY ALL),
+ask AS (SELECT DISTINCT coalesce(condition, '-') AS c, coalesce(resolution, -1) AS r, pred FROM s WHERE NOT has AND pred IS NOT NULL),
+lo AS (SELECT ask.*, dn.pred AS lp, dn.id AS li, dn.w AS lw FROM ask ASOF LEFT JOIN dn ON ask.c = dn.c AND ask.r = dn.r AND ask.pred >= dn.pred),
+hi AS (SELECT lo.*, dn.pred AS hp, dn.id AS hi, dn.w AS hw FROM lo ASOF LEFT JOIN dn ON lo.c = dn.c AND lo.r = dn.r AND lo.pred <= dn.pred),
+ch AS (SELECT c, r, pred, CASE WHEN up THEN hi ELSE li END AS donor_id, CASE WHEN up THEN hw ELSE lw END AS w
+ FROM (SELECT *, lp IS NULL OR coalesce(hp - pred < pred - lp, FALSE) AS up FROM hi))
+SELECT s.row_id, s.condition, s.replicate, s.resolution, s.chrom, s.start, s.weight, CASE WHEN has THEN weight ELSE w END AS filled_value, donor_id IS NOT NULL AS is_filled,
+ CASE WHEN donor_id IS NOT NULL THEN CASE WHEN matched THEN 'match' ELSE 'group' END END AS fill_scope, donor_id, CASE WHEN donor_id IS NOT NULL THEN round(exp(s.pred), 6) END AS prediction
+FROM s LEFT JOIN ch ON NOT has AND ch.c = coalesce(s.condition, '-') AND ch.r = coalesce(s.resolution, -1) AND ch.pred = s.pred"""
+
 _P3 = """
 SELECT chrom1, pos1, count(*) AS n_pairs,
        count(CASE WHEN chrom1 = chrom2 THEN pos2 - pos1 END) AS n_cis,
@@ -138,6 +164,7 @@ FROM found GROUP BY track, chrom""",
 SELECT a.row_id FROM contact_map a WHERE NOT {_USABLE.format('a.weight')} AND EXISTS (
   SELECT 1 FROM contact_map b WHERE b.condition = a.condition AND b.resolution = a.resolution AND b.chrom = a.chrom
     AND b.start = a.start AND b.row_id <> a.row_id AND {_USABLE.format('b.weight')})""",
+    "p2_filled": _P2,
     "p3_found": "SELECT chrom1, pos1 FROM pairs WHERE chrom1 IS NOT NULL AND pos1 IS NOT NULL GROUP BY chrom1, pos1 "
     "HAVING count(*) * 100 >= (SELECT count(*) FROM pairs)",
     "p3_loci": _P3,
