@@ -1,19 +1,30 @@
 import math
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftmap.operators import balance as B
 from weftmap.operators import maps as M
-from weftmap.operators import regions as R
 
 N = None
+
+
+def decaying(*masked, n=5):
+    """A small map that decays from its diagonal, some of its cells masked on both sides of it."""
+    near = [1.0, 14.0, 9.0, 6.0, 3.0, 2.0]
+    hidden = {frozenset(c) for c in masked}
+    return [[N if frozenset((i, j)) in hidden else near[abs(i - j)] + (i * j) % 4 for j in range(n)] for i in range(n)]
+
+
 MAPS = {
-    "default": [[0, 10, 5, 3], [10, 0, 10, 5], [5, 10, 0, 10], [3, 5, 10, 0]],
-    "single_nan": [[0, 10, N, 3], [10, 0, 10, 5], [N, 10, 0, 10], [3, 5, 10, 0]],
-    "nan_row": [[0, 10, N, 3], [10, 0, N, 5], [N, N, N, N], [3, 5, N, 0]],
-    "nan_diag": [[0, 10, N, 3], [10, 0, 10, N], [N, 10, 0, 10], [3, N, 10, 0]],
-    "nan_tip": [[0, 10, 5, N], [10, 0, 10, 5], [5, 10, 0, 10], [N, 5, 10, 0]],
+    "whole": decaying(),
+    "hole": decaying((1, 3)),
+    "row": decaying(*((3, j) for j in range(5))),
+    "diagonal": decaying(*((i, i + 2) for i in range(3))),
+    "corner": decaying((0, 4)),
+    "six": decaying((0, 1), (2, 4), (2, 5), n=6),
 }
 
 
@@ -47,16 +58,19 @@ def line(spark, *xs):
 
 
 def test_marginals(spark):
-    m = frame(spark, **{k: MAPS[k] for k in ("default", "single_nan", "nan_row")})
-    assert vector(M.marginal(m, 1), "s") == {"default": [18, 25, 25, 18], "single_nan": [13, 25, 20, 18], "nan_row": [13, 15, 0, 8]}
-    assert vector(M.marginal(m, 2), "s") == {"default": [8, 5, 5, 8], "single_nan": [3, 5, 0, 8], "nan_row": [3, 5, 0, 8]}
+    m = frame(spark, **MAPS)
+    for k in (1, 2):
+        got = vector(M.marginal(m, k), "s")
+        for name, rows in MAPS.items():
+            assert got[name] == pytest.approx(brute.row_sums(rows, k=k))
+    assert vector(M.marginal(frame(spark, a=[[9, 1, 2], [1, 9, N], [2, N, 9]]), 1), "s") == {"a": [3, 1, 2]}
 
 
 def test_flanks_agree_and_are_documented(spark):
     m = frame(spark, **MAPS)
     got = vector(M.marginal(m, 1, flanks=True), "s")
     for name, rows in MAPS.items():
-        assert got[name] == pytest.approx(R.row_sums(array(rows), True).tolist())
+        assert got[name] == pytest.approx(brute.row_sums(rows, True))
     unit = frame(spark, u=[[1.0] * 5 for _ in range(5)])
     extra = [x - 4 for x in vector(M.marginal(unit, 1, True), "s")["u"]]
     assert extra == [4 + 0, 3 + 0, 2 + 1, 1 + 2, 0 + 3]
@@ -69,16 +83,14 @@ def test_gap_fill(spark):
         if sigma:
             df = df.join(M.gaussian(df, ["region"], "i", "v", sigma).withColumnRenamed("v", "anchor"), ["region", "i"])
         out = vector(M.fill_gaps(df, ["region"], "i", "v", "anchor" if sigma else None), "v")["a"]
-        assert out == pytest.approx(R.fill(np.array([np.nan if x is None else x for x in xs], float), sigma).tolist())
+        assert out == pytest.approx(brute.filled(list(xs), sigma))
         return out
 
-    assert filled(0, 1, N, 3, 4)[2] == 2
-    assert filled(2, 1, N, N, N, N, 3, 4)[2:6] == pytest.approx(np.linspace(1, 3, 6)[1:5])
-    assert filled(2, 1, N, N, N, N, 3, 4, sigma=2)[2:6] == pytest.approx(np.linspace(1.5, 3.5, 6)[1:5], abs=0.1)
-    assert filled(N, 2, N, 4, N) == [2, 2, 3, 4, 4]
+    assert filled(5, N, N, 11) == [5, 7, 9, 11]
+    filled(7, 4, N, N, N, 1, 1, N, 6)
+    filled(7, 4, N, N, N, 1, 1, N, 6, sigma=1.5)
+    assert filled(N, N, 2, N, 8, N) == [2, 2, 2, 5, 8, 8]
     assert vector(M.fill_gaps(line(spark, N, N), ["region"], "i", "v"), "v")["a"] == [None, None]
-    with pytest.raises(ValueError):
-        R.fill(np.array([np.nan, np.nan]))
 
 
 def test_gaussian_mirrors_short_vectors(spark):
@@ -92,7 +104,7 @@ def test_gaussian_mirrors_short_vectors(spark):
             return xs[p if p < n else 2 * n - 1 - p]
 
         want = [sum(w[k + r] * at(i + k) for k in range(-r, r + 1)) for i in range(n)]
-        assert R.smooth(np.array(xs), 1.5).tolist() == pytest.approx(want)
+        assert brute.smoothed(xs, 1.5) == pytest.approx(want)
         assert vector(M.gaussian(line(spark, *xs), ["region"], "i", "v", 1.5), "v")["a"] == pytest.approx(want)
     assert vector(M.gaussian(line(spark, 1, N, 3, *[1] * 12), ["region"], "i", "v", 1.0, "spread"), "v")["a"][:6] == [None] * 6
     masked = vector(M.gaussian(line(spark, 5, N, 5, 5), ["region"], "i", "v", 1.0), "v")["a"]
@@ -197,22 +209,52 @@ def test_capture_rates(spark):
     assert vector(M.capture_rates(probes, regions, 100, documented=True), "rate")["r"] == pytest.approx([1.6, 1, 1.6])
 
 
-def test_ice_keeps_masks_and_balances():
+def test_balancing_agrees(spark):
+    """Cells, biases and rounds against lists of numbers, with masks kept or filled."""
+    m = frame(spark, **MAPS)
+    for how, same in (({}, {}), ({"flanks": True}, {"flanks": True}), ({"interpolate": True, "sigma": 1.0}, {"sigma": 1.0})):
+        cells, biases = B.balance_map(m, 4, 1e-5, **how)
+        bias = vector(biases, "bias")
+        for name, rows in MAPS.items():
+            want, b = brute.balanced(rows, 4, 1e-5, **same)
+            assert bias[name] == pytest.approx(b)
+            assert np.allclose(matrix(cells, name), array(want), equal_nan=True)
+            assert (np.isnan(matrix(cells, name)) == (np.isnan(array(rows)) & ("sigma" not in same))).all()
+
+
+def test_balanced_rows_are_even(spark):
+    m = frame(spark, **MAPS)
+    cells, biases = B.balance_map(m, 60)
+    assert biases.where("NOT done").isEmpty()
+    for name in MAPS:
+        s = [x for x in brute.row_sums([[None if np.isnan(x) else x for x in row] for row in matrix(cells, name)]) if x]
+        assert np.std(s) < 0.01 * np.mean(s)
+
+
+def test_region_balance(spark):
+    """All regions come out: balanced and complete, or marked."""
+    gone = [[N] * 4 for _ in range(4)]
+    zero = decaying(n=6)
+    for k in range(6):
+        zero[2][k] = zero[k][2] = 0.0
+    zero[4] = [N if x != 2 else 0.0 for x in range(6)]  # masked but for its cell with the empty row
+    for k in range(6):
+        zero[k][4] = zero[4][k]
+    m = frame(spark, **MAPS, gone=gone, zero=zero)
+    got = B.balance_regions(m, 40)
+    states = {r.region: r.state for r in got.select("region", "state").distinct().collect()}
+    assert states == {**dict.fromkeys([*MAPS, "zero"], "balanced"), "gone": "empty"}
+    assert got.where("region = 'gone' AND v IS NOT NULL").isEmpty() and got.where("region <> 'gone' AND v IS NULL").isEmpty()
     for name, rows in MAPS.items():
-        m = array(rows)
-        w, bias = R.balance(m)
-        assert (np.isnan(w) == np.isnan(m)).all() and np.allclose(np.nan_to_num(w * np.outer(bias, bias)), np.nan_to_num(m))
-        full, _ = R.balance(m, interpolate=True, width=2.0)
-        assert not np.isnan(full).any() and np.allclose(full, full.T)
-        done = R.balance_region(m, flanks=False)
-        assert R.row_sums(done).std() < 0.02 * R.row_sums(done).mean(), name
-        assert not np.isnan(R.balance_region(m)).any()
-    w, _ = R.balance(array(MAPS["default"]))
-    assert R.row_sums(w).var() < 1e-5 and R.row_sums(w).mean() == pytest.approx(21.2, abs=0.1)
-    bad = array(MAPS["default"])
-    bad[1] = bad[:, 1] = 0
+        want = brute.balanced(rows, 40, 1e-5, flanks=True)[0]
+        want = brute.balanced(want, 40, 1e-5, lambda d: 2.0 * max(1, d - 2) ** 0.2, True)[0]
+        want = brute.balanced(want, 40, 1e-5, flanks=True)[0]
+        assert np.allclose(matrix(got.drop("state"), name), array(want), rtol=1e-3)
+    few = B.balance_regions(m.where("region = 'six'"), 1, 0.0)
+    assert {r.state for r in few.collect()} == {"not converged"}
     with pytest.raises(ValueError):
-        R.balance(bad)
+        B.balance_regions(m.where("region = 'zero'"), strict=True)
+    assert B.balance_regions(m.limit(0), 2).isEmpty()
 
 
 def test_both_ways_of_balancing_agree(spark):
@@ -220,17 +262,16 @@ def test_both_ways_of_balancing_agree(spark):
     bias = bins.select("bin_id", F.lit(1.0).alias("bias"))
     for _ in range(5):
         bias = M.ice_step(px, bias)
-    dense = matrix(M.cis_map(px, bins))
-    _, want = R.balance(dense, max_iter=5, tol=0)
-    assert [r.bias for r in bias.orderBy("bin_id").collect()] == pytest.approx(want.tolist())
+    _, want = B.balance_map(M.cis_map(px, bins), max_iter=5, tol=0)
+    assert [r.bias for r in bias.orderBy("bin_id").collect()] == pytest.approx(vector(want, "bias")["a"])
 
 
 def test_interpolation_agrees(spark):
     m = frame(spark, **MAPS)
-    for sigma in (0.0, 1.0):
+    for sigma, same in ((0.0, 0.0), (1.0, 1.0), (B.growing_width(), lambda d: 2.0 * max(1, d - 2) ** 0.2)):
         got = M.interpolate_diagonals(m, sigma)
         for name, rows in MAPS.items():
-            assert np.allclose(matrix(got, name), R.fill_diagonals(array(rows), sigma))
+            assert np.allclose(matrix(got, name), array(brute.filled_map(rows, same)))
 
 
 def test_neighbor_normalization(spark):
@@ -241,7 +282,7 @@ def test_neighbor_normalization(spark):
     d = np.diagonal(a, 1).copy()
     d = np.clip(d, d.mean() * 0.1, d.mean() / 0.1)
     nf = np.array([d[0], *((d[1:] + d[:-1]) / 2), d[-1]])
-    nf = R.smooth(nf, 1)
+    nf = np.array(brute.smoothed(nf.tolist(), 1.0))
     want = a / np.sqrt(np.outer(nf, nf))
     want = np.minimum(want / np.diagonal(want, 1).mean(), 10)
     assert np.allclose(got, want) and np.diagonal(got, 1).mean() == pytest.approx(1)
@@ -268,24 +309,51 @@ def test_coarsening(spark):
     assert np.allclose(matrix(M.coarsen_by_distance(frame(spark, r=a.tolist()), base=base)), want)
 
 
-def test_distance_smoothing():
+def test_distance_smoothing(spark):
     rnd = np.random.default_rng(3)
-    a = rnd.uniform(1, 2, (9, 9))
+    n = 9
+    a = rnd.uniform(1, 2, (n, n))
     a = a + a.T
-    flat = np.full((9, 9), 3.0)
-    flat[2, 5] = flat[5, 2] = np.nan
-    out = R.smooth_by_distance(flat, 1.0)
-    assert np.isnan(out[2, 5]) and np.allclose(np.delete(out.ravel(), [2 * 9 + 5, 5 * 9 + 2]), 3.0)
-    two = np.apply_along_axis(R.smooth, 0, np.apply_along_axis(R.smooth, 1, a, 1.0), 1.0)
-    got = R.smooth_by_distance(a, 1.0)
-    assert np.allclose(np.triu(got), np.triu(two))
-    assert np.allclose(R.smooth_by_distance(a, R.growing_width(0.05, 0.5, 2)), a)  # a width this small changes nothing
-
-
-def test_peaks():
-    x = np.array([0, 1, 3, 3, 1, 2, 1, 5, 0.0])
-    assert R.peaks(x, 0.4) == [(2, 2.0), (5, 1.0), (7, 5.0)]
-    assert R.peaks(x, 2) == [(2, 2.0), (7, 5.0)] and R.peaks(np.ones(5), 0.1) == []
+    a[2, 5] = a[5, 2] = a[0, 0] = np.nan
+    m = frame(spark, r=[[N if np.isnan(x) else x for x in row] for row in a.tolist()])
+    for sigma, width in ((1.0, lambda d: 1.0), (B.growing_width(0.5, 0.5, 2), lambda d: 0.5 * max(1, d - 2) ** 0.5)):
+        got = matrix(B.smooth_by_distance(m, sigma))
+        for i in range(n):
+            for j in range(i, n):
+                s = width(j - i)
+                r = int(4 * s + 0.5)
+                taps = [
+                    (math.exp(-0.5 * (p * p + q * q) / s**2), a[brute.mirrored(i + p, n), brute.mirrored(j + q, n)]) for p in range(-r, r + 1) for q in range(-r, r + 1)
+                ]
+                want = sum(w * x for w, x in taps if x == x) / sum(w for w, x in taps if x == x)
+                assert got[i, j] == pytest.approx(want) if a[i, j] == a[i, j] else np.isnan(got[i, j])
+    assert np.allclose(matrix(B.smooth_by_distance(m)), a, equal_nan=True)  # a width this small changes nothing
+    assert not np.isnan(matrix(B.smooth_by_distance(m, 1.0, interpolate=True))).any()
+
+
+def test_compare_smoothed(spark):
+    rnd = np.random.default_rng(9)
+    a, b = ((lambda x: x + x.T)(rnd.uniform(1, 2, (6, 6))) for _ in range(2))
+    both = lambda x: np.array([brute.smoothed(c, 1.0) for c in np.array([brute.smoothed(r, 1.0) for r in x.tolist()]).T.tolist()]).T
+    cells = {(r.i, r.j): r.v for r in M.compared(frame(spark, x=a.tolist()), frame(spark, x=b.tolist()), 1.0).collect()}
+    assert len(cells) == 36
+    plain, smooth = np.log2(a / b), np.log2(both(a) / both(b))
+    assert all(v == pytest.approx((plain if i < j else smooth)[i, j]) for (i, j), v in cells.items())
+
+
+def test_peaks(spark):
+    rnd = np.random.default_rng(6)
+    vectors = {"flat": [0, 1, 3, 3, 1, 2, 1, 5, 0.0], "even": [1.0] * 5, "one": [4.0], "up": [1.0, 2.0, 3.0]}
+    vectors |= {f"r{k}": rnd.integers(0, 6, int(rnd.integers(2, 70))).astype(float).tolist() for k in range(12)}
+    rows = [(k, i, x) for k, xs in vectors.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "region string, i long, s double")
+    for least in (0.5, 2.0):
+        got = {}
+        for r in B.local_peaks(df, ["region"], "i", "s", least).collect():
+            got.setdefault(r.region, []).append((r.i, r.prominence))
+        assert {k: sorted(v) for k, v in got.items()} == {k: p for k, xs in vectors.items() if (p := brute.peaks(xs, least))}
+    assert B.local_peaks(df.limit(0), ["region"], "i", "s", 0.1).isEmpty()
+    assert set(B.call_peaks(df.where("region = 'even'"), 2).collect()) == set()
 
 
 def test_batch_and_compare(spark):

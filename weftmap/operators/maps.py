@@ -9,13 +9,13 @@ come from the map itself.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import staged, unstage
+from ..common import running_totals, staged, unstage
 
 # ---------------------------------------------------------------- bins and pixels
 
@@ -34,14 +34,16 @@ def _offsets(bins: DataFrame) -> DataFrame:
     return bins.groupBy("chrom").agg(F.min("bin_id").alias("offset"))
 
 
-def count_pixels(pairs: DataFrame, bins: DataFrame, resolution: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Pairs (1-based positions on known chromosomes) counted into pixels, per ``keys`` if given."""
+def count_pixels(pairs: DataFrame, bins: DataFrame, resolution: int, keys: Sequence[str] = (), also: Mapping[str, Column] | None = None) -> DataFrame:
+    """Pairs (1-based positions on known chromosomes) counted into pixels, per ``keys`` if given; ``also`` counts those that meet a condition beside them."""
+    also = dict(also or {})
+    pairs = pairs.withColumns(also) if also else pairs
     offsets = _offsets(bins)
     for k in (1, 2):
         pairs = pairs.join(offsets.select(F.col("chrom").alias(f"chrom{k}"), F.col("offset").alias(f"__o{k}")), f"chrom{k}")
     a, b = (F.col(f"__o{k}") + F.floor((F.col(f"pos{k}") - 1) / resolution) for k in (1, 2))
-    pixels = pairs.select(*keys, F.least(a, b).alias("bin1_id"), F.greatest(a, b).alias("bin2_id")).where("bin1_id IS NOT NULL AND bin2_id IS NOT NULL")
-    return pixels.groupBy(*keys, "bin1_id", "bin2_id").agg(F.count("*").alias("count"))
+    pixels = pairs.select(*keys, *also, F.least(a, b).alias("bin1_id"), F.greatest(a, b).alias("bin2_id")).where("bin1_id IS NOT NULL AND bin2_id IS NOT NULL")
+    return pixels.groupBy(*keys, "bin1_id", "bin2_id").agg(F.count("*").alias("count"), *[F.count_if(F.col(c)).alias(c) for c in also])
 
 
 def merge_pixels(*maps: DataFrame) -> DataFrame:
@@ -52,14 +54,31 @@ def merge_pixels(*maps: DataFrame) -> DataFrame:
     return both.groupBy("bin1_id", "bin2_id").agg(F.sum("count").alias("count"))
 
 
+def _layout(bins: DataFrame) -> list[tuple[int, str]]:
+    """First bin and name of every chromosome, in order; a row a chromosome, on the driver."""
+    return sorted((r["offset"], r["chrom"]) for r in _offsets(bins).collect())
+
+
+def _among(bin_id: Column, firsts: Sequence[int], values: Sequence) -> Column:
+    """The value of the chromosome that a bin lies in, from the chromosomes' first bins: a comparison, where a join would shuffle the pixels by their bins."""
+    if not firsts:
+        return F.lit(None)
+    at = F.size(F.filter(F.array(*map(F.lit, firsts)), lambda f: f <= bin_id))
+    if len(firsts) <= 64:  # compiled
+        at = sum((F.when(bin_id >= f, 1).otherwise(0) for f in firsts[1:]), F.lit(1))
+    return F.element_at(F.array(*map(F.lit, values)), at)
+
+
 def zoom_pixels(pixels: DataFrame, bins: DataFrame, coarse: DataFrame, factor: int) -> DataFrame:
     """Pixels of ``factor`` times coarser bins; bins are joined within their chromosome and never across."""
-    parent = bins.join(_offsets(coarse), "chrom").select("bin_id", (F.col("offset") + F.floor(F.col("i") / factor)).alias("parent"))
-    up = pixels
-    for k in (1, 2):
-        up = up.join(parent.withColumnsRenamed({"bin_id": f"bin{k}_id", "parent": f"__p{k}"}), f"bin{k}_id")
-    up = up.select(F.least("__p1", "__p2").alias("bin1_id"), F.greatest("__p1", "__p2").alias("bin2_id"), "count")
-    return up.groupBy("bin1_id", "bin2_id").agg(F.sum("count").alias("count"))
+    fine, up = _layout(bins), dict((c, f) for f, c in _layout(coarse))
+    firsts, parents = [f for f, _ in fine], [up[c] for _, c in fine]
+
+    def parent(bin_id: Column) -> Column:
+        return (_among(bin_id, firsts, parents) + F.floor((bin_id - _among(bin_id, firsts, firsts)) / factor)).cast("long")
+
+    p1, p2 = parent(F.col("bin1_id")), parent(F.col("bin2_id"))
+    return pixels.select(F.least(p1, p2).alias("bin1_id"), F.greatest(p1, p2).alias("bin2_id"), "count").groupBy("bin1_id", "bin2_id").agg(F.sum("count").alias("count"))
 
 
 def check_same_bins(a: DataFrame, b: DataFrame) -> None:
@@ -72,18 +91,21 @@ def check_same_bins(a: DataFrame, b: DataFrame) -> None:
 def remove_inward(full: DataFrame, inward: DataFrame, bins: DataFrame, resolution: int, k: int = 2, documented: bool = False) -> DataFrame:
     """Near the diagonal (cis, up to ``k`` bins apart) inward counts are taken off and the rest is scaled by 4/3, floored.
 
-    Other pixels stay, unless ``documented``, which scales them as well.
+    Other pixels stay, unless ``documented``, which scales them as well. ``bins`` are of one width, ``resolution``.
     """
+    return without_inward(full.join(inward.withColumnRenamed("count", "inward"), ["bin1_id", "bin2_id"], "left"), bins, k, documented)
+
+
+def without_inward(pixels: DataFrame, bins: DataFrame, k: int = 2, documented: bool = False) -> DataFrame:
+    """As :func:`remove_inward`, of pixels that have both counts, ``count`` and ``inward``: one shuffle, that of the counting."""
     if k < 0:
         raise ValueError("k must not be negative")
-    info = bins.select("bin_id", "chrom", "start")
-    joined = full.join(inward.withColumnRenamed("count", "__in"), ["bin1_id", "bin2_id"], "left")
-    for e in (1, 2):
-        joined = joined.join(info.withColumnsRenamed({"bin_id": f"bin{e}_id", "chrom": f"__c{e}", "start": f"__s{e}"}), f"bin{e}_id")
-    near = (F.col("__c1") == F.col("__c2")) & (F.abs(F.col("__s2") - F.col("__s1")) <= k * resolution)
-    fixed = F.floor(4 * (F.col("count") - F.coalesce("__in", F.lit(0))) / 3)
+    firsts = [f for f, _ in _layout(bins)]
+    same = _among(F.col("bin1_id"), firsts, firsts) == _among(F.col("bin2_id"), firsts, firsts)
+    near = same & (F.col("bin2_id") - F.col("bin1_id") <= k)
+    fixed = F.floor(4 * (F.col("count") - F.coalesce("inward", F.lit(0))) / 3)
     rest = F.floor(4 * F.col("count") / 3) if documented else F.col("count")
-    return joined.select("bin1_id", "bin2_id", F.when(near, fixed).otherwise(rest).cast("long").alias("count"))
+    return pixels.select("bin1_id", "bin2_id", F.when(near, fixed).otherwise(rest).cast("long").alias("count"))
 
 
 def first_diagonal(pixels: DataFrame, bins: DataFrame, weight: str | None = None) -> DataFrame:
@@ -97,6 +119,26 @@ def first_diagonal(pixels: DataFrame, bins: DataFrame, weight: str | None = None
     return rows.select("chrom", "i", (v * F.col(weight) * F.col("__w2") if weight else v).alias("v"))
 
 
+def medians(df: DataFrame, keys: Sequence[str], v: str, name: str) -> DataFrame:
+    """``keys, name``: exact medians of ``v``, NULLs left out (a key with nothing else has no row).
+
+    Values are counted, and their ranks are running totals over logarithmic cells of the values, so that no task holds all the values of a key.
+    """
+    k = list(keys)
+    x = F.col(v).cast("double")
+    counted = staged(df.where(F.col(v).isNotNull()).groupBy(*k, x.alias("__v")).agg(F.count("*").alias("__n")))
+    size = F.abs("__v")
+    cell = F.when(size == float("inf"), F.lit(400_000)).when(size > 0, F.floor(F.ln(size) * 256) + 200_000).otherwise(F.lit(0))
+    ranked = running_totals(counted, k, "__v", {"__upto": "__n"}, (F.signum("__v") * cell).cast("long"))
+    if k:
+        ranked = ranked.join(counted.groupBy(*k).agg(F.sum("__n").alias("__all")), k)
+    else:
+        ranked = ranked.withColumn("__all", counted.agg(F.sum("__n")).scalar())
+    holds = lambda rank: (F.col("__upto") > rank) & (F.col("__upto") - F.col("__n") <= rank)
+    low, high = (holds(F.floor((F.col("__all") - 1 + up) / 2)) for up in (0, 1))
+    return ranked.where(low | high).groupBy(*k).agg((F.max(F.when(low, F.col("__v"))) * 0.5 + F.max(F.when(high, F.col("__v"))) * 0.5).alias(name))
+
+
 # ---------------------------------------------------------------- dense maps of regions
 
 
@@ -157,10 +199,10 @@ def strict_average(m: DataFrame) -> DataFrame:
 
 def sparse_average(pixels: DataFrame, bins: DataFrame, high: int) -> DataFrame:
     """``chrom, d, v`` without a dense map: cis counts per distance over the number of bin pairs at it, 0 to ``high`` - 1."""
-    info = bins.select("bin_id", "chrom", "i")
-    for e in (1, 2):
-        pixels = pixels.join(info.withColumnsRenamed({"bin_id": f"bin{e}_id", "chrom": f"__c{e}", "i": f"__i{e}"}), f"bin{e}_id")
-    sums = pixels.where("__c1 = __c2").groupBy(F.col("__c1").alias("chrom"), (F.col("__i2") - F.col("__i1")).alias("d")).agg(F.sum("count").alias("s"))
+    layout = _layout(bins)
+    firsts, b1, b2 = [f for f, _ in layout], F.col("bin1_id"), F.col("bin2_id")
+    cis = pixels.where(_among(b1, firsts, firsts) == _among(b2, firsts, firsts))
+    sums = cis.groupBy(_among(b1, firsts, [c for _, c in layout]).alias("chrom"), (b2 - b1).alias("d")).agg(F.sum("count").alias("s"))
     n = bins.groupBy("chrom").agg(F.count("*").alias("n"))
     spine = n.select("chrom", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(high)) - 1)).alias("d"))
     return spine.join(sums, ["chrom", "d"], "left").select("chrom", "d", (F.coalesce("s", F.lit(0)) / (F.col("n") - F.col("d"))).alias("v"))
@@ -171,12 +213,11 @@ def mad_mask(m: DataFrame, mad_max: float = 5) -> DataFrame:
 
     An empty row's log is minus infinity: it is masked, unless half or more of the rows are empty, when nothing is.
     """
-    rows = marginal(m).withColumn("l", F.when(F.col("s") > 0, F.ln("s")).otherwise(F.lit(float("-inf"))))
+    rows = staged(marginal(m).withColumn("l", F.when(F.col("s") > 0, F.ln("s")).otherwise(F.lit(float("-inf")))))
     filled = F.count(F.when(F.col("s") > 0, 1)) * 2 > F.count("*")
-    mid = rows.groupBy("region").agg(F.median("l").alias("mid"), filled.alias("filled")).where("filled")
+    mid = medians(rows, ["region"], "l", "mid").join(rows.groupBy("region").agg(filled.alias("filled")).where("filled"), "region")
     rows = rows.join(mid, "region").withColumn("dev", F.when(F.col("s") > 0, F.abs(F.col("l") - F.col("mid"))).otherwise(F.lit(float("inf"))))
-    mad = rows.groupBy("region").agg(F.median("dev").alias("mad"))
-    return rows.join(mad, "region").where(F.col("l") < F.col("mid") - mad_max * F.col("mad")).select("region", "i")
+    return rows.join(medians(rows, ["region"], "dev", "mad"), "region").where(F.col("l") < F.col("mid") - mad_max * F.col("mad")).select("region", "i")
 
 
 def capture_rates(probes: DataFrame, regions: DataFrame, bin_size: int, documented: bool = False) -> DataFrame:
@@ -243,10 +284,9 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], pos: str, v: str, anchor: str
 
     ``anchor`` is a column to interpolate instead of ``v`` itself. A key without any value stays NULL.
     """
-    w = Window.partitionBy(*keys).orderBy(pos)
     known = F.when(F.col(v).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(anchor or v).alias("v")))
-    left = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Both are running values: a frame up to the key's end would be gone through anew for every row.
+    left, right = (F.last(known, True).over(Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.asc(pos), F.desc(pos)))
     df = df.withColumns({"__l": left, "__r": right})
     slope = (F.col("__r.v") - F.col("__l.v")) / (F.col("__r.p") - F.col("__l.p"))
     line = F.when(F.col("__l").isNull(), F.col("__r.v")).when(F.col("__r").isNull(), F.col("__l.v")).otherwise(F.col("__l.v") + slope * (F.col(pos) - F.col("__l.p")))
@@ -352,7 +392,8 @@ def neighbor_weights(factors: DataFrame, bins: DataFrame, fine: int, coarse: int
     up = factors.groupBy("chrom", F.floor(F.col("i") / k).alias("i")).agg(F.avg("nf").alias("nf"))
     whole = factors.groupBy("chrom").agg(F.avg("nf").alias("__all"))
     up = up.join(whole, "chrom").select("chrom", "i", F.coalesce("nf", "__all").alias("nf"))
-    mid = up.agg(F.median("nf")).scalar()
+    up = staged(up)
+    mid = medians(up, [], "nf", "mid").scalar()
     up = up.select("chrom", "i", F.when(F.col("nf").isNotNull(), F.greatest(F.least("nf", mid * eps), mid / eps)).alias("nf"))
     weight = F.when(F.col("nf") == 0, F.col("weight") * F.lit(float("inf"))).otherwise(F.col("weight") / F.sqrt("nf"))
     return bins.join(up, ["chrom", "i"], "left").withColumn("weight_neighbor", weight).drop("nf")
@@ -463,11 +504,10 @@ def balanced_bins(pixels: DataFrame, bins: DataFrame, ignore_diags: int = 1, mad
     rows = rows.join(bins.select("bin_id", "chrom"), "bin_id")
     good = (F.col("n") >= min_nnz) & (F.col("s") >= min_count)
     if mad_max > 0:
-        # The medians keep distinct values only, and row sums of counts have few.
-        rows = rows.join(rows.groupBy("chrom").agg(F.median("s").alias("__m")), "chrom").withColumn("l", F.ln(F.col("s") / F.col("__m")))
-        rows = rows.crossJoin(rows.agg(F.median("l").alias("mid")))
-        rows = rows.crossJoin(rows.agg(F.median(F.abs(F.col("l") - F.col("mid"))).alias("mad")))
-        good = good & (F.col("l") >= F.col("mid") - mad_max * F.col("mad"))
+        rows = staged(rows)
+        rows = staged(rows.join(medians(rows, ["chrom"], "s", "__m"), "chrom").withColumn("l", F.ln(F.col("s") / F.col("__m"))))
+        rows = staged(rows.withColumn("dev", F.col("l") - medians(rows, [], "l", "mid").scalar()))
+        good = good & (F.col("dev") >= -mad_max * medians(rows.select(F.abs("dev").alias("a")), [], "a", "mad").scalar())
     return rows.where(good).select("bin_id")
 
 

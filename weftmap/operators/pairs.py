@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..common import staged
+from ..common import fresh, staged
 from ..functions import pairs as P
 from .intervals import periods_and_gaps
 
@@ -46,17 +46,21 @@ def valid_pairs(
     return df.select(*columns)
 
 
-def inside_regions(df: DataFrame, regions: DataFrame, chrom: str, pos: str) -> DataFrame:
+def inside_regions(df: DataFrame, regions: DataFrame, chrom: str, pos: str, salts: int = 16) -> DataFrame:
     """Rows whose 1-based position lies in a region: a semi join, so overlapping regions repeat nothing.
 
     Regions are merged first and dealt to position cells, so that the join has an equality on (chromosome, cell)
-    and at most a few disjoint periods for each; Spark broadcasts them if they are small.
+    and at most a few disjoint periods for each. The periods stand there ``salts`` times, and every row draws one of them, so that a cell
+    that holds a large part of all rows is spread as well.
     """
     merged = periods_and_gaps(regions, ["chrom"], "start", "end").where("kind = 'period'")
     cells = F.explode(F.sequence(F.floor((F.col("from_pos") + 1) / CELL), F.floor(F.col("to_pos") / CELL)))
     merged = merged.select(F.col("chrom").alias("__c"), F.col("from_pos").alias("__s"), F.col("to_pos").alias("__e"), cells.alias("__k"))
-    hit = (F.col(chrom) == F.col("__c")) & (F.floor(F.col(pos) / CELL) == F.col("__k")) & (F.col(pos) > F.col("__s")) & (F.col(pos) <= F.col("__e"))
-    return df.join(merged, hit, "left_semi")
+    merged = merged.select("*", F.explode(F.array(*[F.lit(k) for k in range(salts)])).alias("__z"))
+    salt = fresh("__salt", df.columns)
+    rows = df.withColumn(salt, F.floor(F.rand(23) * salts).cast("int"))
+    hit = (F.col(chrom) == F.col("__c")) & (F.floor(F.col(pos) / CELL) == F.col("__k")) & (F.col(salt) == F.col("__z"))
+    return rows.join(merged, hit & (F.col(pos) > F.col("__s")) & (F.col(pos) <= F.col("__e")), "left_semi").drop(salt)
 
 
 def cis(df: DataFrame) -> DataFrame:
@@ -221,14 +225,14 @@ def mark_duplicates(df: DataFrame, order: list[str], mismatch: int = 1, rounds:
         raise RuntimeError(f"clusters did not settle in {rounds} rounds")
     # The row number makes rows that are equal in every column differ; staged, as it must not be drawn twice.
     order = [*order, "__row"]
-    tagged = staged(df.withColumns({"__id": F.when(complete, name), "__row": F.monotonically_increasing_id()}))
+    tagged = staged(df.where(complete).withColumns({"__id": name, "__row": F.monotonically_increasing_id()}))
     tagged = tagged.join(labels.select(F.col("id").alias("__id"), F.col("label").alias("__label")), "__id", "left")
-    cluster = F.coalesce("__label", "__id")
     # The first row of a cluster: a minimum that is combined before the shuffle, not a sort of the cluster.
-    tagged = tagged.withColumn("__cluster", cluster)
-    first = tagged.where("__cluster IS NOT NULL").groupBy("__cluster").agg(F.min(F.struct(*order)).alias("__first"))
-    out = tagged.join(first, "__cluster", "left")
-    return out.select(*df.columns, F.coalesce(F.struct(*order) != F.col("__first"), F.lit(False)).alias("is_duplicate"))
+    tagged = tagged.withColumn("__cluster", F.coalesce("__label", "__id"))
+    first = tagged.groupBy("__cluster").agg(F.min(F.struct(*order)).alias("__first"))
+    out = tagged.join(first, "__cluster").select(*df.columns, (F.struct(*order) != F.col("__first")).alias("is_duplicate"))
+    # Rows that cannot be compared are in no join: they would share one NULL key.
+    return out.unionByName(df.where(~complete).select(*df.columns, F.lit(False).alias("is_duplicate")))
 
 
 def sorted_pairs(df: DataFrame) -> DataFrame:

@@ -61,7 +61,9 @@ def zoomify(spark, d):
 
 
 def remove_inward(spark, d):
-    return M.remove_inward(_pixels(spark, d), _pixels(spark, d, direction="inward"), _bins(spark, d), RES, k=2)
+    """All and inward pairs counted in one pass."""
+    inward = (F.col("strand1") == "+") & (F.col("strand2") == "-")
+    return M.without_inward(M.count_pixels(_valid(spark, d), _bins(spark, d), RES, also={"inward": inward}), _bins(spark, d), k=2)
 
 
 def first_diagonal(spark, d):
@@ -334,9 +336,9 @@ def _fill_sql(source: str, keys: str, pos: str, v: str) -> str:
  first_value({v} IGNORE NULLS) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rv FROM {source})"""
 
 
-def _smooth_sql(source: str, v: str, spread: bool) -> str:
-    """Kernel of width 1 over (region, i, v)."""
-    w = M.gaussian_weights(1.0)
+def _smooth_sql(source: str, v: str, spread: bool, sigma: float = 1.0) -> str:
+    """A kernel over (region, i, v)."""
+    w = M.gaussian_weights(sigma)
     taps = ", ".join(f"({k - len(w) // 2}, {x!r})" for k, x in enumerate(w))
     value = f"CASE WHEN count(s.{v}) = count(*) THEN sum(w * s.{v}) END" if spread else f"CASE WHEN max(t.{v}) IS NOT NULL THEN sum(w * s.{v}) / sum(CASE WHEN s.{v} IS NOT NULL THEN w END) END"
     return f"""SELECT t.region, t.i, {value} AS {v} FROM (
@@ -398,6 +400,74 @@ best AS (SELECT region, i, j, arg_max(v, k) AS nv FROM bl WHERE i <= j GROUP BY
 SELECT m.region, m.i, m.j, round(coalesce(nv, v), {DIGITS}) AS v FROM m LEFT JOIN best USING (region, i, j)"""
 
 
+def _flank_rows(p: str, m: str) -> str:
+    """Row sums with the mean decay beyond the region on both sides."""
+    return f"""{_full_sql(p + '_ff', m)},
+{p}_r AS (SELECT region, i, coalesce(sum(CASE WHEN i <> j THEN v END), 0) AS s, max(j) + 1 AS n FROM {p}_ff GROUP BY region, i),
+{p}_p0 AS (SELECT region, j - i AS d, avg(v) AS v FROM {m} WHERE j > i GROUP BY ALL), {p}_ps AS ({_fill_sql(p + '_p0', 'region', 'd', 'v')}),
+{p}_tl AS (SELECT region, d, sum(v) OVER (PARTITION BY region ORDER BY d DESC) AS t FROM {p}_ps),
+{p}_s AS (SELECT r.region, r.i, CASE WHEN s <> 0 THEN s + coalesce(a.t, 0) + coalesce(b.t, 0) ELSE s END AS s FROM {p}_r r
+ LEFT JOIN {p}_tl a ON a.region = r.region AND a.d = r.i + 1 LEFT JOIN {p}_tl b ON b.region = r.region AND b.d = r.n - r.i + 1)"""
+
+
+_MIRROR = "CASE WHEN (({0}) % (2 * n) + 2 * n) % (2 * n) < n THEN (({0}) % (2 * n) + 2 * n) % (2 * n) ELSE 2 * n - 1 - (({0}) % (2 * n) + 2 * n) % (2 * n) END"
+
+
+def _interpolated_sql(p: str, m: str, sigma: str) -> str:
+    """Diagonals filled between smoothed values; sigma is an expression of d."""
+    w = "PARTITION BY region, d ORDER BY i"
+    return f"""{p}_z AS MATERIALIZED (SELECT *, j - i AS d, CAST(count(*) OVER (PARTITION BY region, j - i) AS BIGINT) AS n FROM {m}),
+{p}_e AS (SELECT region, d, i, n, {sigma} AS g FROM (SELECT *, lag(v) OVER ({w}) AS lv, lead(v) OVER ({w}) AS rv FROM {p}_z)
+ WHERE v IS NOT NULL AND ((i > 0 AND lv IS NULL) OR (i < n - 1 AND rv IS NULL))),
+{p}_t AS (SELECT *, unnest(range(-CAST(floor(4 * g + 0.5) AS BIGINT), CAST(floor(4 * g + 0.5) AS BIGINT) + 1)) AS k FROM {p}_e),
+{p}_q AS (SELECT region, d, i, exp(-0.5 * (k / g) * (k / g)) AS w, {_MIRROR.format('i + k')} AS p FROM {p}_t),
+{p}_a AS (SELECT q.region, q.d, q.i, sum(w * z.v) / sum(w) AS a FROM {p}_q q JOIN {p}_z z ON z.region = q.region AND z.d = q.d AND z.i = q.p WHERE z.v IS NOT NULL GROUP BY ALL),
+{p}_l AS (SELECT *, last_value(a IGNORE NULLS) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS la,
+ first_value(a IGNORE NULLS) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ra,
+ last_value(CASE WHEN a IS NOT NULL THEN i END IGNORE NULLS) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li,
+ first_value(CASE WHEN a IS NOT NULL THEN i END IGNORE NULLS) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ri
+ FROM (SELECT z.*, a FROM {p}_z z LEFT JOIN {p}_a a ON a.region = z.region AND a.d = z.d AND a.i = z.i)),
+{p}_d0 AS (SELECT region, d, avg(v) AS v FROM {p}_z GROUP BY ALL), {p}_dd AS ({_fill_sql(p + '_d0', 'region', 'd', 'v')}),
+{p} AS MATERIALIZED (SELECT l.region, l.i, l.j, coalesce(l.v, CASE WHEN la IS NULL THEN ra WHEN ra IS NULL THEN la ELSE la + (ra - la) / (ri - li) * (l.i - li) END, dd.v) AS v
+ FROM {p}_l l JOIN {p}_dd dd ON dd.region = l.region AND dd.d = l.d)"""
+
+
+def _step_sql(p: str, rows: str, m: str) -> str:
+    """One round: cells divided by their bins' sums relative to the mean."""
+    return f"""{p}_st AS (SELECT region, i, CASE WHEN s <> 0 THEN s / avg(CASE WHEN s <> 0 THEN s END) OVER (PARTITION BY region) ELSE 1 END AS step FROM {rows}),
+{p} AS MATERIALIZED (SELECT m.region, m.i, m.j, v / (a.step * b.step) AS v FROM {m} m JOIN {p}_st a ON a.region = m.region AND a.i = m.i JOIN {p}_st b ON b.region = m.region AND b.i = m.j)"""
+
+
+def _masked_sql(p: str, m: str) -> str:
+    return f"""{_full_sql(p + '_ff', m)},
+{p}_b AS (SELECT region, i FROM {p}_ff GROUP BY ALL HAVING NOT coalesce(sum(CASE WHEN i <> j THEN v END), 0) > 0 AND count(v) > 0),
+{p} AS MATERIALIZED (SELECT m.region, m.i, m.j, CASE WHEN a.i IS NULL AND b.i IS NULL THEN v END AS v FROM {m} m LEFT JOIN {p}_b a ON a.region = m.region AND a.i = m.i
+ LEFT JOIN {p}_b b ON b.region = m.region AND b.i = m.j)"""
+
+
+_GROWING = "2.0 * pow(greatest(1, d - 2), 0.2)"
+_ZEROS = "{0} AS (SELECT region, i, j, coalesce(v, 0) AS v FROM {1})"
+#: Masking four times is enough for these tables: the fifth time finds nothing.
+_BALANCE = ",\n".join([
+    *(_masked_sql(f"k{n + 1}", "fm" if n == 0 else f"k{n}") for n in range(4)),
+    _ZEROS.format("z1", "k4"), _flank_rows("f1", "z1"), _step_sql("w1", "f1_s", "k4"),
+    _interpolated_sql("i1", "w1", _GROWING), _flank_rows("f2", "i1"), _step_sql("w2", "f2_s", "w1"), _interpolated_sql("i2", "w2", _GROWING),
+    _ZEROS.format("z3", "i2"), _flank_rows("f3", "z3"), _step_sql("w3", "f3_s", "i2"),
+])
+
+
+def _mirrored_taps(source: str, fixed: str, moved: str, v: str, taps: str) -> str:
+    """A kernel along one axis of a full map."""
+    return f"""SELECT t.region, t.{fixed}, t.{moved}, sum(w * s.{v}) AS {v} FROM (SELECT x.*, w, {_MIRROR.format(moved + ' + o')} AS p FROM
+ (SELECT *, max({moved}) OVER (PARTITION BY region) + 1 AS n FROM {source}) x, (VALUES {taps}) k(o, w)) t
+ JOIN {source} s ON s.region = t.region AND s.{fixed} = t.{fixed} AND s.{moved} = t.p GROUP BY ALL"""
+
+
+_RATIO = """CASE WHEN a.v = 0 AND b.v = 0 THEN NULL WHEN b.v = 0 THEN CAST('inf' AS DOUBLE) WHEN a.v = 0 THEN CAST('-inf' AS DOUBLE) ELSE log2(a.v / b.v) END"""
+_W1 = M.gaussian_weights(1.0)
+_TAPS = ", ".join(f"({k - len(_W1) // 2}, {x!r})" for k, x in enumerate(_W1))
+
+
 ORACLE = {
     "bins_table": _B + "\nSELECT * FROM bins",
     "bin_counts": _PX + "\nSELECT * FROM px",
@@ -453,6 +523,28 @@ SELECT b.region, b.i, round(CASE WHEN max(b.hi) < max(b.n) THEN avg(rs.s) END, {
 z AS (SELECT *, j - i AS d FROM fm), y AS ({_fill_sql('z', 'region, d', 'i', 'v')})
 SELECT y.region, y.i, y.j, round(coalesce(y.v, ps.v), {DIGITS}) AS v FROM y JOIN ps ON ps.region = y.region AND ps.d = y.d""",
     "ice_3iter": _ice_sql(3),
+    "interpolate_smoothed": f"{_FM}, {_interpolated_sql('o', 'fm', _GROWING)} SELECT region, i, j, round(v, {DIGITS}) AS v FROM o",
+    "region_balance_fixed": f"""{_FM}, {_BALANCE},
+em AS (SELECT region, count(v) > 0 AS has_cells FROM k4 GROUP BY region)
+SELECT region, i, j, round(v, {DIGITS}) AS v, CASE WHEN has_cells THEN 'not converged' ELSE 'empty' END AS state FROM w3 JOIN em USING (region)""",
+    "smooth_diagonals": f"""{_FM}, {_full_sql('f2', 'fm')}, z AS (SELECT *, max(j) OVER (PARTITION BY region) + 1 AS n, 0.05 * sqrt(greatest(1, j - i - 2)) AS g FROM fm),
+y AS (SELECT *, CAST(floor(4 * g + 0.5) AS BIGINT) AS r FROM z WHERE v IS NOT NULL), x AS (SELECT *, unnest(range(-r, r + 1)) AS a FROM y), t AS (SELECT *, unnest(range(-r, r + 1)) AS c FROM x),
+q AS (SELECT region, i, j, exp(-0.5 * (a * a + c * c) / (g * g)) AS w, {_MIRROR.format('i + a')} AS p, {_MIRROR.format('j + c')} AS q FROM t),
+o AS (SELECT q.region, q.i, q.j, sum(w * f2.v) / sum(w) AS v FROM q JOIN f2 ON f2.region = q.region AND f2.i = q.p AND f2.j = q.q WHERE f2.v IS NOT NULL GROUP BY ALL)
+SELECT fm.region, fm.i, fm.j, round(o.v, {DIGITS}) AS v FROM fm LEFT JOIN o USING (region, i, j)""",
+    "density_peaks": f"""{_M}, {_ROWS}, z AS (SELECT region, i, -log2(s + 1) AS s FROM rs), x AS MATERIALIZED ({_smooth_sql('z', 's', False, 2.0)}),
+g AS (SELECT *, sum(CASE WHEN s = before THEN 0 ELSE 1 END) OVER (PARTITION BY region ORDER BY i) AS run FROM (SELECT *, lag(s) OVER (PARTITION BY region ORDER BY i) AS before FROM x)),
+u AS (SELECT region, run, any_value(s) AS s, min(i) AS a, max(i) AS b FROM g GROUP BY region, run),
+t AS (SELECT * FROM (SELECT *, lag(s) OVER w AS l, lead(s) OVER w AS r FROM u WINDOW w AS (PARTITION BY region ORDER BY run)) WHERE l < s AND r < s),
+e AS (SELECT t.*, (SELECT max(i) FROM x WHERE x.region = t.region AND x.i < t.a AND x.s > t.s) AS lo, (SELECT min(i) FROM x WHERE x.region = t.region AND x.i > t.b AND x.s > t.s) AS hi FROM t),
+f AS (SELECT e.*, (SELECT min(s) FROM x WHERE x.region = e.region AND x.i <= e.a AND x.i > coalesce(e.lo, -1)) AS fl,
+ (SELECT min(s) FROM x WHERE x.region = e.region AND x.i >= e.b AND x.i < coalesce(e.hi, 1000000000)) AS fr FROM e)
+SELECT region, CAST((a + b) // 2 AS BIGINT) AS i, round(s - greatest(fl, fr), {DIGITS}) AS prominence FROM f WHERE s - greatest(fl, fr) >= 0.4""",
+    "map_compare_smoothed": f"""{_TWO}, {_full_sql('fa', 'ma')}, {_full_sql('fb', 'mb')},
+ga AS MATERIALIZED ({_mirrored_taps('fa', 'i', 'j', 'v', _TAPS)}), gb AS MATERIALIZED ({_mirrored_taps('fb', 'i', 'j', 'v', _TAPS)}),
+ha AS ({_mirrored_taps('ga', 'j', 'i', 'v', _TAPS)}), hb AS ({_mirrored_taps('gb', 'j', 'i', 'v', _TAPS)})
+SELECT region, i, j, round({_RATIO}, {DIGITS}) AS v FROM ma a JOIN mb b USING (region, i, j) WHERE i < j
+UNION ALL SELECT region, j, i, round({_RATIO}, {DIGITS}) FROM ha a JOIN hb b USING (region, i, j) WHERE i <= j""",
     "coarsen_sum": f"""{_FM}, {_full_sql('f2', 'fm')}, sz AS (SELECT region, (max(j) + 1) // 5 AS n FROM fm GROUP BY 1)
 SELECT region, i // 5 AS i, j // 5 AS j, coalesce(sum(v), 0) AS v FROM f2 JOIN sz USING (region) WHERE i // 5 <= j // 5 AND i // 5 < n AND j // 5 < n GROUP BY 1, 2, 3""",
     "coarsen_multiscale": _multiscale_sql(4, 4),
