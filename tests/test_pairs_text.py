@@ -145,6 +145,13 @@ def test_tracks(spark):
     assert T.clipped(track, sizes).where("end = 1050").count() == 1
     assert T.renamed_chromosomes(track).first().chrom == "chrc"
 
+    def ranged(*a, **how):
+        return sorted(map(tuple, T.track_range(track, sizes, *a, **how).collect()))
+
+    assert ranged("c", 50, 500) == [(50, 100, 2.0), (100, 150, 0.0), (150, 450, 1.0), (450, 500, 0.0)]
+    assert ranged("c", 500, 600, default=7.0) == [(500, 600, 7.0)] and ranged("c", 1000, 1050) == [(1000, 1050, 4.0)]
+    assert ranged("d", 0, 10) == [(0, 10, None)]
+
 
 def test_drop_overlaps(spark):
     rnd = random.Random(2)
@@ -156,6 +163,10 @@ def test_drop_overlaps(spark):
             want.add(i)
             last[k] = e
     assert got == want
+    chain = spark.createDataFrame([("a", i, i + 3, i) for i in range(1000)], "k string, s long, e long, id long")  # one period that overlaps throughout
+    for width in (7, 1 << 22):
+        assert sorted(r.id for r in T.drop_overlaps(chain, ["k"], "s", "e", ["e", "id"], cell_width=width).collect()) == list(range(0, 1000, 3))
+    assert T.drop_overlaps(chain.limit(0), ["k"], "s", "e", ["e", "id"]).isEmpty()
 
 
 PAIRS = "\n".join([
@@ -171,12 +182,19 @@ def test_text_sources(spark, folder):
         return f"{folder}/{name}"
 
     path = put("x.pairs", PAIRS)
-    assert S.pairs_columns(path)[:3] == ["readID", "chrom1", "pos1"]
+    assert S.pairs_columns(spark, path)[:3] == ["readID", "chrom1", "pos1"]
     rows = S.read_pairs(spark, path).collect()
     assert [(r.read_id, r.pos1, r.sam1, r.mapq2) for r in rows] == [("a", 10, 'x#y"z', 4), ("b", None, '"q', 60)]
-    for text, message in (("chr1\t5\n", "No columns"), ("#a\n", "No data")):
+    for text, message in (("chr1\t5\n#columns: a\n", "names no columns"), ("#a\n", "no records"), ("", "no records")):
         with pytest.raises(ValueError, match=message):
-            S.pairs_columns(put("bad.pairs", text))
+            S.pairs_columns(spark, put("bad.pairs", text))
+    loose = S.read_pairs(spark, put("loose.pairs", "#columns: readID chrom1 pos1\n a  chr1 \t 7\n\nb chr2\n")).collect()
+    assert [tuple(r) for r in loose] == [("a", "chr1", 7), ("b", "chr2", None)]
+    S.write_pairs(S.read_pairs(spark, path), f"{folder}/again", ["## pairs format v1.0"])
+    assert S.pairs_columns(spark, f"{folder}/again") == S.pairs_columns(spark, path)
+    assert sorted(S.read_pairs(spark, f"{folder}/again").collect()) == sorted(S.read_pairs(spark, path).collect())
+    files = sorted(f for f in os.listdir(f"{folder}/again") if f.startswith("part"))
+    assert open(f"{folder}/again/{files[0]}").read().startswith("## pairs format v1.0\n#columns: readID chrom1")
     assert S.parse_region("chr8:84,900,000-85,800,000") == ("chr8", 84_900_000, 85_800_000)
     with pytest.raises(ValueError):
         S.parse_region("chr8")
@@ -234,8 +252,9 @@ def test_commands(spark, folder):
         cli.main(list(args), spark)
 
     run("shift-pairs", f"{folder}/x.pairs", f"{folder}/shifted")
-    assert spark.read.text(f"{folder}/shifted").first()[0].split("\t")[2] == "75"
-    assert spark.read.text(f"{folder}/shifted_header").first()[0].startswith("#columns: readID chrom1")
+    assert [r.pos1 for r in S.read_pairs(spark, f"{folder}/shifted").orderBy("read_id").collect()] == [75, None]
+    run("merge-pairs", f"{folder}/both", f"{folder}/x.pairs", f"{folder}/shifted")
+    assert S.read_pairs(spark, f"{folder}/both").count() == 4
     run("filter-pairs", f"{folder}/sizes", f"{folder}/x.pairs", f"{folder}/kept.parquet", "--direction", "inward")
     assert spark.read.parquet(f"{folder}/kept.parquet").count() == 1
     run("base-ps", f"{folder}/x.pairs", "--max-distance", "400", "--output", f"{folder}/ps")
@@ -243,6 +262,9 @@ def test_commands(spark, folder):
     run("bin-pairs", f"{folder}/sizes", f"{folder}/kept.parquet", f"{folder}/store")
     run("remove-inward", f"{folder}/store", f"{folder}/store", f"{folder}/without")
     assert S.read_store(spark, f"{folder}/without/pixels", 200).first()["count"] == 0
+    run("bin-pairs", f"{folder}/sizes", f"{folder}/kept.parquet", f"{folder}/store2")
+    run("merge-maps", f"{folder}/sum", f"{folder}/store", f"{folder}/store2")
+    assert S.read_store(spark, f"{folder}/sum/pixels", 200).first()["count"] == 2
     run("pairs-to-bed", f"{folder}/sizes", f"{folder}/x.pairs", f"{folder}/bed")
     assert spark.read.text(f"{folder}/bed").count() == 2
     assert os.path.exists(f"{folder}/bed")

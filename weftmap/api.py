@@ -171,10 +171,14 @@ def load_maps(
             cells, _ = S.read_map(spark, pattern.format(root=root, condition=condition, region=region))
             one = cells.select(F.lit(condition).alias("condition"), F.lit(region).alias("region"), "i", "j", "v")
             maps = one if maps is None else maps.unionByName(one)
-    named = maps.withColumn("region", F.concat_ws("\t", "condition", "region"))
-    done = M.normalize_neighbor(staged(named.drop("condition")), **how)
+    return normalized_maps(maps, **how)
+
+
+def normalized_maps(maps: DataFrame, **how) -> DataFrame:
+    """Maps (condition, region, i, j, v), as :func:`weftmap.sources.text.read_maps` gives them, each normalised by its own neighbour factors."""
+    named = staged(maps.select(F.concat_ws("\t", "condition", "region").alias("region"), "i", "j", "v"))
     parts = F.split("region", "\t")
-    return done.select(parts[0].alias("condition"), parts[1].alias("region"), "i", "j", "v")
+    return M.normalize_neighbor(named, **how).select(parts[0].alias("condition"), parts[1].alias("region"), "i", "j", "v")
 
 
 def batch_reports(maps: DataFrame, reference: str, conditions: Sequence[str], separation: int = 5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -63,10 +64,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_CLEARED: set[str] = set()
+
+
 def _staging_folder(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _CLEARED:  # results read staged tables until the application ends
+        _CLEARED.add(app)
+        atexit.register(_drop_at_end, spark, app)
     return os.path.join(shared_dir(spark), "weftmap", spark.sparkContext.applicationId)
 
 
+def _drop_at_end(spark: SparkSession, app: str) -> None:
+    try:
+        if spark.sparkContext.applicationId == app:
+            drop_staged(spark)
+    except Exception:  # the context is gone already, and its folder is the cluster's to clear
+        pass
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, among what the application staged."""
+    return os.path.join(_staging_folder(spark), uuid.uuid4().hex)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete what this application staged, once no result that reads it is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_staging_folder(spark))
@@ -80,7 +101,7 @@ def staged(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     sums in another order, and a lost executor costs only the tasks it was running.
     """
     spark = df.sparkSession
-    path = os.path.join(_staging_folder(spark), uuid.uuid4().hex)
+    path = fresh_folder(spark)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

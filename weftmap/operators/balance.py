@@ -59,7 +59,10 @@ def balance_map(m: DataFrame, max_iter: int = 50, tol: float = 1e-5, interpolate
     biases = staged(m.groupBy("region", "i").agg(F.lit(1.0).alias("bias"), F.lit(False).alias("done")))
     for k in range(max_iter):
         active = biases.where(~F.col("done"))
-        rows = marginal(view(active, k == 0), 1, flanks)
+        seen = view(active, k == 0)
+        if interpolate and flanks:  # read once for the sums and once for the decay
+            seen = staged(seen)
+        rows = marginal(seen, 1, flanks)
         over = Window.partitionBy("region")
         mean, var = F.avg(F.when(F.col("s") != 0, F.col("s"))).over(over), F.var_pop("s").over(over)
         step = F.when(F.col("s") != 0, F.col("s") / F.col("mean")).otherwise(F.lit(1.0))
@@ -67,6 +70,8 @@ def balance_map(m: DataFrame, max_iter: int = 50, tol: float = 1e-5, interpolate
         moved = active.drop("done").join(rows, ["region", "i"]).select("region", "i", (F.col("bias") * F.col("step")).alias("bias"), F.col("now").alias("done"))
         before, biases = biases, staged(moved.unionByName(biases.where("done")))
         unstage(before)
+        if interpolate and flanks:
+            unstage(seen)
         if biases.where(~F.col("done")).isEmpty():
             break
     return view(biases), biases

@@ -81,10 +81,16 @@ def zoom_pixels(pixels: DataFrame, bins: DataFrame, coarse: DataFrame, factor: i
     return pixels.select(F.least(p1, p2).alias("bin1_id"), F.greatest(p1, p2).alias("bin2_id"), "count").groupBy("bin1_id", "bin2_id").agg(F.sum("count").alias("count"))
 
 
+def differing_bins(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``side, bin_id, chrom, start, end``: the bins that only one of two tables has."""
+    cols = ["bin_id", "chrom", "start", "end"]
+    a, b = a.select(*cols), b.select(*cols)
+    return a.exceptAll(b).select(F.lit("first").alias("side"), *cols).unionByName(b.exceptAll(a).select(F.lit("second").alias("side"), *cols))
+
+
 def check_same_bins(a: DataFrame, b: DataFrame) -> None:
     """Raises if two bin tables differ in chromosomes, bounds or order."""
-    cols = ["bin_id", "chrom", "start", "end"]
-    if a.select(*cols).exceptAll(b.select(*cols)).limit(1).count() or b.select(*cols).exceptAll(a.select(*cols)).limit(1).count():
+    if not differing_bins(a, b).isEmpty():
         raise ValueError("the maps have different bins")
 
 
@@ -496,6 +502,11 @@ def ice_step(pixels: DataFrame, biases: DataFrame, ignore_diags: int = 1) -> Dat
     return biases.join(s, "bin_id", "left").select("bin_id", (F.col("bias") * F.when(F.col("s") != 0, F.col("s") / mean).otherwise(F.lit(1.0))).alias("bias"))
 
 
+def ice_statistics(pixels: DataFrame, biases: DataFrame, ignore_diags: int = 1) -> DataFrame:
+    """``mean, variance`` of the row sums that a round of balancing finds, empty rows left out."""
+    return _weighted_sums(pixels, biases, ignore_diags).where("s <> 0").agg(F.avg("s").alias("mean"), F.var_pop("s").alias("variance"))
+
+
 def balanced_bins(pixels: DataFrame, bins: DataFrame, ignore_diags: int = 1, mad_max: float = 5, min_nnz: int = 10, min_count: float = 0) -> DataFrame:
     """``bin_id`` of the bins that genome-wide balancing takes: at least ``min_nnz`` pixels above zero and ``min_count`` contacts, and a row
     sum, relative to its chromosome's median, whose log is not more than ``mad_max`` median deviations under the median. Empty rows are out."""
@@ -613,8 +624,8 @@ def batch_factors(query: DataFrame, reference: DataFrame, separation: int = 5) -
 
 
 def factor_report(factors: DataFrame) -> DataFrame:
-    """``region, global_factor, factors`` as text with three decimals, the factors in order of their separation."""
-    text = lambda c: F.format_string("%.3f", c)
+    """``region, global_factor, factors`` as text with three decimals (nan where missing), the factors in order of their separation."""
+    text = lambda c: F.when(c.isNull(), "nan").otherwise(F.format_string("%.3f", c))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("d", "factor"))), lambda x: text(x["factor"]))
     return factors.groupBy("region").agg(text(F.max("global_factor")).alias("global_factor"), F.array_join(listed, ",").alias("factors"))
 

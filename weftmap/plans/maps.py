@@ -208,10 +208,11 @@ def coarsen_multiscale(spark, d):
 
 
 def _two_maps(spark, d):
-    """The maps of the largest run and of the other runs."""
-    big = staged(M.cis_map(M.count_pixels(_valid(spark, d).where("run = 'lib00a'"), _bins(spark, d), RES), _bins(spark, d)))
-    rest = staged(M.cis_map(M.count_pixels(_valid(spark, d).where("run <> 'lib00a'"), _bins(spark, d), RES), _bins(spark, d)))
-    return big, rest
+    """The maps of the run with the most pairs and of all others."""
+    valid, bins = _valid(spark, d), _bins(spark, d)
+    largest = table(spark, d, "pairs").where("run IS NOT NULL").groupBy("run").count().orderBy(F.desc("count"), "run").select("run").first()
+    is_largest = F.coalesce(F.col("run") == F.lit(largest["run"] if largest else None), F.lit(False))
+    return tuple(staged(M.cis_map(M.count_pixels(valid.where(c), bins, RES), bins)) for c in (is_largest, ~is_largest))
 
 
 def batch_factors(spark, d):
@@ -379,7 +380,8 @@ b{k + 1} AS (SELECT bin_id, bias * CASE WHEN s <> 0 THEN s / (SELECT avg(s) FROM
     return out + f"\nSELECT bin_id, round(bias, {DIGITS}) AS bias FROM b{rounds}"
 
 
-_TWO = _B + ",\n" + _px_sql("pa", "run = 'lib00a'") + ",\n" + _px_sql("pb", "run <> 'lib00a'") + ",\n" + _map_sql("ma", "pa") + ",\n" + _map_sql("mb", "pb")
+_LARGEST = "coalesce(run = (SELECT run FROM pairs WHERE run IS NOT NULL GROUP BY run ORDER BY count(*) DESC, run LIMIT 1), FALSE)"
+_TWO = _B + ",\n" + _px_sql("pa", _LARGEST) + ",\n" + _px_sql("pb", f"NOT {_LARGEST}") + ",\n" + _map_sql("ma", "pa") + ",\n" + _map_sql("mb", "pb")
 _FACTORS = """,
 qa AS (SELECT region, j - i AS d, avg(v) AS v FROM ma WHERE j - i <= 3 GROUP BY ALL), qb AS (SELECT region, j - i AS d, avg(v) AS v FROM mb WHERE j - i <= 3 GROUP BY ALL),
 ua AS (SELECT * FROM qa UNION ALL SELECT 'merged', d, avg(v) FROM qa GROUP BY d), ub AS (SELECT * FROM qb UNION ALL SELECT 'merged', d, avg(v) FROM qb GROUP BY d),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import glob
-import gzip
 import json
 import os
 import re
@@ -26,28 +25,45 @@ def parse_region(region: str) -> tuple[str, int, int]:
     return m[1], int(m[2].replace(",", "")), int(m[3].replace(",", ""))
 
 
-def pairs_columns(path: str) -> list[str]:
-    """Column names from the header of one (plain or gzipped) pairs file; only the header is read."""
-    with gzip.open(path, "rt") if path.endswith(".gz") else open(path) as f:
-        for line in f:
-            if line.startswith("#columns:"):
-                return line.split()[1:]
-            if not line.startswith("#"):
-                raise ValueError("No columns annotation found.")
-    raise ValueError("No data found.")
+PAIR_NAMES = {"readID": "read_id"}
+_COLUMNS = "#columns:"
 
 
-def read_pairs(spark: SparkSession, path: str, columns: Sequence[str] | None = None, typed: bool = True) -> DataFrame:
-    """A pairs file (or a folder of them with the same columns): header lines are skipped, ``.`` becomes NULL in typed columns.
+def pairs_columns(spark: SparkSession, path: str) -> list[str]:
+    """Column names from the header of a pairs file, or of the first one of a folder, wherever Spark can read it.
+
+    The header is the comment lines before the first record; no more than the file's beginning is read.
+    """
+    file = min(spark.read.text(path).inputFiles(), default=None)
+    lines = spark.read.text(file).where(F.col("value").startswith(_COLUMNS) | ~F.col("value").startswith("#")) if file else None
+    line = lines.first() if file else None
+    if line is None:
+        raise ValueError(f"{path} has no header and no records")
+    if not line["value"].startswith(_COLUMNS):
+        raise ValueError(f"the header of {path} names no columns")
+    return line["value"][len(_COLUMNS) :].split()
+
 
-    ``columns`` must be given where ``path`` is not a single local file. readID is called read_id.
+def _place():
+    """Where a line stands: its file, the block of the file, and its number in the task; together they sort as the lines do."""
+    return F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")
+
+
+def read_pairs(spark: SparkSession, path: str, columns: Sequence[str] | None = None, typed: bool = True) -> DataFrame:
+    """A pairs file (or a folder of them with the same columns), plain or compressed: fields are parted by any white space, header lines are skipped, ``.`` becomes NULL in typed
+    columns, and fields that a short line lacks are NULL. ``columns`` are read from the header where they are not given; readID is called read_id.
     """
-    columns = [{"readID": "read_id"}.get(c, c) for c in (columns or pairs_columns(path))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.csv(path, schema=schema, sep="\t", comment="#", quote="", escape="", nullValue="", emptyValue="")
-    if not typed:
-        return df
-    return df.select(*[F.col(c).try_cast(PAIR_TYPES[c]).alias(c) if c in PAIR_TYPES else F.col(c) for c in columns])
+    return pairs_rows(spark.read.text(path), columns or pairs_columns(spark, path), typed)
+
+
+def pairs_rows(lines: DataFrame, columns: Sequence[str], typed: bool = True) -> DataFrame:
+    """Records of pairs lines (their only column) as :func:`read_pairs` has them."""
+    columns = [PAIR_NAMES.get(c, c) for c in columns]
+    line = F.regexp_replace(F.col(lines.columns[0]), r"^\s+|\s+$", "")
+    rows = lines.select(line.alias("line")).where(~F.col("line").startswith("#") & (F.col("line") != "")).select(F.split("line", r"\s+").alias("f"))
+    kind = {c: PAIR_TYPES[c] for c in columns if typed and c in PAIR_TYPES}
+    field = [F.get("f", F.lit(k)) for k in range(len(columns))]
+    return rows.select(*[(x.try_cast(kind[c]) if c in kind else x).alias(c) for c, x in zip(columns, field)])
 
 
 def read_chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
@@ -102,18 +118,14 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
 def select_wig_track(spark: SparkSession, path: str, track: str | None = None) -> DataFrame:
     """The lines of the first track whose ``track`` line contains ``track`` (of the first one, if None): ``line_no, line``.
 
-    A track file is one file read in order; its lines are numbered where they are read and only ``track`` lines, a few, are gathered.
+    ``line_no`` sorts as the lines do, by file, block of the file and line, however Spark deals them to tasks.
     """
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", *_place()).select("value", F.struct("file", "block", "n").alias("line_no"))
     heads = lines.where(F.col("value").startswith("track"))
     match = F.lit(True) if track is None else F.contains("value", F.lit(track))
-    first = heads.where(match).agg(F.min("line_no")).first()[0]
-    if first is None:
-        return lines.limit(0).select("line_no", F.col("value").alias("line"))
-    after = heads.where(F.col("line_no") > first).agg(F.min("line_no")).first()[0]
-    inside = F.col("line_no") > first
-    if after is not None:
-        inside = inside & (F.col("line_no") < after)
+    first = heads.where(match).agg(F.min("line_no").alias("first")).scalar()
+    after = heads.where(F.col("line_no") > first).agg(F.min("line_no").alias("after")).scalar()
+    inside = (F.col("line_no") > first) & F.coalesce(F.col("line_no") < after, F.lit(True))
     return lines.where(inside).select("line_no", F.trim("value").alias("line"))
 
 
@@ -135,12 +147,11 @@ def find_tracks(folder: str, patterns: Sequence[str] = ("*.bedgraph", "*.bg")) -
 
 
 def write_pairs(df: DataFrame, path: str, header: Sequence[str] = ()) -> None:
-    """Records as tab-separated text (NULL as ``.``), the header and the column names in ``_header`` beside them."""
+    """A folder of tab-separated text files, NULL as ``.``: the first, ``part-00000``, is the header with the column names, so that the files in order are one pairs file."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in df.columns]
-    df.select(F.concat_ws("\t", *cols)).write.text(path)
-    spark = df.sparkSession
-    names = "#columns: " + " ".join({"read_id": "readID"}.get(c, c) for c in df.columns)
-    spark.createDataFrame([(x,) for x in [*header, names]], "value string").coalesce(1).write.text(path.rstrip("/") + "_header")
+    names = _COLUMNS + " " + " ".join({v: k for k, v in PAIR_NAMES.items()}.get(c, c) for c in df.columns)
+    head = df.sparkSession.createDataFrame([(line,) for line in [*header, names]], "value string").coalesce(1)
+    head.union(df.select(F.concat_ws("\t", *cols))).write.text(path)  # a union's tasks come in its order
 
 
 def write_bed(df: DataFrame, path: str, split_by: str | None = None) -> None:
@@ -164,6 +175,19 @@ def read_map(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/cells").withColumn("v", F.col("v").cast("double")), meta
 
 
+def write_maps(maps: DataFrame, path: str) -> None:
+    """Dense maps of many conditions and regions (condition, region, i, j, v), a folder for each."""
+    maps.write.partitionBy("condition", "region").parquet(path)
+
+
+def read_maps(spark: SparkSession, path: str, conditions: Sequence[str] | None = None, regions: Sequence[str] | None = None) -> DataFrame:
+    """The maps of :func:`write_maps`, of some conditions and regions if given; the other folders are not read."""
+    df = spark.read.schema("i long, j long, v double, condition string, region string").parquet(path)
+    for c, wanted in (("condition", conditions), ("region", regions)):
+        df = df.where(F.col(c).isin(*wanted)) if wanted is not None else df
+    return df.select("condition", "region", "i", "j", "v")
+
+
 def write_store(df: DataFrame, path: str, resolution: int) -> None:
     """Bins or pixels of one resolution into a store partitioned by it; a resolution that is there is replaced, others stay."""
     out = df.withColumn("resolution", F.lit(resolution))
