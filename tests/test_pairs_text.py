@@ -212,7 +212,7 @@ def test_text_sources(spark, folder):
     assert [r.line for r in S.select_wig_track(spark, wig, "name=b").collect()] == ["3 4", "5 6"]
     assert [r.line for r in S.select_wig_track(spark, wig).collect()] == ["1 2"] and S.select_wig_track(spark, wig, "zz").count() == 0
     put("b.bg", "c\t1\t2\t3\n")
-    assert list(S.find_tracks(folder)) == ["b.bg"] and S.read_bedgraph(spark, f"{folder}/b.bg").first().value == 3.0
+    assert list(S.find_tracks(spark, folder)) == ["b.bg"] and S.read_bedgraph(spark, f"{folder}/b.bg").first().value == 3.0
     tab = S.table_to_bedgraph(S.read_table(spark, put("x.gtab.txt", "Chromosome\tStart\tEnd\tp\nc\t1\t2\t0.5\n")), "p")
     assert tuple(tab.first()) == ("c", 1, 2, 0.5)
 

@@ -12,6 +12,7 @@ from ..operators.pairs import valid_pairs
 from .pairs import valid_sql
 
 RES = 1_000_000
+FINE = 10_000
 ZOOM = 4
 MAD, NNZ, RATE = 1.7, 4, 0.02
 DIGITS = 6
@@ -66,6 +67,45 @@ def remove_inward(spark, d):
     return M.without_inward(M.count_pixels(_valid(spark, d), _bins(spark, d), RES, also={"inward": inward}), _bins(spark, d), k=2)
 
 
+def _fine(spark, d, **also):
+    bins = _bins(spark, d, FINE)
+    return M.count_pixels(_valid(spark, d), bins, FINE, **also), bins
+
+
+def fine_counts(spark, d):
+    """Pixels of 10 kb; those few queries whose work grows with the pairs, not with the square of the bins."""
+    return _fine(spark, d)[0]
+
+
+def fine_zoom(spark, d):
+    return M.zoom_pixels(*_fine(spark, d), _bins(spark, d, FINE * ZOOM), ZOOM)
+
+
+def fine_without_inward(spark, d):
+    inward = (F.col("strand1") == "+") & (F.col("strand2") == "-")
+    return M.without_inward(*_fine(spark, d, also={"inward": inward}), k=2)
+
+
+def fine_distance_average(spark, d):
+    """The decay over all distances of the longest chromosome, and of the others."""
+    return _rounded(M.sparse_average(*_fine(spark, d), 1 << 30), "v")
+
+
+def fine_neighbor_factors(spark, d):
+    return _rounded(M.neighbor_factors(M.first_diagonal(*_fine(spark, d)), ["chrom"]), "nf")
+
+
+def map_filter_all(spark, d):
+    """Depth, capture and number of cells together."""
+    rates = M.capture_rates(table(spark, d, "bed"), _regions(spark, d), RES)
+    return M.filter_map(_map(spark, d), rates, MAD, NNZ, RATE)
+
+
+def gaussian_interp(spark, d):
+    m = M.marginal(_map(spark, d)).withColumn("s", F.when(F.col("s") > 3, F.col("s")))
+    return _rounded(M.gaussian(m, ["region"], "i", "s", 1.0, "interp"), "s")
+
+
 def first_diagonal(spark, d):
     return M.first_diagonal(_pixels(spark, d), _bins(spark, d))
 
@@ -274,7 +314,7 @@ QUERIES = {f.__name__: f for f in (
     marginal_flanks, distance_average, strict_distance_average, mad_filter, nnz_filter, map_filter, capture_rates, capture_filter, map_validity,
     *map(_factors, _AVERAGES), neighbor_weights, neighbor_normalize, neighbor_normalize_plain, gap_fill, gaussian_1d, sliding_mean,
     interpolate_diagonals, ice_3iter, balance_pixels, coarsen_sum, coarsen_multiscale, batch_factors, batch_apply, map_log_ratio, map_merge, map_select, map_rotated,
-    region_balance, region_balance_fixed, smooth_diagonals, interpolate_smoothed, density_peaks, map_compare_smoothed,
+    fine_counts, fine_zoom, fine_without_inward, fine_distance_average, fine_neighbor_factors, map_filter_all, gaussian_interp, region_balance, region_balance_fixed, smooth_diagonals, interpolate_smoothed, density_peaks, map_compare_smoothed,
 )}
 
 
@@ -337,9 +377,9 @@ def _fill_sql(source: str, keys: str, pos: str, v: str) -> str:
  first_value({v} IGNORE NULLS) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rv FROM {source})"""
 
 
-def _smooth_sql(source: str, v: str, spread: bool, sigma: float = 1.0) -> str:
+def _smooth_sql(source: str, v: str, spread: bool, sigma: float = 1.0, truncate: float = 4.0) -> str:
     """A kernel over (region, i, v)."""
-    w = M.gaussian_weights(sigma)
+    w = M.gaussian_weights(sigma, truncate)
     taps = ", ".join(f"({k - len(w) // 2}, {x!r})" for k, x in enumerate(w))
     value = f"CASE WHEN count(s.{v}) = count(*) THEN sum(w * s.{v}) END" if spread else f"CASE WHEN max(t.{v}) IS NOT NULL THEN sum(w * s.{v}) / sum(CASE WHEN s.{v} IS NOT NULL THEN w END) END"
     return f"""SELECT t.region, t.i, {value} AS {v} FROM (
@@ -559,6 +599,24 @@ FROM ma LEFT JOIN (SELECT region, max(global_factor) AS global_factor FROM bf GR
     "map_select": _M + "\nSELECT region, i - 10 AS i, j - 10 AS j, v FROM m WHERE i >= 10 AND j < 40",
     "map_rotated": _M + f"\nSELECT region, i, j, CAST({RES} * (i + j + 1) / 2.0 AS DOUBLE) AS x, {RES} * (j - i) AS y, v FROM m",
 }
+_CR = "cr AS (" + ORACLE["capture_rates"].replace(f"round(CAST(coalesce(rate, 0) AS DOUBLE), {DIGITS})", "CAST(coalesce(rate, 0) AS DOUBLE)") + ")"
+_FB, _FPX = "WITH " + _bins_sql("bins", FINE), "WITH " + _bins_sql("bins", FINE) + ",\n" + _px_sql("px", res=FINE)
+ORACLE |= {
+    "fine_counts": f"{_FPX} SELECT * FROM px",
+    "fine_zoom": _FB + ",\n" + _bins_sql("cb", FINE * ZOOM) + ",\n" + _px_sql("px", bins="cb", res=FINE * ZOOM) + " SELECT * FROM px",
+    "fine_without_inward": f"""{_FPX}, {_px_sql('pi', "strand1 = '+' AND strand2 = '-'", res=FINE)}
+SELECT px.bin1_id, px.bin2_id, CAST(CASE WHEN a.chrom = b.chrom AND b.i - a.i <= 2 THEN floor(4 * (px.count - coalesce(pi.count, 0)) / 3.0) ELSE px.count END AS BIGINT) AS count
+FROM px LEFT JOIN pi USING (bin1_id, bin2_id) JOIN bins a ON a.bin_id = px.bin1_id JOIN bins b ON b.bin_id = px.bin2_id""",
+    "fine_distance_average": f"""{_FPX}, t AS (SELECT a.chrom, b.i - a.i AS d, sum(count) AS s FROM px JOIN bins a ON a.bin_id = bin1_id JOIN bins b ON b.bin_id = bin2_id WHERE a.chrom = b.chrom GROUP BY ALL)
+SELECT bins.chrom, bins.i AS d, round(coalesce(s, 0) / CAST(n - bins.i AS DOUBLE), {DIGITS}) AS v FROM bins JOIN bins_sz USING (chrom) LEFT JOIN t ON t.chrom = bins.chrom AND t.d = bins.i""",
+    "fine_neighbor_factors": f"{_FPX}, {_DIAG}, {_SIDES} SELECT chrom, i, round(avg(v), {DIGITS}) AS nf FROM sd GROUP BY ALL",
+    "map_filter_all": f"""{_M}, {_MAD}, {_CR},
+g0 AS (SELECT ff.region, ff.i, ff.j, CASE WHEN low.i IS NULL THEN v END AS v FROM ff LEFT JOIN low ON low.region = ff.region AND low.i = ff.i),
+g AS (SELECT g0.region, g0.i, g0.j, CASE WHEN a.rate + b.rate >= {RATE} THEN v END AS v FROM g0 JOIN cr a ON a.region = g0.region AND a.i = g0.i JOIN cr b ON b.region = g0.region AND b.i = g0.j),
+{_nnz('g')} {_TRI.format('g')}""",
+    "gaussian_interp": f"""{_M}, {_ROWS}, z AS (SELECT region, i, CASE WHEN s > 3 THEN s END AS s FROM rs), x AS ({_smooth_sql('z', 's', False, 1.0, 100.0)}), y AS ({_fill_sql('x', 'region', 'i', 's')})
+SELECT region, i, round(s, {DIGITS}) AS s FROM y""",
+}
 ORACLE["capture_filter"] = (
     _M + ", cr AS (" + ORACLE["capture_rates"].replace(f"round(CAST(coalesce(rate, 0) AS DOUBLE), {DIGITS})", "CAST(coalesce(rate, 0) AS DOUBLE)") + f""")
 SELECT m.region, count(*) AS cells, count(CASE WHEN a.rate + b.rate >= {RATE} THEN v END) AS kept, sum(CASE WHEN a.rate + b.rate >= {RATE} THEN v END) AS s

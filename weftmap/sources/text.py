@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 import re
@@ -81,12 +80,13 @@ def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated table with a header line."""
-    return spark.read.csv(path, sep="\t", header=True, inferSchema=True)
+    """A tab-separated table with a header line; all columns are text, so that the file is read once."""
+    return spark.read.csv(path, sep="\t", header=True)
 
 
 def table_to_bedgraph(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.col("Chromosome").alias("chrom"), F.col("Start").alias("start"), F.col("End").alias("end"), F.col(column).alias("value"))
+    start, end, value = F.col("Start").cast("long"), F.col("End").cast("long"), F.col(column).cast("double")
+    return df.select(F.col("Chromosome").alias("chrom"), start.alias("start"), end.alias("end"), value.alias("value"))
 
 
 def _gtf_value(x):
@@ -137,10 +137,12 @@ def declared_columns(lines: DataFrame) -> DataFrame:
     return heads.select("run", F.posexplode(names).alias("position", "column"))
 
 
-def find_tracks(folder: str, patterns: Sequence[str] = ("*.bedgraph", "*.bg")) -> dict[str, str]:
-    """The track files of a local or mounted folder by name, in order of their paths."""
-    paths = sorted(p for pattern in patterns for p in glob.glob(os.path.join(folder, pattern)))
-    return {os.path.basename(p): p for p in paths}
+def find_tracks(spark: SparkSession, folder: str, patterns: Sequence[str] = ("*.bedgraph", "*.bg")) -> dict[str, str]:
+    """The track files of a folder by name, in order of their paths, wherever Spark can list it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(f.getPath().toString() for p in patterns for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, p)) or [])
+    return {os.path.basename(p): p for p in found}
 
 
 # ---------------------------------------------------------------- sinks
