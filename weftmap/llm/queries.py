@@ -116,7 +116,7 @@ def p8_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p4_sketches, p4_day_percentiles, p4_percentiles, p4_run_percentiles, p6_containers, p6_placement, p6_chars, p6_chars_total, p7_found, p7_leaks, p7_items, p8_pieces, p8_cover)}
+QUERIES = {f.__name__: f for f in (p4_day_percentiles, p4_sketches, p4_percentiles, p4_run_percentiles, p6_containers, p6_placement, p6_chars, p6_chars_total, p7_found, p7_leaks, p7_items, p8_pieces, p8_cover)}
 
 
 def _values(keys: str, source: str) -> str:
