@@ -264,7 +264,7 @@ def test_both_ways_of_balancing_agree(spark):
     bins, px = store(spark, [[0, 10, 5, 3, 2], [0, 0, 10, 5, 3], [0, 0, 0, 10, 6], [0, 0, 0, 0, 10], [0] * 5])
     bias = bins.select("bin_id", F.lit(1.0).alias("bias"))
     for _ in range(5):
-        bias = M.ice_step(px, bias)
+        bias = staged(M.ice_step(px, bias))
     _, want = B.balance_map(M.cis_map(px, bins), max_iter=5, tol=0)
     assert [r.bias for r in bias.orderBy("bin_id").collect()] == pytest.approx(vector(want, "bias")["a"])
 
@@ -348,7 +348,7 @@ def test_peaks(spark):
     rnd = np.random.default_rng(6)
     vectors = {"flat": [0, 1, 3, 3, 1, 2, 1, 5, 0.0], "even": [1.0] * 5, "one": [4.0], "up": [1.0, 2.0, 3.0]}
     vectors |= {f"r{k}": rnd.integers(0, 6, int(rnd.integers(2, 70))).astype(float).tolist() for k in range(12)}
-    rows = [(k, i, x) for k, xs in vectors.items() for i, x in enumerate(xs)]
+    rows = [(k, i, float(x)) for k, xs in vectors.items() for i, x in enumerate(xs)]
     df = spark.createDataFrame(rows, "region string, i long, s double")
     for least in (0.5, 2.0):
         got = {}
